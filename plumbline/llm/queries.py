@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, secrets, simhash
+from . import language, packing, secrets, simhash
 from .common import docs_table, stash
 
 
@@ -23,6 +23,13 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_table(spark, sf_dir)
+    model = language.train(docs, ~language.held_out())
+    found = language.identify(docs, model).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(docs_table(spark, sf_dir))
     digests = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -35,6 +42,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_language_id": op2_language_id,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
