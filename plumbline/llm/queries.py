@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, secrets, simhash, warc
+from . import embeddings, language, packing, secrets, simhash, warc
 from .common import docs_table, stash
 
 
@@ -45,11 +45,16 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs_table(spark, sf_dir))
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(docs_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op4_warc_index": op4_warc_index,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
