@@ -23,6 +23,8 @@ PER_LANGUAGE, TRAINING = 1000, 8000
 EPOCHS, COST = 12, 10.0
 #: Bytes of a text that are held as arrays at a time.
 SLICE = 1 << 20
+#: Score below which a prediction is rejected by ``accepted``.
+LEAST_SCORE = 0.2
 #: Texts whose vectors are held at a time.
 CHUNK = 256
 
@@ -164,29 +166,42 @@ def train(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", te
     return Model(x, np.array([r["lang"] for r in order], object))
 
 
-def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred, score) per row of docs.
+def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """docs with the columns lang_pred and score, which replace any of those names.
 
     Only the text decides. Null texts and texts without a letter, or all where
-    there is no model, are ``und`` with score 0. Repeated rows are repeated; an
-    empty table gives none; other columns are ignored whatever their names.
+    there is no model, are ``und`` with score 0. Rows stay as they are: repeated
+    ones are repeated, and an empty table gives none.
     """
+    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    at_text = names.index(text_col)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
-                texts = part.column(1).to_pylist()
+                texts = part.column(at_text).to_pylist()
                 lang, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
                 known = np.array([model is not None and has_letter(t) for t in texts], bool)
                 if known.any():
                     lang[known], score[known] = model.predict(np.stack([features(t) for t, k in zip(texts, known, strict=True) if k]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))], names=["id", "lang_pred", "score"])
+                found = [pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*names, "lang_pred", "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
+    return docs.select(*names).mapInArrow(predicted, f"{kinds}, lang_pred string, score double")
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(predicted, f"id {kind}, lang_pred string, score double")
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, lang_pred, score) per row of docs, as ``annotate`` has them; other columns are ignored whatever their names."""
+    return annotate(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), model).select("id", "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     """Whether a row is kept from training: its id's CRC-32 modulo 4 is 2."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def accepted(lang: str = "lang_pred", score: str = "score") -> Column:
+    """Whether a prediction stands: a language, with a score of LEAST_SCORE or more."""
+    return (F.col(lang) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)

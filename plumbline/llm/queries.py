@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, packing, secrets, simhash, warc
+from . import embeddings, language, mixing, packing, secrets, simhash, warc
 from .common import docs_table, stash
 
 
@@ -45,6 +45,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs_table(spark, sf_dir))
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = mixing.quality_domains(docs_table(spark, sf_dir, "labels"))
+    mixed = mixing.copies(mixing.mix(docs_table(spark, sf_dir), labelled))
+    likeliest = F.array_max(F.map_values("posterior")).alias("probability")
+    return mixed.select("doc_id", "tokens", "domain", likeliest, "rate", "copies")
+
+
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(docs_table(spark, sf_dir, "embeddings"))
 
@@ -54,6 +61,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op4_warc_index": op4_warc_index,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_mixing": op7_mixing,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }

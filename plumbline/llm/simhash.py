@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_or_empty
+from .common import keep_ids, stash, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -222,3 +222,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stash(fps.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "classes")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), text, "component_id")
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs whose id is the smallest of their component: one of each group.
+
+    Of rows with the same id and text one stays. Null ids stay where no other
+    document is linked. Columns are those of docs.
+    """
+    classes = near_duplicates(docs.select(id_col, text_col), id_col, text_col)
+    kept = classes.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("n"))
+    kept = stash(kept, "kept")
+    repeated = kept.filter("n > 1")
+    if repeated.isEmpty():
+        return keep_ids(docs, kept, id_col)
+    once = keep_ids(docs, kept.filter("n = 1"), id_col)
+    return once.union(keep_ids(docs, repeated, id_col).dropDuplicates([id_col, text_col]))
