@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, mixing, packing, secrets, simhash, warc
+from . import embeddings, language, licenses, mixing, packing, secrets, simhash, warc
 from .common import docs_table, stash
 
 
@@ -35,6 +35,10 @@ def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.measured(warc.read(index))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(docs_table(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(docs_table(spark, sf_dir))
     digests = pieces.select(F.col("id").alias("doc_id"), "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
@@ -60,6 +64,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
     "op4_warc_index": op4_warc_index,
+    "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing": op7_mixing,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
@@ -79,4 +84,5 @@ ORACLE: dict[str, str] = {
             CASE WHEN payload_bytes >= 100 AND page_id <> least THEN least END AS refers_to
         FROM q
     """,
+    "op5_license_scan": licenses.oracle_sql(),
 }
