@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, licenses, mixing, packing, secrets, simhash, warc
+from . import embeddings, language, licenses, mixing, packing, pii, secrets, simhash, warc
 from .common import docs_table, stash
 
 
@@ -30,6 +30,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
 
 
+#: A key for the registered query alone; users bring their own.
+PII_KEY = b"plumbline-query-key"
+
+
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(docs_table(spark, sf_dir), PII_KEY)
+
+
 def op4_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.write(docs_table(spark, sf_dir, "pages"))
     return warc.measured(warc.read(index))
@@ -63,6 +71,7 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_warc_index": op4_warc_index,
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
