@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, licenses, mixing, packing, pii, secrets, simhash, warc
+from . import bm25, embeddings, language, licenses, mixing, packing, pii, secrets, simhash, warc
 from .common import docs_table, stash
 
 
@@ -68,6 +68,11 @@ def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(docs_table(spark, sf_dir, "embeddings"))
 
 
+def op9_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_table(spark, sf_dir)
+    return bm25.search(bm25.build(docs), docs.filter(bm25.is_query()))
+
+
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_language_id": op2_language_id,
@@ -77,6 +82,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_mixing": op7_mixing,
     "op8_embedding_near_dedup": op8_embedding_near_dedup,
+    "op9_bm25_topk": op9_bm25_topk,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
