@@ -70,6 +70,10 @@ def text_or_empty(col: str | Column) -> Column:
 
 
 def keep_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id (null included) is in ids; ids holds each id once."""
-    kept = ids.select(F.col(id_col).alias("__kept_id"))
+    """Rows of docs whose id (null included) is in ids; ids holds each id once.
+
+    Always a merge join: the ids grow with the documents, and the plan that is
+    measured on few is to be the one that runs on many.
+    """
+    kept = ids.select(F.col(id_col).alias("__kept_id")).hint("merge")
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -250,5 +250,6 @@ def copies(rates: DataFrame, id_col: str = "doc_id", seed: int | None = None) ->
 def apply(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, each row as often as rates(id_col, copies) says; of an id with several, the most counts."""
     times = rates.groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).filter(F.col("__copies") > 0)
-    taken = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")))
+    # The rates grow with the documents, so the join is a merge join at every size.
+    taken = docs.join(times.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
