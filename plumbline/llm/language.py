@@ -19,7 +19,7 @@ UNDETERMINED = "und"
 #: Hashed features of a text.
 FEATURES = 4096
 #: Training rows at most, for each language and in all.
-PER_LANGUAGE, TRAINING = 1000, 8000
+PER_LANGUAGE, TRAINING = 600, 4800
 EPOCHS, COST = 12, 10.0
 #: Bytes of a text that are held as arrays at a time.
 SLICE = 1 << 20
@@ -69,31 +69,31 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "vector"])
 
 
-def separate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Weights, the last of them the bias, of a linear SVM; y is 1 or -1. Dual coordinate descent on the squared hinge."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
+def separate(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of a linear SVM of x's given rows, whose last column is 1; y is 1 or -1 for each. Dual coordinate descent on the squared hinge."""
     weight = np.where(y > 0, len(y) / max(1, 2 * int((y > 0).sum())), len(y) / max(1, 2 * int((y < 0).sum())))
     extra = 1 / (2 * COST * weight)
-    norm = np.einsum("ij,ij->i", x, x) + extra
-    alpha, w, draw = np.zeros(len(x)), np.zeros(x.shape[1]), np.random.default_rng(0)
+    norm = np.einsum("ij,ij->i", x, x)[rows] + extra
+    alpha, w, draw = np.zeros(len(rows)), np.zeros(x.shape[1]), np.random.default_rng(0)
     for _ in range(EPOCHS):
-        for i in draw.permutation(len(x)):
-            gradient = y[i] * (x[i] @ w) - 1 + alpha[i] * extra[i]
+        for i in draw.permutation(len(rows)):
+            row = x[rows[i]]
+            gradient = y[i] * (row @ w) - 1 + alpha[i] * extra[i]
             new = max(alpha[i] - gradient / norm[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                w += (new - alpha[i]) * y[i] * row
                 alpha[i] = new
     return w
 
 
 def one_against_one(x: np.ndarray, y: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Classes in order, and the weights of each pair of them in the order of combinations."""
-    classes = sorted(set(y.tolist()))
+    """Classes in order, and the weights of each pair of them in the order of combinations. Rows whose class is empty are left out."""
+    classes = sorted(set(y.tolist()) - {""})
     weights = []
     for a, b in combinations(classes, 2):
-        at = (y == a) | (y == b)
-        weights.append(separate(x[at], np.where(y[at] == a, 1.0, -1.0)))
-    return classes, np.array(weights).reshape(-1, x.shape[1] + 1)
+        rows = np.flatnonzero((y == a) | (y == b))
+        weights.append(separate(x, rows, np.where(y[rows] == a, 1.0, -1.0)))
+    return classes, np.array(weights).reshape(-1, x.shape[1])
 
 
 def vote(classes: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,12 +118,12 @@ def vote(classes: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 class Model:
-    """Families, and within each its languages."""
+    """Families, and within each its languages; x has a last column of ones."""
 
     def __init__(self, x: np.ndarray, lang: np.ndarray):
         family = np.array([FAMILY.get(c, c) for c in lang.tolist()])
         self.families = one_against_one(x, family)
-        self.languages = {f: one_against_one(x[family == f], lang[family == f]) for f in self.families[0]}
+        self.languages = {f: one_against_one(x, np.where(family == f, lang, "")) for f in self.families[0]}
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = np.hstack([x, np.ones((len(x), 1), x.dtype)])
@@ -161,9 +161,11 @@ def train(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", te
     rows = chosen.select("lang", "text").mapInArrow(_vectors, "lang string, vector binary").collect()
     if not rows:
         return None
-    order = sorted(rows, key=lambda r: (r["lang"], bytes(r["vector"])))
-    x = np.stack([np.frombuffer(r["vector"], np.float16).astype(np.float32) for r in order])
-    return Model(x, np.array([r["lang"] for r in order], object))
+    rows.sort(key=lambda r: (r["lang"], bytes(r["vector"])))
+    x = np.ones((len(rows), FEATURES + 1), np.float32)
+    for i, r in enumerate(rows):
+        x[i, :-1] = np.frombuffer(r["vector"], np.float16)
+    return Model(x, np.array([r["lang"] for r in rows], object))
 
 
 def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

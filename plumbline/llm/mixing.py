@@ -23,7 +23,7 @@ from .common import stash, text_or_empty
 #: Hashed features: byte trigrams of the text as it is, and lower-case words.
 TRIGRAMS, WORDS = 2048, 4096
 #: Training rows of a domain at most, and training steps.
-PER_DOMAIN, STEPS, DECAY = 1500, 400, 1e-5
+PER_DOMAIN, STEPS, DECAY = 1000, 300, 1e-5
 #: Passes of the fit at most, and the residual at which it ends.
 PASSES, CLOSE = 40, 1e-6
 SLICE = 1 << 20
