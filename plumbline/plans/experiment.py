@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from plumbline.functions import cells
 from plumbline.operators import explain, leakage, metrics, models, preprocess, profile, score, split
 
+#: Rows of a partition in which a small table is fitted.
+ROWS_PER_PARTITION = 20_000
+
 
 class ExperimentError(ValueError):
     """code says why the table cannot be used: target-not-binary or no-features."""
@@ -125,7 +128,10 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
         parts = rows.join(ids.withColumn("__test", F.lit(True)), row_id, "left").withColumn("part", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
     else:
         parts = split.stratified(rows, label, row_id, seed=seed)
-    typed = preprocess.typed(parts, spec.numeric, spec.categorical, [F.col(row_id), "part", (label == spec.positive).cast("double").alias("y")]).persist()
+    typed = preprocess.typed(parts, spec.numeric, spec.categorical, [F.col(row_id), "part", (label == spec.positive).cast("double").alias("y")])
+    # Fits start several jobs each; few rows in many partitions would be all overhead.
+    typed = typed.coalesce(max(1, -(-spec.rows // ROWS_PER_PARTITION))).persist()
+    cached = [typed]
     try:
         train, test = typed.filter("part = 'train'"), typed.filter("part = 'test'")
         sizes = {r["part"]: r["count"] for r in typed.groupBy("part").count().collect()}
@@ -134,6 +140,7 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
         prep = preprocess.build(statistics, spec.numeric, spec.categorical, train)
         ready = prep.transform(train).select("y", "features").persist()
         ready_test = prep.transform(test).persist()
+        cached += [ready, ready_test]
         fitted = {name: models.estimator(name, sizes["train"], seed, settings).fit(ready) for name in ["logistic", *models.CANDIDATES]}
         majority = 1 if spec.positive_rate > 0.5 else 0
         compared = metrics.evaluate(models.predictions(fitted, ready_test, majority), ["model"]).collect()  # a row per model
@@ -155,4 +162,5 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
         result = Result(spec, sizes.get("train", 0), sizes.get("test", 0), scores, winner, baseline, metrics.verdict(scores[winner], scores[baseline], metric), confusion[winner], features, scoring, leaks, statistics)
         return result, Fitted(spec, statistics, PipelineModel([*prep.stages, fitted[winner]]))
     finally:
-        typed.unpersist()
+        for frame in cached:
+            frame.unpersist()

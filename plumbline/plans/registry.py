@@ -1,6 +1,7 @@
-"""Registered queries and their oracle SQL, gathered from the query modules."""
+"""All registered queries of the library and their oracle SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from plumbline.plans.queries import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
