@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
@@ -81,3 +83,24 @@ def features(df: DataFrame, target: str, profiled: DataFrame | None = None, drop
     rows = sorted((profile(df) if profiled is None else profiled).collect(), key=lambda r: r["pos"])  # a row per column
     kept = [r for r in rows if r["name"] != target and r["name"] not in drop and not r["looks_like_date"]]
     return [r["name"] for r in kept if r["kind"] == "numeric"], [r["name"] for r in kept if r["kind"] == "categorical"]
+
+
+PREVIEW = 20
+
+
+@dataclass(frozen=True)
+class Summary:
+    columns: list[str]
+    rows: int
+    profiles: list[Row]
+    preview: list[Row]
+    target_candidates: list[str]
+    date_columns: list[str]
+
+
+def summarize(df: DataFrame, row_id: str) -> Summary:
+    """Profiles of all columns but row_id, the first PREVIEW rows, possible targets and date columns."""
+    names = [c for c in cells.supported(df) if c != row_id]
+    profiles = sorted(profile(df, names).collect(), key=lambda r: r["pos"])  # a row per column
+    binary = [r["name"] for r in profiles if r["cardinality"] == 2]
+    return Summary(names, df.count(), profiles, df.orderBy(row_id).limit(PREVIEW).collect(), binary, [r["name"] for r in profiles if r["looks_like_date"]])

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
+from plumbline.functions.random import uniform
 from plumbline.operators import eda, explain, leakage, metrics, models, preprocess, profile, sanitize, score, split
 from plumbline.plans import experiment
-from plumbline.sources import scored_csv
+from plumbline.sources import scored_csv, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -506,6 +507,39 @@ def prediction_distribution(spark, sf_dir):
     return score.distribution(table(spark, sf_dir, "orders").select(F.when(F.col("o_totalprice") > 150000, "dear").otherwise("cheap").alias("prediction")))
 
 
+# Random numbers and tables made by rule.
+
+_O_STATE = "(SELECT i, (42 + (i + 1) * 1831565813) & 4294967295 AS s FROM range(5000) t(i))"
+
+
+def _o_times(a: str, b: str) -> str:
+    return f"((({a}) & 65535) * ({b}) + (((({a}) >> 16) * ({b}) & 65535) << 16)) & 4294967295"
+
+
+@query(
+    "win03_counter_random",
+    f"""SELECT i AS id, xor(m, m >> 14) / 4294967296.0::DOUBLE AS u FROM (
+        SELECT i, xor(m, (m + ({_o_times("xor(m, m >> 7)", "m | 61")})) & 4294967295) AS m FROM (
+            SELECT i, {_o_times("xor(s, s >> 15)", "s | 1")} AS m FROM {_O_STATE}))""",
+)
+def counter_random(spark, sf_dir):
+    return uniform(spark.range(5000), F.col("id"), split.SEED, "u")
+
+
+@query("src12_synthetic_loans")
+def synthetic_loans(spark, sf_dir):
+    return synthetic.loans(spark, 2000)
+
+
+@query("agg21_importance_of_rules", "SELECT feature, avg(loss) AS importance, stddev_pop(loss) AS std FROM (" + union([
+    f"SELECT 'f{f}' AS feature, 1.0 - avg(CAST((l_quantity > 25) = (l_quantity > {20 + 5 * f + r}) AS DOUBLE)) AS loss FROM lineitem" for f in range(2) for r in range(3)
+]) + ") GROUP BY feature")
+def importance_of_rules(spark, sf_dir):
+    grid = F.explode(F.array(*[F.struct(F.lit(f"f{f}").alias("feature"), F.lit(r).alias("repeat"), F.lit(20 + 5 * f + r).alias("cut")) for f in range(2) for r in range(3)]))
+    d = table(spark, sf_dir, "lineitem").select("l_quantity", grid.alias("g")).select((F.col("l_quantity") > 25).cast("int").alias("y"), (F.col("l_quantity") > F.col("g.cut")).cast("int").alias("pred"), F.col("l_quantity").alias("score"), "g.feature", "g.repeat")
+    return explain.importances(d, 1.0, "accuracy")
+
+
 # Whole experiments.
 
 _FAST = models.Settings(trees=20, depth=6, rounds=4, boosted_depth=3, iterations=50)

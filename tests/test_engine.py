@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
+from plumbline.functions.random import uniform
 from plumbline.operators import eda, explain, leakage, metrics, models, preprocess, profile, sanitize, score, split
 from plumbline.plans import artifact, experiment, modelcard, narrate
-from plumbline.sources import csv_scan, scored_csv
+from plumbline.sources import csv_scan, scored_csv, synthetic
 from plumbline.streaming import scoring
 
 FAST = models.Settings(trees=10, depth=5, rounds=3, boosted_depth=3, iterations=50)
@@ -255,3 +256,20 @@ def test_permutation_moves_values_within_their_column(spark):
             own, other = [r["x"] for r in rows], [r["c"] for r in rows]
             assert sorted(own) == [float(i) for i in range(20)]
             assert (own == [float(i) for i in range(20)]) == (feature == "c") and (other == ["abc"[i % 3] for i in range(20)]) == (feature == "x")
+
+
+def test_random_columns_follow_the_sequence(spark):
+    got = [r["u"] for r in uniform(spark.range(200), F.col("id"), 42, "u").orderBy("id").collect()]
+    assert got == [split.counter_random(42, k) for k in range(200)]
+
+
+def test_synthetic_tables(spark):
+    loans = synthetic.loans(spark)
+    assert [c for c, _, _ in leakage.findings(loans, F.col("defaulted") == 1, ["income", "amount", "rating", "work", "recovered"])] == ["recovered"]
+    for made, target in ((synthetic.marketing(spark), "converted"), (synthetic.attrition(spark), "left")):
+        assert made.count() == 200 and 0.2 < made.agg(F.avg(target)).first()[0] < 0.8
+    table, report = sanitize.sanitize(synthetic.messy_customers(spark), "__row_id")
+    assert (report.rows_before, report.rows_after) == (200, 190)
+    assert report.exclusions == [("customer", "id-column"), ("country", "constant-column")] and [c for c, _ in report.coercions] == ["age"]
+    s = profile.summarize(table, "__row_id")
+    assert s.rows == 190 and s.target_candidates == ["signed"] and len(s.preview) == 20 and s.date_columns == []
