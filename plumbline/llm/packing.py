@@ -43,7 +43,7 @@ SMALL_PART = 3
 #: Room up to this part of the capacity is too little to be worth filling.
 TIGHT_PART = 512
 #: Entries of a worker's cache of encoded words.
-CACHE = 500_000
+CACHE = 250_000
 MAX_PIVOTS = 3000
 
 
