@@ -1,19 +1,17 @@
 """Univariate scores against a binary target, exact and without a task per column.
 
-The rank AUC needs ranks over all values of a column. Values are counted once
-each, cut into buckets at approximate quantiles, and ranked within buckets on
-top of the buckets' totals; the boundaries are approximate, the result exact.
+The rank AUC counts values once each and ranks them by buckets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.profile import distinct_cells, profile
+from plumbline.operators.ranks import BUCKETS, ranked
 
 THRESHOLD = 0.98
-BUCKETS = 64
 
 
 def rank_auc(counts: DataFrame, by: list[str], value: str = "num", buckets: int = BUCKETS) -> DataFrame:
@@ -21,18 +19,9 @@ def rank_auc(counts: DataFrame, by: list[str], value: str = "num", buckets: int
 
     0.5 where a class has no row. Null values are passed over.
     """
-    d = counts.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"), "n", "hits")
-    edges = d.groupBy(*by).agg(F.percentile_approx("__v", [i / buckets for i in range(1, buckets)], F.lit(1000)).alias("__edges"))
-    # One row for each group, of at most `buckets` numbers.
-    d = d.join(edges, by) if by else d.crossJoin(F.broadcast(edges))
-    d = d.withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col("__v")))).drop("__edges")
-    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy(*by, "__b").agg(F.sum("n").alias("__t"))
-    totals = totals.withColumn("__base", F.coalesce(F.sum("__t").over(before), F.lit(0))).drop("__t")
-    within = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(totals, [*by, "__b"])
-    rank = F.col("__base") + F.coalesce(F.sum("n").over(within), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0)
-    got = d.withColumn("__rank", rank).groupBy(*by).agg(F.sum(F.col("hits") * F.col("__rank")).alias("r"), F.sum("hits").alias("p"), F.sum("n").alias("n"))
+    d = ranked(counts.select(*by, value, "n", "hits"), by, value, buckets)
+    rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
+    got = d.groupBy(*by).agg(F.sum(F.col("hits") * rank).alias("r"), F.sum("hits").alias("p"), F.sum("n").alias("n"))
     p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
     return got.select(*by, F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).otherwise(0.5).alias("auc"))
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
+from plumbline.operators import ranks
 from plumbline.operators.profile import distinct_cells
 
 #: Training rows that a category needs for a slot of its own.
@@ -38,8 +39,11 @@ def typed(df: DataFrame, numeric: list[str], categorical: list[str], keep: list[
 
 
 def medians(train: DataFrame, numeric: list[str]) -> DataFrame:
-    """One row: the exact median of each column, the mean of the middle two where they are two."""
-    return train.agg(*[F.median(F.col(f"`{c}`")).alias(c) for c in numeric])
+    """(column, median): exact, the mean of the middle two values where they are two; no row for a column of nulls.
+
+    By ranks of distinct values: an aggregate that holds a column's values would not fit a task.
+    """
+    return ranks.medians(distinct_cells(train, numeric).select("column", "num", "n"), ["column"], "num")
 
 
 def scaling(train: DataFrame, medians: dict[str, float]) -> DataFrame:
@@ -67,9 +71,10 @@ def learn(train: DataFrame, numeric: list[str], categorical: list[str]) -> Stati
     """Statistics of typed training rows: a pass for medians and ranges, one for scaling, one for categories."""
     s = Statistics()
     if numeric:
-        exprs = [f(F.col(f"`{c}`")).alias(f"{name}{i}") for i, c in enumerate(numeric) for f, name in ((F.median, "m"), (F.min, "lo"), (F.max, "hi"))]
+        exprs = [f(F.col(f"`{c}`")).alias(f"{name}{i}") for i, c in enumerate(numeric) for f, name in ((F.min, "lo"), (F.max, "hi"))]
         row = train.agg(*exprs).first()
-        s.medians = {c: row[f"m{i}"] if row[f"m{i}"] is not None else 0.0 for i, c in enumerate(numeric)}
+        middle = {r["column"]: r["median"] for r in medians(train, numeric).collect()}  # a row per column
+        s.medians = {c: middle.get(c, 0.0) for c in numeric}
         s.ranges = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(numeric)}
         row = scaling(train, s.medians).first()
         s.means = {c: row[f"{c}_mean"] or 0.0 for c in numeric}

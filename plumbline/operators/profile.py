@@ -57,11 +57,10 @@ def profile(df: DataFrame, names: list[str] | None = None, distinct: DataFrame |
 
 def target_classes(df: DataFrame, target: str, row_id: str | None = None) -> DataFrame:
     """(label, n) per class of the target, in order of first appearance where row_id tells it, else of label."""
-    value = cells.cell(df, target)[0]
-    first = F.min(F.col(row_id)) if row_id else F.min(value)
-    got = df.select(value.alias("label"), *([row_id] if row_id else [])).filter("label IS NOT NULL") if row_id else df.select(value.alias("label")).filter("label IS NOT NULL")
-    got = got.groupBy("label").agg(F.count(F.lit(1)).alias("n"), (first if row_id else F.min("label")).alias("first"))
-    return got.orderBy("first").select("label", "n")
+    label = cells.cell(df, target)[0].alias("label")
+    first = F.min(row_id if row_id else "label").alias("first")
+    rows = df.select(label, *([row_id] if row_id else [])).filter("label IS NOT NULL")
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), first).orderBy("first").select("label", "n")
 
 
 def two_classes(df: DataFrame, target: str) -> list[tuple[str, int]]:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 TEST_SIZE = 0.25
 SEED = 42
-BUCKETS = 64
 _MASK = 0xFFFFFFFF
 
 
@@ -29,7 +28,7 @@ def stratified(df: DataFrame, label: Column, row_id: str, test_size: float = TES
     """
     _check(test_size)
     d = df.withColumn("__label", label).withColumn("__key", F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string"))))
-    d = d.withColumn("__b", F.substring("__key", 1, 2))
+    d = d.withColumn("__b", F.substring("__key", 1, 3))
     counts = d.groupBy("__label", "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy("__label")
     base = counts.withColumn("__base", F.coalesce(F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

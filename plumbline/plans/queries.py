@@ -341,7 +341,7 @@ def train_part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.stratified(table(spark, sf_dir, "orders"), F.col("o_orderstatus"), "o_orderkey").filter("part = 'train'")
 
 
-@query("agg11_train_medians", f"SELECT CAST(median(o_totalprice) AS DOUBLE) AS o_totalprice, CAST(median(CAST(o_custkey AS DOUBLE)) AS DOUBLE) AS o_custkey FROM {_O_TRAIN}")
+@query("agg11_train_medians", union([f"SELECT '{c}' AS \"column\", CAST(median(CAST({c} AS DOUBLE)) AS DOUBLE) AS median FROM {_O_TRAIN}" for c in ("o_totalprice", "o_custkey")]))
 def train_medians(spark, sf_dir):
     return preprocess.medians(preprocess.typed(train_part(spark, sf_dir), ["o_totalprice", "o_custkey"], []), ["o_totalprice", "o_custkey"])
 

@@ -77,8 +77,8 @@ def read(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFr
         raw = raw.filter(trimmed("c0") != "")
     if raw.isEmpty():
         raise CsvError("empty")
-    if limits.max_rows is not None and (n := raw.limit(limits.max_rows + 1).count()) > limits.max_rows:
-        raise CsvError("too-many-rows", rows=raw.count() if n else n, max_rows=limits.max_rows)
+    if limits.max_rows is not None and raw.limit(limits.max_rows + 1).count() > limits.max_rows:
+        raise CsvError("too-many-rows", rows=raw.count(), max_rows=limits.max_rows)
     bad = raw.filter(F.col(_BAD).isNotNull())
     if broken := bad.orderBy("__at").limit(1).collect():
         row = raw.filter(F.col("__at") < broken[0]["__at"]).count() + 2
