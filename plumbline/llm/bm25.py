@@ -31,11 +31,11 @@ from .common import stash, text_or_empty, work_path
 K1, B = 1.2, 0.75
 TOP = 10
 #: Documents in a block, and documents and characters of text in a shard at most.
-BLOCK, SHARD_DOCS, SHARD_CHARS = 64, 8192, 64 << 20
+BLOCK, SHARD_DOCS, SHARD_CHARS = 64, 4096, 32 << 20
 #: Blocks that are scored before bounds are compared again.
 STRIDE = 8
 #: Queries that a shard holds at a time.
-QUERIES = 256
+QUERIES = 64
 
 _TERM = re.compile(r"\w+")
 _SHARD = "ids binary, lengths binary, terms array<string>, starts binary, postings binary, counts binary"
@@ -46,18 +46,22 @@ def terms_of(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def _pack(held: list[tuple[int, Counter]]) -> dict:
-    """A shard: documents in blocks' order, and each one's (term, count) with terms in order of their spelling."""
-    held.sort(key=lambda h: (min(h[1], key=lambda t: (-h[1][t], t), default=""), h[1].total(), h[0]))
-    vocabulary = sorted(set().union(*(c for _, c in held)))
-    number = {t: i for i, t in enumerate(vocabulary)}
-    size = np.array([len(c) for _, c in held], np.int64)
-    term = np.fromiter((number[t] for _, c in held for t in c), np.int32, int(size.sum()))
-    count = np.fromiter((n for _, c in held for n in c.values()), np.int32, int(size.sum()))
-    order = np.lexsort((term, np.repeat(np.arange(len(held)), size)))
+def _pack(held: list[tuple], number: dict[str, int]) -> dict:
+    """A shard: documents in blocks' order, and each one's (term, count) with terms in order of their spelling.
+
+    held has (id, length, commonest term, terms' numbers, counts) for each document.
+    """
+    held.sort(key=lambda h: (h[2], h[1], h[0]))
+    vocabulary = sorted(number)
+    place = np.empty(len(vocabulary), np.int32)
+    place[np.fromiter((number[t] for t in vocabulary), np.int64, len(vocabulary))] = np.arange(len(vocabulary), dtype=np.int32)
+    size = np.array([len(h[3]) for h in held], np.int64)
+    term = place[np.concatenate([h[3] for h in held])]
+    count = np.concatenate([h[4] for h in held])
+    order = np.lexsort((term, np.repeat(np.arange(len(held), dtype=np.int32), size)))
     return {
         "ids": np.array([h[0] for h in held], np.int64).tobytes(),
-        "lengths": np.array([c.total() for _, c in held], np.int64).tobytes(),
+        "lengths": np.array([h[1] for h in held], np.int64).tobytes(),
         "terms": vocabulary,
         "starts": np.concatenate([[0], np.cumsum(size)]).astype(np.int64).tobytes(),
         "postings": term[order].tobytes(),
@@ -67,16 +71,20 @@ def _pack(held: list[tuple[int, Counter]]) -> dict:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("terms", pa.list_(pa.string())), ("starts", pa.binary()), ("postings", pa.binary()), ("counts", pa.binary())])
-    held, chars = [], 0
+    held, number, chars = [], {}, 0
     for b in batches:
-        for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for i, text in zip(b.column(0), b.column(1), strict=True):
+            i, text = i.as_py(), text.as_py()
             if held and (len(held) >= SHARD_DOCS or chars + len(text) > SHARD_CHARS):
-                yield pa.RecordBatch.from_pylist([_pack(held)], schema)
-                held, chars = [], 0
-            held.append((i, Counter(terms_of(text))))
+                yield pa.RecordBatch.from_pylist([_pack(held, number)], schema)
+                held, number, chars = [], {}, 0
+            c = Counter(terms_of(text))
+            ids = np.fromiter((number.setdefault(t, len(number)) for t in c), np.int32, len(c))
+            first = c.most_common(1)[0][0] if c else ""
+            held.append((i, c.total(), first, ids, np.fromiter(c.values(), np.int32, len(c))))
             chars += len(text)
     if held:
-        yield pa.RecordBatch.from_pylist([_pack(held)], schema)
+        yield pa.RecordBatch.from_pylist([_pack(held, number)], schema)
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -115,9 +123,12 @@ class _Shard:
         # The inverted index: (term, block) in order, with the greatest impact of each.
         code = self.term.astype(np.int64) * blocks + of
         order = np.argsort(code, kind="stable")
-        code, first = np.unique(code[order], return_index=True)
+        code, impact = code[order], self.impact[order]
+        del of, order, norm, count
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        code = code[first]
         self.block = code % blocks
-        self.most = np.maximum.reduceat(self.impact[order], first) if len(first) else np.zeros(0)
+        self.most = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
         self.lists = np.searchsorted(code // blocks, np.arange(len(self.number) + 1))
         self.blocks = blocks
 
