@@ -5,9 +5,13 @@ The rank AUC counts values once each and ranks them by buckets.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from plumbline.functions import cells
 from plumbline.operators.profile import distinct_cells, profile
 from plumbline.operators.ranks import BUCKETS, ranked
 
@@ -34,12 +38,24 @@ def purity(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def scores(df: DataFrame, positive: Column, names: list[str]) -> DataFrame:
     """(pos, column, kind, score) per column that is not date-like: max(auc, 1 - auc), or purity of a categorical one."""
-    counts = distinct_cells(df, names, positive)
-    kinds = profile(df, names, counts).select(F.col("pos").alias("__pos"), "kind", "looks_like_date")
-    known = counts.join(F.broadcast(kinds), F.col("pos") == F.col("__pos")).filter(~F.col("looks_like_date"))  # a row per column
-    by = ["pos", "column", "kind"]
-    numeric = rank_auc(known.filter("kind = 'numeric'"), by).select(*by, F.greatest("auc", 1 - F.col("auc")).alias("score"))
-    return numeric.unionByName(purity(known.filter("kind = 'categorical'"), by).withColumnRenamed("purity", "score"))
+    kinds = {c: "numeric" if cells.is_numeric_type(df.schema[c].dataType) else "categorical" for c in names if not cells.is_date_type(df.schema[c].dataType)}
+    # Only text needs a look at its cells to tell what it holds.
+    if texts := [c for c in kinds if isinstance(df.schema[c].dataType, T.StringType)]:
+        for r in profile(df, texts).collect():  # a row per column
+            if r["looks_like_date"]:
+                del kinds[r["name"]]
+            else:
+                kinds[r["name"]] = r["kind"]
+    by, parts = ["pos", "column"], []
+    if numeric := [c for c, kind in kinds.items() if kind == "numeric"]:
+        got = rank_auc(distinct_cells(df, numeric, positive), by)
+        parts.append(got.select(*by, F.lit("numeric").alias("kind"), F.greatest("auc", 1 - F.col("auc")).alias("score")))
+    if others := [c for c, kind in kinds.items() if kind == "categorical"]:
+        got = purity(distinct_cells(df, others, positive), by)
+        parts.append(got.select(*by, F.lit("categorical").alias("kind"), F.col("purity").alias("score")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "pos int, column string, kind string, score double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def flagged(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
