@@ -3,14 +3,17 @@
 Two first-order Markov models of characters, one of random strings and one of
 ordinary identifiers, are trained from labelled samples by counting pairs of
 characters. A run of token characters is a secret where the log-likelihood
-ratio of the two is high enough, in all and for each pair. Everything is made
-of built-in functions: matches give the text between them by ``split``, and
-lengths of both give positions in code points.
+ratio of the two is high enough, in all and for each pair; where that of the
+whole run is not, its best-scoring stretches are looked for, so that ordinary
+text joined to a secret does not hide it. Everything is made of built-in
+functions: matches give the text between them by ``split``, and lengths of
+both give positions in code points.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +29,8 @@ ASSIGN_VALUE, ACCESS_LENGTH, HEX_LENGTH = 6, 20, 24
 KINDS = ["assign", "access", "hex", "markov"]
 #: Characters that the models know; a run of others ends a candidate.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE_LENGTH = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{CANDIDATE_LENGTH},}}"
 #: Least log-likelihood ratio in nats, in all and for each pair of characters.
 LEAST_TOTAL, LEAST_EACH = 12.0, 0.5
 #: Labelled samples of each kind that the default models are trained from.
@@ -130,8 +134,93 @@ def _spans(text: Column, pattern: str, kind: int, matches: Column) -> Column:
     return F.when(F.size(matches) > 0, walked).otherwise(none)
 
 
-def _overlaps(x: Column, others: Column) -> Column:
-    return F.exists(others, lambda o: (o["start"] < x["end"]) & (x["start"] < o["end"]))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _pieces(run: Column, base: Column) -> Column:
+    """(start, value) of the parts of a run that no span of base, which is in order, covers; too short ones are left out."""
+    none = F.array().cast("array<struct<start:int,value:string>>")
+
+    def upto(state: Column, end: Column) -> Column:
+        part = F.struct(state["at"].alias("start"), F.substring(run["value"], state["at"] - run["start"] + 1, end - state["at"]).alias("value"))
+        return F.when(end - state["at"] >= CANDIDATE_LENGTH, F.concat(state["out"], F.array(part))).otherwise(state["out"])
+
+    def step(state: Column, o: Column) -> Column:
+        return F.struct(F.greatest(state["at"], F.least(o["end"], run["end"])).alias("at"), upto(state, o["start"]).alias("out"))
+
+    over = F.filter(base, lambda o: (o["start"] < run["end"]) & (run["start"] < o["end"]))
+    return F.aggregate(over, F.struct(run["start"].alias("at"), none.alias("out")), step, lambda s: upto(s, run["end"]))
+
+
+def _stretches(piece: Column, table: Column) -> Column:
+    """Spans of a piece that the models take for random: all of it where its average is high enough, or else its best stretches.
+
+    A stretch has CANDIDATE_LENGTH characters at least and the greatest sum of
+    what its pairs have over LEAST_EACH. It ends where LEAST_TOTAL is lost
+    again, after which the next is looked for. Letters and digits next to a
+    stretch belong to it.
+    """
+    value, short = piece["value"], CANDIDATE_LENGTH - 1
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    enough = lambda over, n: (over >= 0) & (over + LEAST_EACH * n >= LEAST_TOTAL)
+
+    def whole(start: Column, end: Column) -> Column:
+        before = F.length(F.regexp_extract(F.substring(value, F.lit(1), start), "[A-Za-z0-9]*$", 0))
+        after = F.length(F.regexp_extract(F.substring(value, end + 1, F.length(value)), "^[A-Za-z0-9]*", 0))
+        return F.struct((start - before).cast("int").alias("start"), (end + after).cast("int").alias("end"))
+
+    def closed(s: Column) -> Column:
+        """Stretches so far with the best one, which joins the one before if they meet."""
+        return _let(whole(s["first"], s["last"] + 1), lambda x: F.when(
+            (F.size(s["out"]) > 0) & (F.coalesce(F.try_element_at(s["out"], F.lit(-1))["end"], F.lit(-1)) >= x["start"]),
+            F.concat(F.slice(s["out"], F.lit(1), F.size(s["out"]) - 1), F.array(F.struct(F.try_element_at(s["out"], F.lit(-1))["start"].alias("start"), x["end"].alias("end")))),
+        ).otherwise(F.concat(s["out"], F.array(x))))
+
+    def found(x: Column) -> Column:
+        n = F.size(x)
+
+        def step(s: Column, i: Column) -> Column:
+            def best(t: Column) -> Column:
+                up = t["sum"] - t["low"] > t["best"]
+                moved = F.struct(
+                    t["sum"].alias("sum"), t["back"].alias("back"), t["low"].alias("low"), t["at"].alias("at"), t["least"].alias("least"),
+                    F.when(up, t["sum"] - t["low"]).otherwise(t["best"]).alias("best"), F.when(up, t["at"]).otherwise(t["first"]).alias("first"),
+                    F.when(up, i).otherwise(t["last"]).alias("last"), F.when(up, t["sum"]).otherwise(t["top"]).alias("top"), t["out"].alias("out"),
+                )
+                return _let(moved, close)
+
+            def close(t: Column) -> Column:
+                over = enough(t["best"], t["last"] - t["first"]) & (t["top"] - t["sum"] >= LEAST_TOTAL)
+                return F.when(over, state(t["sum"], t["back"], t["last"], closed(t))).otherwise(t)
+
+            at = i - short
+            total, back = s["sum"] + F.element_at(x, i), s["back"] + F.when(at > 0, F.element_at(x, F.greatest(at, F.lit(1)))).otherwise(0.0)
+            lower = (at >= s["least"]) & (back < s["low"])
+            t = F.struct(
+                total.alias("sum"), back.alias("back"), F.when(lower, back).otherwise(s["low"]).alias("low"), F.when(lower, at).otherwise(s["at"]).alias("at"), s["least"].alias("least"),
+                s["best"].alias("best"), s["first"].alias("first"), s["last"].alias("last"), s["top"].alias("top"), s["out"].alias("out"),
+            )
+            return _let(t, best)
+
+        def finish(s: Column) -> Column:
+            every = F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end")))
+            return F.when(enough(s["sum"], n), every).otherwise(F.when(enough(s["best"], s["last"] - s["first"]), closed(s)).otherwise(s["out"]))
+
+        return F.aggregate(F.sequence(F.lit(1), n), state(F.lit(0.0), F.lit(0.0), F.lit(0), none), step, finish)
+
+    def state(total: Column, back: Column, least: Column, out: Column) -> Column:
+        # Sums of what pairs have over LEAST_EACH: of all pairs, and of those CANDIDATE_LENGTH - 1 back, whose least at or after ``least`` begins the stretch.
+        return F.struct(
+            total.alias("sum"), back.alias("back"), F.lit(1e300).alias("low"), F.lit(0).alias("at"), least.alias("least"),
+            F.lit(-1e300).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0.0).alias("top"), out.alias("out"),
+        )
+
+    codes = F.transform(F.regexp_extract_all(value, F.lit("."), F.lit(0)), _code)
+    ratio = lambda c, i: F.element_at(table, (F.element_at(c, i) * len(ALPHABET) + F.element_at(c, i + 1) + 1).cast("int")) - LEAST_EACH
+    spans = _let(_let(codes, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: ratio(c, i))), found)
+    return F.transform(spans, lambda s: F.struct((piece["start"] + s["start"]).alias("start"), F.lit(3).alias("kind"), (piece["start"] + s["end"]).alias("end"), F.substring(value, s["start"] + 1, s["end"] - s["start"]).alias("value")))
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "text", into: str = "__found") -> DataFrame:
@@ -139,8 +228,8 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "te
 
     Spans are in order of start and then kind; start and end count code points,
     end exclusive. base holds those of the fixed patterns, leftmost and without
-    overlap within a kind; all holds also runs that the models take for random,
-    where they overlap none of base. Null and empty texts have none. Rows are
+    overlap within a kind; all holds also what the models take for random in the
+    parts of runs that base does not cover. Null and empty texts have none. Rows are
     neither dropped nor joined, so repeated rows and nulls in other columns
     stay as they are; only ``into`` is added.
     """
@@ -159,12 +248,7 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "te
     ]
     d = d.withColumn("__base", F.array_sort(F.concat(*[F.filter(f"__s{k}", f) for k, f in enumerate(least)])))
 
-    def random(s: Column) -> Column:
-        pairs = F.sequence(F.lit(1), F.length(s["value"]) - 1)
-        ratio = F.aggregate(pairs, F.lit(0.0), lambda a, i: a + F.element_at(table, (_place(s["value"], i) + 1).cast("int")))
-        return (ratio >= LEAST_TOTAL) & (ratio >= LEAST_EACH * F.size(pairs))
-
-    added = F.filter("__s3", lambda s: ~_overlaps(s, F.col("__base")) & random(s))
+    added = F.flatten(F.transform(F.flatten(F.transform("__s3", lambda s: _pieces(s, F.col("__base")))), lambda p: _stretches(p, table)))
     d = d.withColumn("__all", F.when(F.size("__s3") > 0, F.array_sort(F.concat("__base", added))).otherwise(F.col("__base")))
     return d.select(*names, F.struct(F.col("__base").alias("base"), F.col("__all").alias("all")).alias(into))
 
