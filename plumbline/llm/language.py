@@ -3,6 +3,8 @@
 Linear support vector machines first decide between language families, one
 against one; those of the family that wins then separate its languages, one
 against one. All share one vector of hashed byte trigrams of the whole text.
+That one language wins says nothing of texts in none of them, so each language
+also has a profile of its trigrams, which a text has to fit.
 """
 
 from __future__ import annotations
@@ -23,8 +25,10 @@ PER_LANGUAGE, TRAINING = 600, 4800
 EPOCHS, COST = 12, 10.0
 #: Bytes of a text that are held as arrays at a time.
 SLICE = 1 << 20
-#: Score below which a prediction is rejected by ``accepted``.
-LEAST_SCORE = 0.2
+#: Of a language's labelled rows, one in CALIBRATION is kept from its profile; of those, the share FITTING has to fit.
+CALIBRATION, FITTING = 4, 0.95
+#: Least limit of misfit in deviations, and variance of texts' means beside that of sampling.
+LEAST_LIMIT, SPREAD = 4.0, 0.03
 #: Texts whose vectors are held at a time.
 CHUNK = 256
 
@@ -117,6 +121,32 @@ def vote(classes: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return best, least[np.arange(n), best]
 
 
+class Profile:
+    """How well a text fits a language: its trigrams' mean log-likelihood ratio to evenly spread ones, against that of labelled rows.
+
+    x's squares are shares of trigrams. Rows of x in turn teach and calibrate;
+    a text's misfit is how far it is below the calibrating rows' median, in
+    deviations of the mean of as many trigrams.
+    """
+
+    def __init__(self, x: np.ndarray):
+        kept = np.arange(len(x)) % CALIBRATION == CALIBRATION - 1
+        kept = kept if kept.any() else np.ones(len(x), bool)
+        share = (x[~kept] if not kept.all() else x).astype(np.float64) ** 2
+        p = share.mean(0)
+        p = 0.98 * p / max(p.sum(), 1e-12) + 0.02 / FEATURES
+        self.ratio = np.log(p * FEATURES)
+        self.variance = float(p @ self.ratio**2 - (p @ self.ratio) ** 2)
+        self.middle, self.limit = 0.0, 0.0
+        self.middle = float(np.median(x[kept].astype(np.float64) ** 2 @ self.ratio))
+        self.limit = max(LEAST_LIMIT, float(np.quantile(self.misfit(x[kept]), FITTING)))
+
+    def misfit(self, x: np.ndarray) -> np.ndarray:
+        share = x.astype(np.float64) ** 2
+        # Three trigrams share each byte.
+        return (self.middle - share @ self.ratio) / np.sqrt(3 * self.variance * (share**2).sum(1) + SPREAD)
+
+
 class Model:
     """Families, and within each its languages; x has a last column of ones."""
 
@@ -124,6 +154,15 @@ class Model:
         family = np.array([FAMILY.get(c, c) for c in lang.tolist()])
         self.families = one_against_one(x, family)
         self.languages = {f: one_against_one(x, np.where(family == f, lang, "")) for f in self.families[0]}
+        self.profiles = {c: Profile(x[lang == c, :-1]) for c in sorted(set(lang.tolist()))}
+
+    def fit(self, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
+        """How far each row is within the limit of its language's profile; negative beyond it."""
+        out = np.zeros(len(x))
+        for c in set(lang.tolist()):
+            at = lang == c
+            out[at] = self.profiles[c].limit - self.profiles[c].misfit(x[at])
+        return out
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         one = np.hstack([x, np.ones((len(x), 1), x.dtype)])
@@ -169,13 +208,13 @@ def train(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", te
 
 
 def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score, which replace any of those names.
+    """docs with the columns lang_pred, score and fit, which replace any of those names.
 
-    Only the text decides. Null texts and texts without a letter, or all where
-    there is no model, are ``und`` with score 0. Rows stay as they are: repeated
+    fit is how far the text is within the limit of its language's profile. Only the text decides. Null texts and texts without a letter, or all where
+    there is no model, are ``und`` with score and fit 0. Rows stay as they are: repeated
     ones are repeated, and an empty table gives none.
     """
-    names = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    names = [c for c in docs.columns if c not in ("lang_pred", "score", "fit")]
     at_text = names.index(text_col)
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,15 +222,17 @@ def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
             for at in range(0, b.num_rows, CHUNK):
                 part = b.slice(at, CHUNK)
                 texts = part.column(at_text).to_pylist()
-                lang, score = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+                lang, score, fit = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts)), np.zeros(len(texts))
                 known = np.array([model is not None and has_letter(t) for t in texts], bool)
                 if known.any():
-                    lang[known], score[known] = model.predict(np.stack([features(t) for t, k in zip(texts, known, strict=True) if k]))
-                found = [pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*names, "lang_pred", "score"])
+                    x = np.stack([features(t) for t, k in zip(texts, known, strict=True) if k])
+                    lang[known], score[known] = model.predict(x)
+                    fit[known] = model.fit(x, lang[known])
+                found = [pa.array(lang.tolist(), pa.string()), pa.array(np.clip(score, 0, 1)), pa.array(fit)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*names, "lang_pred", "score", "fit"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema)
-    return docs.select(*names).mapInArrow(predicted, f"{kinds}, lang_pred string, score double")
+    return docs.select(*names).mapInArrow(predicted, f"{kinds}, lang_pred string, score double, fit double")
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,6 +245,6 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def accepted(lang: str = "lang_pred", score: str = "score") -> Column:
-    """Whether a prediction stands: a language, with a score of LEAST_SCORE or more."""
-    return (F.col(lang) != UNDETERMINED) & (F.col(score) >= LEAST_SCORE)
+def accepted(lang: str = "lang_pred", fit: str = "fit") -> Column:
+    """Whether a prediction stands: a language, whose profile the text fits."""
+    return (F.col(lang) != UNDETERMINED) & (F.col(fit) >= 0)

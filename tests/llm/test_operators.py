@@ -237,6 +237,31 @@ def test_language_by_family_and_pair(spark):
     assert {r["lang_pred"] for r in language.identify(docs.limit(3), None).collect()} == {"und"}
 
 
+def test_accepted_languages_only(spark):
+    own = {
+        "en": "the house stood upon a hill and many people walked there every morning with their children because water from that spring was known to be good for everyone who lived near by or had come far",
+        "de": "das haus stand auf einem hügel und viele leute gingen dort jeden morgen mit ihren kindern hin weil das wasser aus dieser quelle für alle die in der nähe wohnten oder weit gereist waren gut war",
+        "fr": "la maison était sur une colline et beaucoup de gens y allaient chaque matin avec leurs enfants parce que cette eau de source était bonne pour tous ceux qui vivaient près de là ou venaient de loin",
+        "es": "la casa estaba sobre una colina y mucha gente caminaba hasta allí cada mañana con sus hijos porque el agua de aquella fuente era buena para todos los que vivían cerca o habían llegado de lejos",
+    }
+    draw, rows = np.random.default_rng(0), []
+    for lang, words in own.items():
+        rows += [(len(rows) + k, " ".join(draw.choice(words.split(), 5 if k % 4 == 0 else 40)), lang) for k in range(80)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), ~language.held_out())
+    good = [(i, t) for i, t, _ in rows if i % 3 == 0]
+    noise = ["".join(draw.choice(list("abcdefghijklmnopqrstuvwxyz"), n)) for n in draw.integers(2, 10, 400)]
+    bad = [
+        "alle mensen worden vrij en gelijk in waardigheid en rechten geboren zij zijn begiftigd met verstand en geweten",
+        "ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto",
+        "все люди рождаются свободными и равными в своем достоинстве и правах",
+        *[" ".join(noise[at : at + 20]) for at in range(0, 400, 20)],
+    ]
+    docs = spark.createDataFrame(good + [(1000 + i, t) for i, t in enumerate(bad)], "doc_id long, text string")
+    kept = {r["doc_id"] for r in language.annotate(docs, model).filter(language.accepted()).collect()}
+    assert not [i for i in kept if i >= 1000]
+    assert len(kept) >= 0.97 * len(good)
+
+
 # PII
 
 
