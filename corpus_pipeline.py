@@ -34,9 +34,9 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate, rounded half up, says."""
+    """Each document as often as its fitted rate, rounded at random, says; likely toxic ones with rates under one half go."""
     labelled = mixing.quality_domains(common.docs_table(spark, sf_dir, "labels"))
-    rates = common.stash(mixing.copies(mixing.mix(docs, labelled)).select("doc_id", "copies"), "copies")
+    rates = common.stash(mixing.kept(mixing.mix(docs, labelled)).select("doc_id", "copies"), "copies")
     return mixing.apply(docs, rates)
 
 

@@ -30,6 +30,8 @@ SLICE = 1 << 20
 CHUNK = 256
 #: Shares of tokens that the default targets give the default domains.
 TARGETS = {"high": 0.88, "low": 0.09, "toxic": 0.03}
+#: Seed of the registered uses' random rounding.
+SEED = 20
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _WORD = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
@@ -247,6 +249,12 @@ def copies(rates: DataFrame, id_col: str = "doc_id", seed: int | None = None) ->
     return rates.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
+def kept(rates: DataFrame, id_col: str = "doc_id", seed: int = SEED, never: str = "toxic") -> DataFrame:
+    """``copies`` with a seed, but of documents likeliest of the domain ``never`` none with a rate under one half: rounded half up."""
+    fixed = F.floor(F.col("rate") + 0.5).cast("int")
+    return copies(rates, id_col, seed).withColumn("copies", F.when(F.col("domain") == never, fixed).otherwise(F.col("copies")))
+
+
 def apply(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, each row as often as rates(id_col, copies) says; of an id with several, the most counts."""
     times = rates.groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).filter(F.col("__copies") > 0)

@@ -59,7 +59,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = mixing.quality_domains(docs_table(spark, sf_dir, "labels"))
-    mixed = mixing.copies(mixing.mix(docs_table(spark, sf_dir), labelled))
+    mixed = mixing.copies(mixing.mix(docs_table(spark, sf_dir), labelled), seed=mixing.SEED)
     likeliest = F.array_max(F.map_values("posterior")).alias("probability")
     return mixed.select("doc_id", "tokens", "domain", likeliest, "rate", "copies")
 

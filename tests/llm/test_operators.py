@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bm25, components, embeddings, language, licenses, mixing, packing, pii, secrets, simhash, warc
+from plumbline.llm import bm25, components, embeddings, language, licenses, mixing, packing, pii, queries, secrets, simhash, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -352,6 +352,31 @@ def test_mixing_meets_targets(spark):
     assert Counter(r["doc_id"] for r in mixing.apply(docs, rates).collect()) == Counter({0: 2, 4: 1, None: 1})
 
 
+def test_tokens_kept_meet_targets(spark, tmp_path):
+    draw, rows, labels = np.random.default_rng(1), [], []
+    words = {"high": WORDS[:8], "low": WORDS[8:16], "toxic": ["vile", "foul", "rotten", "nasty"]}
+    domains = ["high"] * 6 + ["low"] * 3 + ["toxic"]
+    for i in range(4000):
+        domain = domains[i % 10]
+        rows.append((i, " ".join(draw.choice(words[domain], 30))))
+        labels.append((i, int(domain != "low"), int(domain == "toxic")))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    def shares(got):
+        total = Counter()
+        for r in got:
+            total[domains[r["doc_id"] % 10]] += r["tokens"] * r["copies"]
+        return {d: n / sum(total.values()) for d, n in total.items()}
+
+    got = shares(queries.op7_mixing(spark, str(tmp_path)).collect())
+    assert all(abs(got.get(d, 0) - w) < 0.02 for d, w in mixing.TARGETS.items())
+    # The pipeline keeps no likely toxic documents; the other domains meet their targets beside each other.
+    mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet"), mixing.quality_domains(spark.read.parquet(f"{tmp_path}/labels.parquet")))
+    got = shares(mixing.kept(mixed).collect())
+    assert got.get("toxic", 0) == 0 and abs(got["low"] / got["high"] - 0.09 / 0.88) < 0.02
+
+
 # Embeddings
 
 
