@@ -8,7 +8,8 @@ to the same one wherever and however it is written, on any executor, without a
 table of names. Kinds with a validity rule (card check digits, dialling codes,
 public addresses) walk the permutation's cycle until the rule holds as it did
 before. A pass over the distinct mentions checks that no surrogate stands for
-two entities; a kind for which one does is permuted anew.
+two entities, and that no entity has two surrogates; a kind for which that
+fails is permuted anew.
 """
 
 from __future__ import annotations
@@ -48,6 +49,20 @@ _ALPHABETS = [
 ]
 _OF = {c: a for a in _ALPHABETS for c in a}
 
+#: Country calling codes by length; a number that begins with none of them has its first digit for one.
+_CODES = {
+    1: "1 7",
+    2: "20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98",
+    3: (
+        "211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 232 233 234 235 236 237 238 239 240 241 242 243 244 245 246 247 248 "
+        "249 250 251 252 253 254 255 256 257 258 260 261 262 263 264 265 266 267 268 269 290 291 297 298 299 350 351 352 353 354 355 356 357 358 "
+        "359 370 371 372 373 374 375 376 377 378 380 381 382 383 385 386 387 389 420 421 423 500 501 502 503 504 505 506 507 508 509 590 591 592 "
+        "593 594 595 596 597 598 599 670 672 673 674 675 676 677 678 679 680 681 682 683 685 686 687 688 689 690 691 692 800 808 850 852 853 855 "
+        "856 870 878 880 881 882 883 886 888 960 961 962 963 964 965 966 967 968 970 971 972 973 974 975 976 977 979 992 993 994 995 996 998"
+    ),
+}
+CODES = {c for codes in _CODES.values() for c in codes.split()}
+
 _TITLES = "|".join(f"{FEMALE_TITLES} {MALE_TITLES} {OTHER_TITLES}".split())
 _NAME = r"[^\W\d_][^\W\d_'’-]*"
 _PATTERN = re.compile(
@@ -166,12 +181,16 @@ class Surrogates:
         return low, _cased(value, new.lower() if len(new) == len(value) else new)
 
     def _spelled(self, kind: str, value: str, valid: Callable[[str], bool]) -> tuple[str, str]:
-        """Digits replaced where they stand; a leading country code stays."""
-        code = re.match(r"\+\d{1,3}(?=[ .(-])", value) if kind == "phone" else None
-        head, rest = (code.group(), value[code.end() :]) if code else ("", value)
-        old = "".join(c for c in rest if c.isdigit())
-        new = iter(self.digits(kind, old, valid))
-        return f"{head}{old}", head + "".join(next(new) if c.isdigit() else c for c in rest)
+        """Digits replaced where they stand; a leading country code stays, whatever follows it."""
+        every = "".join(c for c in value if c.isdigit())
+        head = _code(every) if kind == "phone" and value.startswith("+") else ""
+        new = iter(head + self.digits(kind, every[len(head) :], valid))
+        return f"{'+' * bool(head)}{every}", "".join(next(new) if c.isdigit() else c for c in value)
+
+
+def _code(digits: str) -> str:
+    """The country code that an international number's digits begin with."""
+    return next((digits[:n] for n in (1, 2, 3) if digits[:n] in CODES), digits[:1])
 
 
 def _public(number: int) -> bool:
@@ -231,20 +250,21 @@ def mentions(docs: DataFrame, key: bytes, attempts: dict[str, int], text_col: st
                 for kind, a, z in find(text):
                     entity, new = s.text(kind, text[a:z])
                     # A surrogate stands for what a reader would take it for: its entity, not its spelling.
-                    shown = new.lower() if kind in ("email", "name") else "".join(c for c in new if c.isdigit() or c == "." and kind == "ip")
-                    rows.add((kind, mac(kind, "entity", entity if kind not in ("phone", "card") else "".join(c for c in entity if c.isdigit())), mac(kind, "shown", shown)))
+                    shown = new.casefold() if kind in ("email", "name") else "".join(c for c in new if c.isdigit() or c == "." and kind == "ip")
+                    shown = "+" * (kind == "phone" and new.startswith("+")) + shown
+                    rows.add((kind, mac(kind, "entity", entity), mac(kind, "shown", shown)))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.binary(), pa.binary()))], names=["kind", "entity", "shown"])
 
     return docs.select(F.col(text_col).alias("text")).dropna().mapInArrow(found, "kind string, entity binary, shown binary").distinct()
 
 
 def settled(docs: DataFrame, key: bytes, text_col: str = "text", tries: int = 8) -> dict[str, int]:
-    """Attempts of each kind under which no surrogate stands for two entities of docs."""
+    """Attempts of each kind under which no surrogate stands for two entities of docs, and no entity has two."""
     attempts = dict.fromkeys(KINDS, 0)
     for _ in range(tries):
         found = mentions(docs, key, attempts, text_col)
-        clash = found.groupBy("kind", "shown").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind").distinct()
-        bad = [r["kind"] for r in clash.collect()]  # at most one row for each kind
+        clash = [found.groupBy("kind", c).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("kind") for c in ("shown", "entity")]
+        bad = [r["kind"] for r in clash[0].union(clash[1]).distinct().collect()]  # at most one row for each kind
         if not bad:
             return attempts
         for kind in bad:

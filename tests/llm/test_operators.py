@@ -291,6 +291,29 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     assert pii.pseudonymise(spark.createDataFrame([], "doc_id long, text string"), b"key").count() == 0
 
 
+def test_surrogates_of_numbers_in_several_spellings(spark):
+    s = pii.Surrogates(b"k")
+    digits = lambda t: "".join(c for c in t if c.isdigit())
+    for spellings in (["+15551234567", "+1 (555) 123-4567", "+1-555-123-4567", "+1 555 123 4567"], ["+4930123456", "+49 30 123456"], ["+353861234567", "+353 86 123 4567"]):
+        assert len({digits(s.text("phone", t)[1]) for t in spellings}) == 1 and len({s.text("phone", t)[0] for t in spellings}) == 1
+        assert digits(s.text("phone", spellings[0])[1]) != digits(spellings[0])
+    texts = ["call +15551234567 now", "or +1 (555) 123-4567 then"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len({digits(r["text"]) for r in pii.pseudonymise(docs, b"key").collect()}) == 1
+    # A local number is another than an international one of the same digits; Greek capitals hide which sigma it is.
+    docs = spark.createDataFrame([(0, "at 555-123-4567 or +555 123 4567; Dr Σωσος, Dr ΣΩΣΟΣ")], "doc_id long, text string")
+    assert set(pii.settled(docs, b"key")) == set(pii.KINDS)
+
+
+def test_settled_fails_on_an_entity_with_two_surrogates(spark, monkeypatch):
+    docs = spark.createDataFrame([(0, "a 4041894974608795 and 4041-8949-7460-8795")], "doc_id long, text string")
+    assert pii.settled(docs, b"key")["card"] == 0
+    two = spark.createDataFrame([("card", bytearray(b"e"), bytearray(b"s1")), ("card", bytearray(b"e"), bytearray(b"s2"))], "kind string, entity binary, shown binary")
+    monkeypatch.setattr(pii, "mentions", lambda *_: two)
+    with pytest.raises(ValueError):
+        pii.settled(docs, b"key", tries=2)
+
+
 # WARC
 
 
