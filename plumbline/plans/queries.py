@@ -449,7 +449,7 @@ def feature_directions(spark, sf_dir):
     return explain.directions(d, ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"])
 
 
-# Novelty: the dearest orders as new data, against the others.
+# Novelty: every fourth order key as new data, against the others that are not urgent.
 
 _O_SEEN = "(SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderpriority <> '1-URGENT')"
 _O_NEW = "(SELECT * FROM orders WHERE o_orderkey % 4 = 0)"
