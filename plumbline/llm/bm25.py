@@ -1,26 +1,41 @@
-"""Exact top-k search by BM25 with block-max dynamic pruning.
-
-Each shard of documents has an inverted index that holds, for each term and
-block of documents, the greatest impact of the term in the block, beside the
-blocks' own postings. A query's upper bound for a block is the sum of its
-terms' greatest impacts there. Blocks are scored from the highest bound on, a
-few at a time, and the rest are skipped once their bounds fall below the k-th
-best score so far. Document counts, average length and document frequencies
-are those of all shards, so shards' results merge exactly.
-
-Within a shard, documents with the same commonest term and like lengths stand
-together, which makes bounds tight. Queries are written once, and every shard
-reads them in batches; neither side is multiplied.
+"""Exact top-k search by BM25 with block-max dynamic pruning over inverted postings.
+
+Each shard of documents is a file with postings in order of (term, document),
+in which documents of a commonest term and of like lengths stand together. A
+query has a goal: the k-th best score that is known so far. As in block-max
+WAND, a document is scored only if its bounds reach the goal:
+
+1. Terms that cannot reach the goal together by their greatest impacts, the
+   commonest ones, give no candidates; a shard whose terms cannot is skipped.
+   The postings of the other terms are summed.
+2. A candidate's bound is that sum and the greatest impacts of the remaining
+   terms in its block. Those whose bound is below the goal go.
+3. Remaining terms are added, the rarest first, while that reads less than the
+   candidates themselves; the goal rises with the sums, and candidates go.
+4. What is left is scored from its own terms, in the order of their spelling:
+   equal documents have equal scores whatever shard they are in.
+
+Document counts, average length and document frequencies are those of all
+shards, so results merge exactly. A first pass over one shard gives each query
+a goal. Then tasks take groups of shards and batches of queries, with one goal
+for each query over all shards of the group, and give k rows at most for each.
+Documents with equal texts are one within a shard, and queries with equal terms
+are one: a copy costs an id.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import uuid
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Window
@@ -30,15 +45,19 @@ from .common import stash, text_or_empty, work_path
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Documents in a block, and documents and characters of text in a shard at most.
-BLOCK, SHARD_DOCS, SHARD_CHARS = 64, 4096, 32 << 20
-#: Blocks that are scored before bounds are compared again.
-STRIDE = 8
-#: Queries that a shard holds at a time.
-QUERIES = 64
+#: Documents in a block, as a power of 2; documents (16 bits number them), characters and postings of a shard at most.
+BLOCK_BITS, SHARD_DOCS, SHARD_CHARS = 6, 16_384, 32 << 20
+#: Queries in a batch, about; groups of shards at least, and shards of a group beyond which there are more groups.
+QUERIES, GROUPS, GROUP_SHARDS = 512, 8, 1024
+#: Parts that the ids of queries with equal terms are dealt to.
+SALTS = 16
+#: Share of a goal that sums may miss, for rounding.
+MARGIN = 1e-9
 
 _TERM = re.compile(r"\w+")
-_SHARD = "ids binary, lengths binary, terms array<string>, starts binary, postings binary, counts binary"
+_SHARD = pa.schema(
+    [("terms", pa.list_(pa.string())), ("df", pa.list_(pa.uint32())), ("docs", pa.list_(pa.uint16())), ("counts", pa.list_(pa.uint32())), ("lengths", pa.list_(pa.int64())), ("copies", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64()))]
+)
 
 
 def terms_of(text: str) -> list[str]:
@@ -46,157 +65,273 @@ def terms_of(text: str) -> list[str]:
     return _TERM.findall(text.lower())
 
 
-def _pack(held: list[tuple], number: dict[str, int]) -> dict:
-    """A shard: documents in blocks' order, and each one's (term, count) with terms in order of their spelling.
+def _files(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+class _Gathered:
+    """Documents of a shard that is being made."""
+
+    def __init__(self) -> None:
+        self.number: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
+        self.ids: list[list[int]] = []
+        self.first: list[str] = []
+        self.lengths, self.sizes = array("q"), array("q")
+        self.terms, self.counts = array("i"), array("I")
+        self.chars = 0
+
+    def add(self, i: int, text: str) -> None:
+        digest = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+        at = self.known.setdefault(digest, len(self.ids))
+        if at < len(self.ids):
+            self.ids[at].append(i)
+            return
+        c = Counter(terms_of(text))
+        self.ids.append([i])
+        self.first.append(c.most_common(1)[0][0] if c else "")
+        self.lengths.append(c.total())
+        self.sizes.append(len(c))
+        number = self.number
+        self.terms.extend([number.setdefault(t, len(number)) for t in c])
+        self.counts.extend(c.values())
+        self.chars += len(text)
+
+    def table(self) -> pa.Table:
+        n, vocabulary = len(self.ids), sorted(self.number)
+        spelled = np.empty(len(vocabulary), np.int32)
+        spelled[np.fromiter((self.number[t] for t in vocabulary), np.int64, len(vocabulary))] = np.arange(len(vocabulary), dtype=np.int32)
+        order = sorted(range(n), key=lambda d: (self.first[d], self.lengths[d], self.ids[d][0]))
+        place = np.empty(n, np.uint16)
+        place[order] = np.arange(n, dtype=np.uint16)
+        term = spelled[np.frombuffer(self.terms, np.int32)] if len(self.terms) else np.zeros(0, np.int32)
+        docs = np.repeat(place, np.frombuffer(self.sizes, np.int64))
+        by_doc = np.argsort(docs, kind="stable")
+        at = by_doc[np.argsort(term[by_doc], kind="stable")]
+        counts = np.frombuffer(self.counts, np.uint32)[at] if len(self.counts) else np.zeros(0, np.uint32)
+        ids = [sorted(self.ids[d]) for d in order]
+        columns = [
+            vocabulary, np.bincount(term, minlength=len(vocabulary)).astype(np.uint32), docs[at], counts,
+            np.frombuffer(self.lengths, np.int64)[order], np.array([len(x) for x in ids], np.int64), np.array([i for x in ids for i in x], np.int64),
+        ]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), pa.array(c, f.type.value_type)) for c, f in zip(columns, _SHARD, strict=True)]
+        return pa.Table.from_arrays(lists, schema=_SHARD)
+
+
+def _written(folder: str, shard_docs: int, shard_chars: int):  # noqa: ANN202
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _files(folder)
+        files.create_dir(root, recursive=True)
+
+        def put(g: _Gathered) -> pa.RecordBatch:
+            name = f"{uuid.uuid4().hex}.shard"
+            with files.open_output_stream(f"{root}/{name}") as out:
+                pq.write_table(g.table(), out, compression="zstd", use_dictionary=False)
+            copies = [len(x) for x in g.ids]
+            tokens = sum(n * length for n, length in zip(copies, g.lengths, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([sum(copies)], pa.int64()), pa.array([tokens], pa.int64())], names=["path", "docs", "tokens"])
+
+        held = _Gathered()
+        for b in batches:
+            for i, text in zip(b.column(0), b.column(1), strict=True):
+                text = text.as_py()
+                if held.ids and (len(held.ids) >= shard_docs or held.chars + len(text) > shard_chars):
+                    yield put(held)
+                    held = _Gathered()
+                held.add(i.as_py(), text)
+        if held.ids:
+            yield put(held)
 
-    held has (id, length, commonest term, terms' numbers, counts) for each document.
-    """
-    held.sort(key=lambda h: (h[2], h[1], h[0]))
-    vocabulary = sorted(number)
-    place = np.empty(len(vocabulary), np.int32)
-    place[np.fromiter((number[t] for t in vocabulary), np.int64, len(vocabulary))] = np.arange(len(vocabulary), dtype=np.int32)
-    size = np.array([len(h[3]) for h in held], np.int64)
-    term = place[np.concatenate([h[3] for h in held])]
-    count = np.concatenate([h[4] for h in held])
-    order = np.lexsort((term, np.repeat(np.arange(len(held), dtype=np.int32), size)))
-    return {
-        "ids": np.array([h[0] for h in held], np.int64).tobytes(),
-        "lengths": np.array([h[1] for h in held], np.int64).tobytes(),
-        "terms": vocabulary,
-        "starts": np.concatenate([[0], np.cumsum(size)]).astype(np.int64).tobytes(),
-        "postings": term[order].tobytes(),
-        "counts": count[order].tobytes(),
-    }
-
-
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("ids", pa.binary()), ("lengths", pa.binary()), ("terms", pa.list_(pa.string())), ("starts", pa.binary()), ("postings", pa.binary()), ("counts", pa.binary())])
-    held, number, chars = [], {}, 0
-    for b in batches:
-        for i, text in zip(b.column(0), b.column(1), strict=True):
-            i, text = i.as_py(), text.as_py()
-            if held and (len(held) >= SHARD_DOCS or chars + len(text) > SHARD_CHARS):
-                yield pa.RecordBatch.from_pylist([_pack(held, number)], schema)
-                held, number, chars = [], {}, 0
-            c = Counter(terms_of(text))
-            ids = np.fromiter((number.setdefault(t, len(number)) for t in c), np.int32, len(c))
-            first = c.most_common(1)[0][0] if c else ""
-            held.append((i, c.total(), first, ids, np.fromiter(c.values(), np.int32, len(c))))
-            chars += len(text)
-    if held:
-        yield pa.RecordBatch.from_pylist([_pack(held, number)], schema)
+    return write
 
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The written index: a row per shard. Null ids are not indexed; null texts have no terms."""
+    """The written index: (path, docs, tokens) for each shard.
+
+    Null ids are not indexed; null texts have no terms. Shards lie in the folder
+    that executors share; a task that is run again writes shards of its own, and
+    only those that the index names are ever read. A very long text is a shard
+    by itself.
+    """
+    folder = work_path(docs.sparkSession, "bm25-shards")
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-    return stash(rows.mapInArrow(_shards, _SHARD), "bm25-index")
+    return stash(rows.mapInArrow(_written(folder, SHARD_DOCS, SHARD_CHARS), "path string, docs bigint, tokens bigint"), "bm25-index")
+
+
+def _load(path: str, columns: list[str] | None = None) -> dict[str, pa.Array]:
+    folder, _, name = path.rpartition("/")
+    files, root = _files(folder)
+    with files.open_input_file(f"{root}/{name}") as f:
+        table = pq.read_table(f, columns=columns)
+    return {c: table.column(c).chunk(0).values for c in table.column_names}
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for i in range(b.num_rows):
-            found = np.bincount(np.frombuffer(b.column(1)[i].as_buffer(), np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0)[i].values, pa.array(found)], names=["term", "df"])
+        for path in b.column(0).to_pylist():
+            x = _load(path, ["terms", "df", "docs", "copies"])
+            df, docs, copies = x["df"].to_numpy().astype(np.int64), x["docs"].to_numpy(), x["copies"].to_numpy()
+            if len(df):
+                df = np.add.reduceat(copies[docs], np.cumsum(df) - df)
+            for at in range(0, len(df), 100_000):
+                yield pa.RecordBatch.from_arrays([x["terms"][at : at + 100_000], pa.array(df[at : at + 100_000])], names=["term", "df"])
 
 
 def _query_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = [sorted(set(terms_of(t))) for t in b.column(1).to_pylist()]
-        counts = np.array([len(g) for g in got])
-        ids = b.column(0).take(pa.array(np.repeat(np.arange(len(got)), counts)))
-        yield pa.RecordBatch.from_arrays([ids, pa.array([t for g in got for t in g], pa.string())], names=["query", "term"])
+    for whole in batches:
+        for start in range(0, whole.num_rows, 500):
+            b = whole.slice(start, 500)
+            got = [sorted(set(terms_of(t))) for t in b.column(1).to_pylist()]
+            counts = np.array([len(g) for g in got])
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(len(got)), counts)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array([t for g in got for t in g], pa.string())], names=["query", "term"])
+
+
+def _flat(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one after another."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
 class _Shard:
-    def __init__(self, row: dict, mean: float):
-        read = lambda c, t: np.frombuffer(row[c], t)
-        self.ids, length, self.starts = read("ids", np.int64), read("lengths", np.int64), read("starts", np.int64)
-        self.term, count = read("postings", np.int32), read("counts", np.int32).astype(float)
-        self.number = {t: i for i, t in enumerate(row["terms"])}
-        self.weight = np.zeros(len(self.number) + 1)
-        norm = np.repeat(K1 * (1 - B + B * length / mean), np.diff(self.starts))
-        self.impact = count * (K1 + 1) / (count + norm)
-        self.edges = self.starts[np.minimum(np.arange(0, len(self.ids) + BLOCK, BLOCK), len(self.ids))]
-        blocks = len(self.edges) - 1
-        of = np.repeat(np.arange(blocks), np.diff(self.edges))
-        # The inverted index: (term, block) in order, with the greatest impact of each.
-        code = self.term.astype(np.int64) * blocks + of
-        order = np.argsort(code, kind="stable")
-        code, impact = code[order], self.impact[order]
-        del of, order, norm, count
-        first = np.flatnonzero(np.diff(code, prepend=-1))
-        code = code[first]
-        self.block = code % blocks
-        self.most = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
-        self.lists = np.searchsorted(code // blocks, np.arange(len(self.number) + 1))
-        self.blocks = blocks
-
-    def _score(self, b: int) -> np.ndarray:
-        a, z = self.edges[b], self.edges[b + 1]
-        starts = self.starts[b * BLOCK : (b + 1) * BLOCK + 1] - a
-        total = np.concatenate([[0.0], self.impact[a:z] * self.weight[self.term[a:z]]])
-        some = np.flatnonzero(np.diff(starts[: min(BLOCK, len(self.ids) - b * BLOCK) + 1]))
-        out = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-        if len(some):
-            out[some] = np.add.reduceat(total[1:], starts[some])
-        return out
-
-    def search(self, terms: list[str], weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores above 0 of the k best, the smaller id first of equal scores."""
-        at = np.array([self.number.get(t, -1) for t in terms], np.int64)
-        known = at >= 0
-        at, w = at[known], weights[known]
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        start, size = self.lists[at], self.lists[at + 1] - self.lists[at]
-        total = int(size.sum())
-        flat = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-        bound = np.bincount(self.block[flat], np.repeat(w, size) * self.most[flat], self.blocks)
+    def __init__(self, path: str, mean: float, bits: int = BLOCK_BITS):
+        x = _load(path)
+        self.bits = bits
+        self.terms = x["terms"]
+        self.df = x["df"].to_numpy().astype(np.int64)
+        self.docs, count, length = x["docs"].to_numpy(), x["counts"].to_numpy().astype(float), x["lengths"].to_numpy()
+        self.ids, copies = x["ids"].to_numpy(), x["copies"].to_numpy()
+        self.n = len(length)
+        self.id_ends = np.cumsum(copies)
+        self.id_starts = self.id_ends - copies
+        self.start = np.cumsum(self.df) - self.df
+        self.term = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
+        self.impact = count * (K1 + 1) / (count + (K1 * (1 - B + B * length / mean))[self.docs])
+        # The greatest impact of each term in each block that has it, and in all.
+        block = self.docs >> bits
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(self.term) != 0) | (np.diff(block.astype(np.int32)) != 0)])[: len(block)])
+        self.block, self.blocks = block[first], (self.n >> bits) + 1
+        self.block_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
+        self.block_start = np.searchsorted(first, self.start)
+        self.block_size = np.diff(np.append(self.block_start, len(first)))
+        self.most = np.maximum.reduceat(self.block_most, self.block_start) if len(first) else np.zeros(0)
+        # Postings by document, in order of the terms' spelling.
+        self.own = np.argsort(self.docs, kind="stable")
+        self.own_size = np.bincount(self.docs, minlength=self.n)
+        self.own_start = np.cumsum(self.own_size) - self.own_size
+        self.weight = np.zeros(len(self.df))
+
+    def _sums(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        p, size = _flat(self.start[at], self.df[at]), self.df[at]
+        return np.bincount(self.docs[p], self.impact[p] * np.repeat(w, size), self.n)
+
+    def _block_bounds(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
+        p, size = _flat(self.block_start[at], self.block_size[at]), self.block_size[at]
+        return np.bincount(self.block[p], self.block_most[p] * np.repeat(w, size), self.blocks)
+
+    def search(self, at: np.ndarray, w: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores, from ``least`` on, of documents among which are this shard's k best of those; at are numbers of terms."""
+        none = np.zeros(0, np.int64), np.zeros(0)
+        order = np.argsort(-self.df[at], kind="stable")
+        at, w = at[order], w[order]
+        reach = np.cumsum(w * self.most[at])
+        goal = least * (1 - MARGIN)
+        if not len(at) or reach[-1] < goal:
+            return none
+        rest = int(np.searchsorted(reach, goal))
+        left = lambda: reach[rest - 1] if rest else 0.0
+        score = self._sums(at[rest:], w[rest:])
+        docs = np.flatnonzero((score > 0) & (score + left() >= goal))
+
+        def raised() -> float:
+            s = score[docs]
+            return max(goal, float(np.partition(s, len(s) - k)[len(s) - k]) * (1 - MARGIN)) if len(s) >= k else goal
+
+        goal = raised()
+        if rest and len(docs):
+            docs = docs[score[docs] + self._block_bounds(at[:rest], w[:rest])[docs >> self.bits] >= goal]
+        while rest and len(docs) and self.df[at[:rest]].sum() < self.own_size[docs].sum():
+            part = min(rest - 1, int(np.searchsorted(reach, left() / 2)))
+            score += self._sums(at[part:rest], w[part:rest])
+            rest = part
+            goal = raised()
+            docs = docs[score[docs] + left() >= goal]
+        docs = docs[score[docs] + left() >= goal]
+        if not len(docs):
+            return none
         self.weight[at] = w
-        ids, scores, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        order = np.argsort(-bound, kind="stable")
-        for i in range(0, self.blocks, STRIDE):
-            # A bound is a sum in another order than a score, hence the margin.
-            part = [b for b in order[i : i + STRIDE] if bound[b] > 0 and bound[b] * (1 + 1e-9) >= least]
-            if not part:
-                break
-            ids = np.concatenate([ids, *(self.ids[b * BLOCK : (b + 1) * BLOCK] for b in part)])
-            scores = np.concatenate([scores, *(self._score(b) for b in part)])
-            keep = np.flatnonzero((scores > 0) & (scores >= least))
-            best = keep[np.lexsort((ids[keep], -scores[keep]))[:k]]
-            ids, scores = ids[best], scores[best]
-            least = float(scores[-1]) if len(scores) == k else 0.0
+        size = self.own_size[docs]
+        p = self.own[_flat(self.own_start[docs], size)]
+        exact = np.add.reduceat(self.impact[p] * self.weight[self.term[p]], np.cumsum(size) - size)
         self.weight[at] = 0
-        return ids, scores
+        keep = np.flatnonzero(exact >= least)
+        if len(keep) > k:
+            keep = keep[exact[keep] >= np.partition(exact[keep], len(keep) - k)[len(keep) - k]]
+        docs, exact = docs[keep], exact[keep]
+        copies = np.minimum(self.id_ends[docs] - self.id_starts[docs], k)
+        return self.ids[_flat(self.id_starts[docs], copies)], np.repeat(exact, copies)
+
+
+def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best, the smaller id first of equal scores."""
+    at = np.lexsort((ids, -scores))[:k]
+    return ids[at], scores[at]
+
+
+def _asked(path: str) -> tuple[list[bytes], np.ndarray, pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """A batch of queries: digests, goals, its terms once each, their weights, and for each query its part of the numbers of terms."""
+    files, root = _files(path)
+    got = pq.read_table(root, filesystem=files, columns=["digest", "terms", "weights", "goal"], partitioning=None).combine_chunks()
+    if not got.num_rows:
+        return [], np.zeros(0), pa.array([], pa.string()), np.zeros(0), np.zeros(0, np.int64), np.zeros(1, np.int64)
+    lists = got.column("terms").chunk(0)
+    coded = lists.flatten().dictionary_encode()
+    number = coded.indices.to_numpy()
+    weight = np.zeros(len(coded.dictionary))
+    weight[number] = got.column("weights").chunk(0).flatten().to_numpy()
+    ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return got.column("digest").to_pylist(), got.column("goal").to_numpy(), coded.dictionary, weight, number, ends
+
+
+def _searched(queries: str, mean: float, k: int, bits: int):  # noqa: ANN202
+    """Searches each row's shards (paths) for the queries of its batch."""
 
-
-def _files(uri: str) -> tuple[fs.FileSystem, list[str]]:
-    files, root = fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
-    return files, sorted(f.path for f in files.get_file_info(fs.FileSelector(root)) if f.base_name.endswith(".parquet"))
-
-
-def _searched(queries: str, mean: float, k: int):  # noqa: ANN202
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, paths = _files(queries)
         for b in batches:
-            for i in range(b.num_rows):
-                shard = _Shard({c: b.column(c)[i].as_py() for c in b.schema.names}, mean)
+            for batch, paths in zip(b.column("batch").to_pylist(), b.column("paths").to_pylist(), strict=True):
+                digests, goals, terms, weight, number, ends = _asked(f"{queries}/batch={batch}")
+                best = [(np.zeros(0, np.int64), np.zeros(0))] * len(digests)
+                least = goals.copy()
                 for path in paths:
-                    with pq.ParquetFile(files.open_input_file(path)) as f:
-                        for batch in f.iter_batches(QUERIES):
-                            found = []
-                            for q, terms, weights in zip(batch.column("query").to_pylist(), batch.column("terms"), batch.column("weights"), strict=True):
-                                found.append((q, *shard.search(terms.as_py(), weights.values.to_numpy(), k)))
-                            n = [len(x[1]) for x in found]
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.repeat([x[0] for x in found], n)), pa.array(np.concatenate([x[1] for x in found])), pa.array(np.concatenate([x[2] for x in found]))],
-                                names=["query_id", "doc_id", "score"],
-                            )
+                    shard = _Shard(path, mean, bits)
+                    place = pc.fill_null(pc.index_in(terms, value_set=shard.terms), -1).to_numpy().astype(np.int64)
+                    for q in range(len(digests)):
+                        own = number[ends[q] : ends[q + 1]]
+                        own = own[place[own] >= 0]
+                        ids, scores = shard.search(place[own], weight[own], least[q], k)
+                        if len(ids):
+                            best[q] = _best(np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], scores]), k)
+                            if len(best[q][0]) == k:
+                                least[q] = max(least[q], best[q][1][-1])
+                n = [len(x[0]) for x in best]
+                if sum(n):
+                    names = pa.array(digests, pa.binary()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                    yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))], names=["digest", "doc_id", "score"])
 
     return search
 
 
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """The few rows, each in a task of its own, however little they say of the work behind them."""
+    return rows.coalesce(1).repartition(n)
+
+
+def _batches(df: DataFrame, n: int, label: str) -> str:
+    path = work_path(df.sparkSession, label)
+    batch = F.pmod(F.xxhash64("digest"), F.lit(n)).cast("int")
+    df.withColumn("batch", batch).repartition(n, "batch").write.partitionBy("batch").parquet(path)
+    return path
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of the index for each row of queries.
 
@@ -207,25 +342,42 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "do
     for a query that is null, empty or has a null id. Of queries with the same
     id, the terms count together.
     """
-    spark = index.sparkSession
-    size = index.select(F.sum(F.octet_length("ids") / 8).alias("n")).first()["n"]
-    total = index.select("lengths").mapInArrow(_lengths, "total bigint").agg(F.sum("total")).first()[0]
-    n, mean = int(size or 0), (total or 0) / max(1, int(size or 0)) or 1.0
-    df = index.select("terms", "postings").mapInArrow(_frequencies, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    size = index.agg(F.count(F.lit(1)).alias("shards"), F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
+    shards, n, mean = size["shards"], size["docs"], size["tokens"] / max(1, size["docs"]) or 1.0
+    df = _dealt(index.select("path"), max(1, shards)).mapInArrow(_frequencies, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
     rows = queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     asked = rows.mapInArrow(_query_terms, "query bigint, term string").distinct()
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     listed = asked.join(df, "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("w")))).alias("x"))
-    path = work_path(spark, "queries")
-    listed.select("query", F.col("x.term").alias("terms"), F.col("x.w").alias("weights")).write.parquet(path)
-    found = index.mapInArrow(_searched(path, mean, k), "query_id bigint, doc_id bigint, score double")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
-
-
-def _lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in b.column(0)], pa.int64())], names=["total"])
+    digest = F.unhex(F.sha2(F.array_join("x.term", " "), 256))
+    listed = stash(listed.select("query", digest.alias("digest"), F.col("x.term").alias("terms"), F.col("x.w").alias("weights")), "queries")
+    once = listed.groupBy("digest").agg(F.any_value("terms").alias("terms"), F.any_value("weights").alias("weights"))
+    asked_once = listed.select("digest").distinct().count()
+    if not asked_once or not shards:
+        return index.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
+    batches = math.ceil(asked_once / QUERIES)
+    schema = "digest binary, doc_id bigint, score double"
+    each = F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch")
+
+    # A shard for each batch gives a goal for each of its queries: the k-th best there.
+    largest = index.orderBy(F.col("docs").desc(), "path").limit(batches).select("path")
+    largest = [r["path"] for r in largest.collect()]  # at most one for each batch
+    some = index.sparkSession.createDataFrame([(i, [largest[i % len(largest)]]) for i in range(batches)], "batch int, paths array<string>")
+    path = _batches(once.withColumn("goal", F.lit(0.0)), batches, "asked")
+    first = _dealt(some, batches).mapInArrow(_searched(path, mean, k, BLOCK_BITS), schema).groupBy("digest").agg(F.min("score").alias("goal"), F.count(F.lit(1)).alias("n"))
+    goal = F.when(F.col("n") >= k, F.col("goal")).otherwise(0.0)
+    path = _batches(once.join(first, "digest", "left").withColumn("goal", F.coalesce(goal, F.lit(0.0))).drop("n"), batches, "goals")
+
+    groups = min(shards, max(GROUPS, math.ceil(shards / GROUP_SHARDS)))
+    dealt = index.select("path", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(groups)).alias("group"))
+    tasks = dealt.groupBy("group").agg(F.collect_list("path").alias("paths")).select("paths", each)
+    found = stash(_dealt(tasks, groups * batches).mapInArrow(_searched(path, mean, k, BLOCK_BITS), schema), "found")
+    best = Window.partitionBy("digest").orderBy(F.col("score").desc(), "doc_id")
+    ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    # Many queries may have the terms of one: their ids are dealt to SALTS parts, and its k rows go to each.
+    ids = listed.select("query", "digest", F.pmod(F.xxhash64("query"), F.lit(SALTS)).cast("int").alias("salt"))
+    ranked = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return ids.join(ranked, ["digest", "salt"]).select(F.col("query").alias("query_id"), "rank", "doc_id", "score")
 
 
 def is_query(id_col: str = "doc_id") -> Column:

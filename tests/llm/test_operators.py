@@ -436,19 +436,22 @@ def test_embedding_near_duplicates(spark, monkeypatch, small):
 # Search
 
 
-@pytest.mark.parametrize("block", [3, 64])
-def test_bm25_against_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(bm25, "BLOCK", block)
-    monkeypatch.setattr(bm25, "SHARD_DOCS", 40)
-    monkeypatch.setattr(bm25, "STRIDE", 2)
+@pytest.mark.parametrize("small", [True, False])
+def test_bm25_against_brute_force(spark, monkeypatch, small):
+    if small:
+        for name, value in (("BLOCK_BITS", 1), ("SHARD_DOCS", 20), ("QUERIES", 2), ("GROUPS", 3)):
+            monkeypatch.setattr(bm25, name, value)
     texts = [prose(i, 3 + i % 50) for i in range(150)] + [prose(1, 4)] * 6 + ["", None, "Ünï ünï"]
+    # Copies beyond k, in several shards; rare terms, so that common ones are not essential.
+    texts += [prose(300, 30) + " copied"] * 30 + [prose(i, 40) + f" rare{i % 7} odd{i % 11}" for i in range(100)]
     rows = [(i, t, 1.0) for i, t in enumerate(texts)] + [(None, "alpha", 1.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score double")
-    got = bm25.search(bm25.build(docs), docs.filter(F.col("doc_id").isin(0, 100, 156, 157, 158)), 10).collect()
+    asked = (0, 100, 156, 157, 158, 160, 161, 170, 190, 195, 200, 250)
+    got = bm25.search(bm25.build(docs), docs.filter(F.col("doc_id").isin(*asked)), 10).collect()
     counts = [Counter(bm25.terms_of(t or "")) for t in texts]
     size = np.array([c.total() for c in counts])
     df = Counter(t for c in counts for t in c)
-    for q in (0, 100, 156, 157, 158):
+    for q in asked:
         score = np.array([sum(math.log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * n / size.mean())) for t in counts[q] if t in c) for c, n in zip(counts, size, strict=True)])
         best = [i for i in np.lexsort((np.arange(len(texts)), -np.round(score, 9))) if score[i] > 0][:10]
         own = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
