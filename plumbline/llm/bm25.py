@@ -348,7 +348,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "do
     rows = queries.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
     asked = rows.mapInArrow(_query_terms, "query bigint, term string").distinct()
     idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    listed = asked.join(df, "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("w")))).alias("x"))
+    # Both sides of each join grow with the documents or with the queries, so all are merge joins at every size.
+    listed = asked.join(df.hint("merge"), "term").groupBy("query").agg(F.sort_array(F.collect_list(F.struct("term", idf.alias("w")))).alias("x"))
     digest = F.unhex(F.sha2(F.array_join("x.term", " "), 256))
     listed = stash(listed.select("query", digest.alias("digest"), F.col("x.term").alias("terms"), F.col("x.w").alias("weights")), "queries")
     once = listed.groupBy("digest").agg(F.any_value("terms").alias("terms"), F.any_value("weights").alias("weights"))
@@ -366,7 +367,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "do
     path = _batches(once.withColumn("goal", F.lit(0.0)), batches, "asked")
     first = _dealt(some, batches).mapInArrow(_searched(path, mean, k, BLOCK_BITS), schema).groupBy("digest").agg(F.min("score").alias("goal"), F.count(F.lit(1)).alias("n"))
     goal = F.when(F.col("n") >= k, F.col("goal")).otherwise(0.0)
-    path = _batches(once.join(first, "digest", "left").withColumn("goal", F.coalesce(goal, F.lit(0.0))).drop("n"), batches, "goals")
+    path = _batches(once.join(first.hint("merge"), "digest", "left").withColumn("goal", F.coalesce(goal, F.lit(0.0))).drop("n"), batches, "goals")
 
     groups = min(shards, max(GROUPS, math.ceil(shards / GROUP_SHARDS)))
     dealt = index.select("path", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(groups)).alias("group"))
@@ -377,7 +378,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "do
     # Many queries may have the terms of one: their ids are dealt to SALTS parts, and its k rows go to each.
     ids = listed.select("query", "digest", F.pmod(F.xxhash64("query"), F.lit(SALTS)).cast("int").alias("salt"))
     ranked = ranked.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return ids.join(ranked, ["digest", "salt"]).select(F.col("query").alias("query_id"), "rank", "doc_id", "score")
+    return ids.join(ranked.hint("merge"), ["digest", "salt"]).select(F.col("query").alias("query_id"), "rank", "doc_id", "score")
 
 
 def is_query(id_col: str = "doc_id") -> Column:

@@ -22,6 +22,8 @@ UNDETERMINED = "und"
 FEATURES = 4096
 #: Training rows at most, for each language and in all.
 PER_LANGUAGE, TRAINING = 600, 4800
+#: Languages that are learned at most: those with the most rows. Pairs of them are compared.
+LANGUAGES = 200
 EPOCHS, COST = 12, 10.0
 #: Bytes of a text that are held as arrays at a time.
 SLICE = 1 << 20
@@ -91,8 +93,8 @@ def separate(x: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def one_against_one(x: np.ndarray, y: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Classes in order, and the weights of each pair of them in the order of combinations. Rows whose class is empty are left out."""
-    classes = sorted(set(y.tolist()) - {""})
+    """Classes in order, and the weights of each pair of them in the order of combinations. Rows whose class is None are left out."""
+    classes = sorted(set(y.tolist()) - {None})
     weights = []
     for a, b in combinations(classes, 2):
         rows = np.flatnonzero((y == a) | (y == b))
@@ -103,7 +105,7 @@ def one_against_one(x: np.ndarray, y: np.ndarray) -> tuple[list[str], np.ndarray
 def vote(classes: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """margins (rows, pairs) -> winner's index, and its least probability against another.
 
-    Most won pairs wins; of equals, the greatest sum of margins, then the first.
+    Most won pairs wins; of equals, the greatest sum of margins, then the first class in text order.
     """
     n = len(margins)
     if len(classes) == 1:
@@ -151,9 +153,9 @@ class Model:
     """Families, and within each its languages; x has a last column of ones."""
 
     def __init__(self, x: np.ndarray, lang: np.ndarray):
-        family = np.array([FAMILY.get(c, c) for c in lang.tolist()])
+        family = np.array([FAMILY.get(c, c) for c in lang.tolist()], object)
         self.families = one_against_one(x, family)
-        self.languages = {f: one_against_one(x, np.where(family == f, lang, "")) for f in self.families[0]}
+        self.languages = {f: one_against_one(x, np.where(family == f, lang, None)) for f in self.families[0]}
         self.profiles = {c: Profile(x[lang == c, :-1]) for c in sorted(set(lang.tolist()))}
 
     def fit(self, x: np.ndarray, lang: np.ndarray) -> np.ndarray:
@@ -183,12 +185,14 @@ def train(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", te
 
     Rows with a null language, and texts without a letter, teach nothing. Of
     each language the rows with the least hashed ids are taken, PER_LANGUAGE at
-    most and TRAINING in all; whole texts are read. None without any such row.
+    most and TRAINING in all, of the LANGUAGES with the most rows (of equals,
+    the first in text order); whole texts are read. None without any such row.
+    Any text may be a language's label, the empty one too.
     """
     docs = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     docs = docs if use is None else docs.filter(use)
     docs = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.lit("language")).alias("h"))
-    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     each = max(1, min(PER_LANGUAGE, TRAINING // len(counts)))

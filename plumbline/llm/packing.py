@@ -44,24 +44,33 @@ SMALL_PART = 3
 TIGHT_PART = 512
 #: Entries of a worker's cache of encoded words.
 CACHE = 250_000
-MAX_PIVOTS = 3000
+#: Runs of white space from this length on are encoded by ``tokenizers``, whose pattern has no limit of backtracking.
+LONG_SPACE = 10_000
+#: Pivots without a better total after which the configurations so far stand.
+STALLED = 3000
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPECIAL = "<|endoftext|>"
 
 
 class Encoder:
     """Encodes texts with the byte-level BPE ranks of ``vocabulary``.
 
     A single space between two characters that are not white space always
-    begins a new pre-token, so texts are cut there and words are cached.
+    begins a new pre-token, so texts are cut there and words are cached. A
+    run of white space is a pre-token but for its last character, if that has
+    text after it.
     """
 
-    def __init__(self, vocabulary: str | None = None):
+    def __init__(self, vocabulary: str | None = None, exact: str | None = None, long_space: int = LONG_SPACE):
         import public_tokenizers as public
         import tiktoken
 
         path = vocabulary or public.path("byte_bpe_50k.tiktoken")
+        self.exact_path, self.exact = exact or public.path("byte_bpe_50k.json"), None
+        self.long_run = re.compile(f"{_SPACE}{{{long_space},}}")
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        special = {"<|endoftext|>": len(ranks)}
+        special = {_SPECIAL: len(ranks)}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=special)
         outer = self
 
@@ -84,11 +93,25 @@ class Encoder:
         if not text:
             return b""
         if self.space_run.search(text) or text[0] == " " or text[-1] == " ":
+            if self.long_run.search(text):
+                return self._with_long_runs(text)
             first, *rest = self.lone_space.split(text)
         else:
             first, *rest = text.split(" ")
         return self.ids(first) + b"".join(map(self.words.__getitem__, rest))
 
+    def _with_long_runs(self, text: str) -> bytes:
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.exact_path)
+        out, at = [], 0
+        for m in self.long_run.finditer(text):
+            end = m.end() - (m.end() < len(text) and not text.startswith(_SPECIAL, m.end()))
+            out += [self.encode(text[at : m.start()]), np.array(self.exact.encode(text[m.start() : end], add_special_tokens=False).ids, dtype="<u4").tobytes()]
+            at = end
+        return b"".join([*out, self.encode(text[at:])])
+
 
 _encoders: dict[str | None, Encoder] = {}
 
@@ -104,8 +127,8 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document is its text's ids and then id 0; null texts count as empty, so
     every row has a piece. Documents over the capacity are cut into pieces of
-    it, the first of which may be shorter. ids are little-endian unsigned
-    32-bit numbers. Rows repeated in docs are repeated here; an empty table
+    it, the first of which may be shorter, however long they are. ids are
+    little-endian unsigned 32-bit numbers. Rows repeated in docs are repeated here; an empty table
     gives none; ids of documents may be null; other columns are ignored.
     """
     end = np.array([END_ID], dtype="<u4").tobytes()
@@ -160,7 +183,11 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
     cost = np.ones(k)
     x = counts / columns.diagonal()
     inverse = np.diag(1 / columns.diagonal())
-    for pivot in range(MAX_PIVOTS):
+    best, since, pivot = np.inf, 0, -1
+    # Ends with no better configuration; a long stay at one total (cycling by rounding) ends it too.
+    while since < STALLED:
+        pivot, total = pivot + 1, float(cost @ x)
+        best, since = (total, 0) if total < best - 1e-9 * max(1.0, total) else (best, since + 1)
         dual = cost @ inverse
         worst = int(dual.argmin())
         if dual[worst] < -1e-9:
@@ -324,8 +351,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     """pieces(..., length), each 1 to capacity long -> the same with sequence_id and offset.
 
     Every row gets a place; places of a sequence are gapless from 0. Equal rows
-    get places of their own. pieces is read several times: pass one that is
-    written. Its columns may have any names but ``length``, sequence_id and
+    get places of their own. Which of two equal lengths goes where depends on
+    the rows' hashes and on how many rows there are; how many sequences there
+    are does not. pieces is read several times: pass one that is written. Its columns may have any names but ``length``, sequence_id and
     offset, which have the meanings above. An empty table gives no rows.
     """
     names = pieces.columns
@@ -333,21 +361,24 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     total = sum(r["count"] for r in counted)
     keys, ranks, each, first, used = Plan({int(r["length"]): int(r["count"]) for r in counted}, capacity, groups).arrays()
     buckets = max(256, total // 1_000_000)
-    salted = pieces.select("*", F.pmod(F.xxhash64(*names), F.lit(buckets)).alias("__bucket"))
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = salted.groupBy("length", "__bucket").count()
-    base = base.select("length", "__bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("__base"))
-    within = F.row_number().over(Window.partitionBy("length", "__bucket").orderBy(*names)) - 1
-    ranked = salted.withColumn("__within", within).join(base, ["length", "__bucket"])
-    ranked = ranked.select(*names, (F.col("__base") + F.col("__within")).alias("__rank"))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    salted = pieces.select(row, F.col("length").alias("length"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(buckets)).alias("bucket"))
+    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = salted.groupBy("length", "bucket").count()
+    base = base.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")) - 1
+    ranked = salted.withColumn("within", within).join(base, ["length", "bucket"])
+    ranked = ranked.select((F.col("base") + F.col("within")).alias("rank"), *[F.col("row").getField(c).alias(c) for c in names])
+
+    at_length = 1 + names.index("length")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rank, length = b.column("__rank").to_numpy(), b.column("length").to_numpy()
+            rank, length = b.column(0).to_numpy(), b.column(at_length).to_numpy()
             i = np.searchsorted(keys, length * (1 << 40) + rank, "right") - 1
             past = rank - ranks[i]
             sequence, offset = first[i] + past // each[i], used[i] + past % each[i] * length
-            columns = [b.column(c) for c in names]
+            columns = b.columns[1:]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)

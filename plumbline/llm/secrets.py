@@ -119,39 +119,61 @@ def train(labelled: DataFrame) -> list[float]:
     return [a - b for a, b in zip(log[True], log[False], strict=True)]
 
 
+#: Spans that a walk gathers before it adds them to what it has, so that its work does not grow as their number's square.
+CHUNK = 128
+
+
+def _chunks(xs: Column) -> Column:
+    """The elements of an array that is not empty, CHUNK of them at a time."""
+    return F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / CHUNK).cast("int") - 1), lambda c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)))
+
+
+def _walk(xs: Column, kind: str, step: Callable[[Column, Column, Column, Column], Column], within: Callable[[Column, Column], Column] | None = None) -> tuple[Column, Column]:
+    """(at, out) after step(at, out, x, within(at, chunk)) -> (at, out) for each element of an array that is not empty."""
+    none = F.array().cast(f"array<{kind}>")
+
+    def chunk(state: Column, part: Column) -> Column:
+        start = F.struct(state["at"].alias("at"), none.alias("out"))
+        walked = lambda w: F.aggregate(part, start, lambda s, x: step(s["at"], s["out"], x, w))
+        inner = walked(None) if within is None else _let(within(state["at"], part), walked)
+        return _let(inner, lambda got: F.struct(got["at"].alias("at"), F.concat(state["out"], F.array(got["out"])).alias("out")))
+
+    return F.aggregate(_chunks(xs), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), chunk)
+
+
 def _spans(text: Column, pattern: str, kind: int, matches: Column) -> Column:
     """(start, kind, end, match) of each match, in order."""
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    shape = "struct<start:int,kind:int,end:int,value:string>"
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + F.length(x["gap"])
+    def step(at: Column, out: Column, x: Column, _: Column) -> Column:
+        start = at + F.length(x["gap"])
         end = start + F.length(x["m"])
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["m"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.concat(out, F.array(span)).alias("out"))
 
-    walked = F.aggregate(F.arrays_zip(gaps.alias("gap"), matches.alias("m")), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda s: s["out"])
-    return F.when(F.size(matches) > 0, walked).otherwise(none)
+    walked = _walk(F.arrays_zip(gaps.alias("gap"), matches.alias("m")), shape, step)
+    return F.when(F.size(matches) > 0, F.flatten(walked["out"])).otherwise(F.array().cast(f"array<{shape}>"))
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def _replaced(text: Column, spans: Column, fill: Callable[[Column, Column], Column]) -> Column:
+    """text with fill(span, end of those before it) in place of each span; they are in order and may overlap."""
 
+    def step(at: Column, out: Column, s: Column, w: Column) -> Column:
+        gap = F.when(s["start"] > at, F.substring(w["text"], at - w["from"] + 1, s["start"] - at)).otherwise("")
+        return F.struct(F.greatest(at, s["end"]).alias("at"), F.concat(out, F.array(gap, fill(s, at))).alias("out"))
 
-def _pieces(run: Column, base: Column) -> Column:
-    """(start, value) of the parts of a run that no span of base, which is in order, covers; too short ones are left out."""
-    none = F.array().cast("array<struct<start:int,value:string>>")
+    def within(at: Column, part: Column) -> Column:
+        until = F.element_at(part, -1)["start"]
+        return F.struct(at.alias("from"), F.substring(text, at + 1, F.greatest(until - at, F.lit(0))).alias("text"))
 
-    def upto(state: Column, end: Column) -> Column:
-        part = F.struct(state["at"].alias("start"), F.substring(run["value"], state["at"] - run["start"] + 1, end - state["at"]).alias("value"))
-        return F.when(end - state["at"] >= CANDIDATE_LENGTH, F.concat(state["out"], F.array(part))).otherwise(state["out"])
+    done = _let(_walk(spans, "string", step, within), lambda s: F.concat(F.array_join(F.flatten(s["out"]), ""), F.substring(text, s["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, done).otherwise(text)
 
-    def step(state: Column, o: Column) -> Column:
-        return F.struct(F.greatest(state["at"], F.least(o["end"], run["end"])).alias("at"), upto(state, o["start"]).alias("out"))
 
-    over = F.filter(base, lambda o: (o["start"] < run["end"]) & (run["start"] < o["end"]))
-    return F.aggregate(over, F.struct(run["start"].alias("at"), none.alias("out")), step, lambda s: upto(s, run["end"]))
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def _stretches(piece: Column, table: Column) -> Column:
@@ -231,26 +253,35 @@ def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "te
     overlap within a kind; all holds also what the models take for random in the
     parts of runs that base does not cover. Null and empty texts have none. Rows are
     neither dropped nor joined, so repeated rows and nulls in other columns
-    stay as they are; only ``into`` is added.
+    stay as they are, and an empty table gives none; only ``into`` is added,
+    in place of a column of that name. Work grows with a text's length, also
+    where it is one run or has very many spans.
     """
     ratios = ratios or train(samples(docs.sparkSession))
-    names, text = docs.columns, F.col("__text")
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in ratios)), ",").cast("array<double>")
-    d = docs.withColumn("__text", text_or_empty(text_col))
-    for k, pattern in enumerate([ASSIGN, ACCESS, HEX.replace("+", f"{{{HEX_LENGTH},}}"), CANDIDATE]):
-        d = d.withColumn(f"__m{k}", F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    for k, pattern in enumerate([ASSIGN, ACCESS, HEX.replace("+", f"{{{HEX_LENGTH},}}"), CANDIDATE]):
-        d = d.withColumn(f"__s{k}", _spans(text, pattern, k, F.col(f"__m{k}")))
+    patterns = [ASSIGN, ACCESS, HEX.replace("+", f"{{{HEX_LENGTH},}}")]
     least = [
         lambda s: F.length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_VALUE,
         lambda s: s["end"] - s["start"] >= ACCESS_LENGTH,
         lambda s: s["end"] - s["start"] >= HEX_LENGTH,
     ]
-    d = d.withColumn("__base", F.array_sort(F.concat(*[F.filter(f"__s{k}", f) for k, f in enumerate(least)])))
-
-    added = F.flatten(F.transform(F.flatten(F.transform("__s3", lambda s: _pieces(s, F.col("__base")))), lambda p: _stretches(p, table)))
-    d = d.withColumn("__all", F.when(F.size("__s3") > 0, F.array_sort(F.concat("__base", added))).otherwise(F.col("__base")))
-    return d.select(*names, F.struct(F.col("__base").alias("base"), F.col("__all").alias("all")).alias(into))
+    # All columns in one, so that no name of docs clashes with those made here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    text = F.col("text")
+    d = docs.select(row.alias("row"), text_or_empty(F.col(f"`{text_col}`")).alias("text"))
+    d = d.select("*", *[F.regexp_extract_all(text, F.lit(p), F.lit(0)).alias(f"m{k}") for k, p in enumerate(patterns)])
+    d = d.select("row", "text", *[F.filter(_spans(text, p, k, F.col(f"m{k}")), f).alias(f"s{k}") for k, (p, f) in enumerate(zip(patterns, least, strict=True))])
+    d = d.select("row", "text", F.array_sort(F.concat("s0", "s1", "s2")).alias("base"))
+    # What base covers is no part of a run, which then has the same places as before.
+    masked = _replaced(text, F.col("base"), lambda s, at: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0))))
+    d = d.select("row", "base", masked.alias("masked"))
+    d = d.select("*", F.regexp_extract_all("masked", F.lit(CANDIDATE), F.lit(0)).alias("m3"))
+    d = d.select("row", "base", _spans(F.col("masked"), CANDIDATE, 3, F.col("m3")).alias("runs"))
+    added = F.flatten(F.transform("runs", lambda p: _stretches(p, table)))
+    every = F.when(F.size("runs") > 0, F.array_sort(F.concat("base", added))).otherwise(F.col("base"))
+    d = d.select("row", F.struct(F.col("base"), every.alias("all")).alias("__f"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c != into]
+    return d.select(*kept, F.col("__f").alias(into))
 
 
 def joined(spans: Column) -> Column:
@@ -261,17 +292,7 @@ def joined(spans: Column) -> Column:
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """text with every span, overlapping ones as one, replaced by a mark."""
-
-    def step(state: Column, s: Column) -> Column:
-        more = F.when(
-            s["start"] >= state["at"],
-            F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mark)),
-        ).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), more.alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    done = F.aggregate(spans, first, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    return _replaced(text, spans, lambda s, at: F.when((s["start"] >= at), mark).otherwise(""))
 
 
 def redact(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "text") -> DataFrame:
