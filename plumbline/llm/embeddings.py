@@ -7,7 +7,10 @@ Pairs of intervals are joined recursively, from coarse to fine: pairs whose
 boxes are further apart than epsilon are skipped with all that they hold.
 Between tasks the recursion follows a tree of intervals as joins on its nodes;
 within a task it halves intervals down to small blocks, whose cosines one
-matrix product gives in double precision.
+matrix product gives in double precision. Intervals are files in the folder
+that executors share, so that pairs of them are rows of two paths: the vectors
+themselves are shuffled once, into their order. A task takes pairs in order and
+holds the last few intervals.
 
 Equal vectors count as one with a multiplicity. A task gives the number of
 links of each vector, and only such links as join groups not yet joined.
@@ -16,15 +19,18 @@ links of each vector, and only such links as join groups not yet joined.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import feather, fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, work_path
 from .components import connected_components
 
 COSINE = 0.95
@@ -32,6 +38,8 @@ COSINE = 0.95
 AXES = 8
 #: Bytes of vectors in an interval, and vectors in a block of the last recursion.
 INTERVAL_BYTES, LEAF = 4 << 20, 256
+#: Pairs of intervals in a task, about, and intervals that it holds.
+PAIRS, HELD = 8, 8
 #: Children of a node in the tree above the range partitions, as a power of 2.
 FANOUT_BITS = 6
 #: Added to the distance that boxes must exceed to be skipped, for rounding.
@@ -124,24 +132,35 @@ def _placed(axes: dict[int, np.ndarray], k: int):  # noqa: ANN202
     return place
 
 
-def _intervals(k: int):  # noqa: ANN202
-    names = ["interval", "dim", "nodes", "copies", "units", "places", *(f"{e}{j}" for e in ("lo", "hi") for j in range(k))]
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()] + [pa.float64()] * (2 * k)
+def _files(uri: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def _intervals(k: int, folder: str, interval_bytes: int, leaf: int):  # noqa: ANN202
+    names = ["interval", "dim", "path", *(f"{e}{j}" for e in ("lo", "hi") for j in range(k))]
+    kinds = [pa.int64(), pa.int32(), pa.string()] + [pa.float64()] * (2 * k)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
+        files, root = _files(folder)
+        files.create_dir(root, recursive=True)
 
         def flush() -> pa.RecordBatch:
             nonlocal count, held
             p = np.array([h[3:] for h in held])
-            row = [(part << 32) + count, len(held[0][2]) // 8, np.array([h[0] for h in held], np.int64).tobytes(), np.array([h[1] for h in held], np.int64).tobytes(), b"".join(h[2] for h in held), p.tobytes(), *p.min(0), *p.max(0)]
+            columns = {"node": pa.array([h[0] for h in held], pa.int64()), "copies": pa.array([h[1] for h in held], pa.int64())}
+            columns |= {"unit": pa.array([h[2] for h in held], pa.binary(len(held[0][2]))), "place": pa.array([x.tobytes() for x in p], pa.binary(8 * k))}
+            name = f"{uuid.uuid4().hex}.interval"
+            with files.open_output_stream(f"{root}/{name}") as out:
+                feather.write_feather(pa.table(columns), out, compression="lz4")
+            row = [(part << 32) + count, len(held[0][2]) // 8, f"{folder}/{name}", *p.min(0), *p.max(0)]
             count, held = count + 1, []
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
 
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ["node", "copies", "unit", *(f"p{j}" for j in range(k))]), strict=True):
-                if held and (len(held[0][2]) != len(row[2]) or (len(held) + 1) * len(row[2]) > max(INTERVAL_BYTES, LEAF * len(row[2]))):
+                if held and (len(held[0][2]) != len(row[2]) or (len(held) + 1) * len(row[2]) > max(interval_bytes, leaf * len(row[2]))):
                     yield flush()
                 held.append(row)
         if held:
@@ -183,15 +202,18 @@ def _distance2(lo_a: np.ndarray, hi_a: np.ndarray, lo_b: np.ndarray, hi_b: np.nd
 
 
 class _Side:
-    def __init__(self, nodes: bytes, copies: bytes, units: bytes, places: bytes):
-        self.nodes, self.copies = np.frombuffer(nodes, np.int64), np.frombuffer(copies, np.int64)
-        self.x = np.frombuffer(units).reshape(len(self.nodes), -1)
-        p = np.frombuffer(places).reshape(len(self.nodes), -1)
-        at = range(0, len(p), LEAF)
-        self.lo, self.hi = np.stack([p[i : i + LEAF].min(0) for i in at]), np.stack([p[i : i + LEAF].max(0) for i in at])
-
-
-def _join(a: _Side, b: _Side, same: bool, cosine: float) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    def __init__(self, path: str, leaf: int):
+        folder, _, name = path.rpartition("/")
+        files, root = _files(folder)
+        with files.open_input_file(f"{root}/{name}") as f:
+            t = feather.read_table(f).combine_chunks()
+        flat = lambda c: np.frombuffer(b"".join(t.column(c).to_pylist())).reshape(t.num_rows, -1)
+        self.nodes, self.copies, self.x, p = t.column("node").to_numpy(), t.column("copies").to_numpy(), flat("unit"), flat("place")
+        at = range(0, len(p), leaf)
+        self.lo, self.hi = np.stack([p[i : i + leaf].min(0) for i in at]), np.stack([p[i : i + leaf].max(0) for i in at])
+
+
+def _join(a: _Side, b: _Side, same: bool, cosine: float, size: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
     """Links of a's and of b's vectors, and links that connect all that are linked."""
     eps2 = (math.sqrt(2 - 2 * cosine) + SLACK) ** 2
     links_a, links_b = np.zeros(len(a.nodes), np.int64), np.zeros(len(b.nodes), np.int64)
@@ -199,7 +221,7 @@ def _join(a: _Side, b: _Side, same: bool, cosine: float) -> tuple[np.ndarray, np
     label, forest = np.arange(off + len(b.nodes)), []
 
     def leaf(i: int, j: int) -> None:
-        r, c = slice(i * LEAF, (i + 1) * LEAF), slice(j * LEAF, (j + 1) * LEAF)
+        r, c = slice(i * size, (i + 1) * size), slice(j * size, (j + 1) * size)
         linked = a.x[r] @ b.x[c].T >= cosine
         if same and i == j:
             np.fill_diagonal(linked, False)
@@ -209,14 +231,14 @@ def _join(a: _Side, b: _Side, same: bool, cosine: float) -> tuple[np.ndarray, np
         if not same or i != j:
             links_b[c] += a.copies[r] @ linked
         rows = np.flatnonzero(linked.any(1))
-        base = j * LEAF + off
+        base = j * size + off
         cols = np.flatnonzero(linked.any(0)) + base
         labels = label[cols]
-        if (labels == labels[0]).all() and (label[rows + i * LEAF] == labels[0]).all():
+        if (labels == labels[0]).all() and (label[rows + i * size] == labels[0]).all():
             return
         for q in rows:
             cols = np.flatnonzero(linked[q]) + base
-            own = i * LEAF + q
+            own = i * size + q
             labels, first = np.unique(label[cols], return_index=True)
             new = labels != label[own]
             if new.any():
@@ -244,15 +266,14 @@ def _join(a: _Side, b: _Side, same: bool, cosine: float) -> tuple[np.ndarray, np
     return links_a, links_b, forest
 
 
-def _join_batches(cosine: float):  # noqa: ANN202
+def _join_batches(cosine: float, leaf: int, held: int):  # noqa: ANN202
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = lru_cache(held)(lambda path: _Side(path, leaf))
         for batch in batches:
-            for row in range(batch.num_rows):
-                get = lambda c: batch.column(c)[row].as_py()  # noqa: B023, E731
-                same = get("a") == get("b")
-                a = _Side(*(get(f"a_{c}") for c in ("nodes", "copies", "units", "places")))
-                b = a if same else _Side(*(get(f"b_{c}") for c in ("nodes", "copies", "units", "places")))
-                links_a, links_b, forest = _join(a, b, same, cosine)
+            for path_a, path_b in zip(batch.column("a_path").to_pylist(), batch.column("b_path").to_pylist(), strict=True):
+                same = path_a == path_b
+                a, b = side(path_a), side(path_b)
+                links_a, links_b, forest = _join(a, b, same, cosine, leaf)
                 counts = [(a, links_a + links_b)] if same else [(a, links_a), (b, links_b)]
                 u = np.concatenate([s.nodes[n > 0] for s, n in counts])
                 n = np.concatenate([n[n > 0] for _, n in counts])
@@ -286,16 +307,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     points = ", ".join(f"p{j} double" for j in range(k))
     placed = distinct.select("node", "copies", "raw").mapInArrow(_placed(axes, k), f"node bigint, copies bigint, dim int, unit binary, {points}")
     order = [F.col("dim"), *(F.floor(F.col(f"p{j}") / eps) for j in range(k)), *(F.col(f"p{j}") for j in range(k)), F.col("node")]
-    cut, names = _intervals(k)
-    sides = ", ".join(f"{c} double" for c in names[6:])
+    cut, names = _intervals(k, work_path(vectors.sparkSession, "interval-files"), INTERVAL_BYTES, LEAF)
+    sides = ", ".join(f"{c} double" for c in names[3:])
     intervals = placed.repartitionByRange(*order).sortWithinPartitions(*order)
-    intervals = stash(intervals.mapInArrow(cut, f"interval bigint, dim int, nodes binary, copies binary, units binary, places binary, {sides}"), "intervals")
-    side = lambda s: intervals.select(F.col("interval").alias(s), F.col("dim").alias(f"{s}_dim"), *(F.col(c).alias(f"{s}_{c}") for c in names[2:6]))
+    intervals = stash(intervals.mapInArrow(cut, f"interval bigint, dim int, path string, {sides}"), "intervals")
+    side = lambda s: intervals.select(F.col("interval").alias(s), F.col("dim").alias(f"{s}_dim"), F.col("path").alias(f"{s}_path"))
     if intervals.isEmpty():
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    pairs = stash(near_pairs(intervals, eps, k), "pairs")
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").filter("a_dim = b_dim")
-    found = stash(joined.mapInArrow(_join_batches(cosine), "u bigint, v bigint, n bigint"), "links")
+    pairs = near_pairs(intervals, eps, k).join(side("a"), "a").join(side("b"), "b").filter("a_dim = b_dim")
+    pairs = stash(pairs.select("a", "b", "a_path", "b_path"), "pairs")
+    # Neighbouring pairs share intervals; how many are in a task is fixed, since their rows say nothing of the work behind them.
+    joined = pairs.repartitionByRange(math.ceil(pairs.count() / PAIRS), "a", "b").sortWithinPartitions("a", "b")
+    found = stash(joined.mapInArrow(_join_batches(cosine, LEAF, HELD), "u bigint, v bigint, n bigint"), "links")
     counts = found.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.filter("v IS NOT NULL").select("u", "v"))
     named = distinct.select("raw", "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left")

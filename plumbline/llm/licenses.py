@@ -3,9 +3,9 @@
 A text is normalised (case, punctuation and white space, copyright lines,
 equivalent spellings) and hashed whole; the digest is joined to those of known
 licences, normalised alike. The lines of a text are looked up the same way, as
-entire texts of their own, which finds notices of one line. Only built-in
-functions are used, and only the table of known digests, of fixed size, is
-broadcast.
+entire texts of their own, which finds notices of one line; only lines as long
+as some known text are hashed. Only built-in functions are used, and only the
+table of known digests, which is a parameter of the job, is broadcast.
 """
 
 from __future__ import annotations
@@ -75,6 +75,21 @@ _APACHE_NOTICE = (
     "and limitations under the License."
 )
 
+_UNLICENSE = (
+    "This is free and unencumbered software released into the public domain.\n"
+    "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+    "binary, for any purpose, commercial or non-commercial, and by any means.\n"
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the "
+    "software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and "
+    "successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this "
+    "software under copyright law.\n"
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+    "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR "
+    "OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE "
+    "OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_END = "END OF TERMS AND CONDITIONS"
+
 #: Known licence texts and notices, by SPDX identifier.
 KNOWN = [
     ("MIT", "MIT License\n" + _MIT_BODY),
@@ -107,16 +122,52 @@ KNOWN = [
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "Released under CC0 1.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", _UNLICENSE),
+    ("Unlicense", _UNLICENSE + "\nFor more information, please refer to <https://unlicense.org>"),
+    ("Unlicense", _UNLICENSE + "\nFor more information, please refer to <https://unlicense.org/>"),
 ]
 
+#: Licence, length and SHA-256 of the normalised entire text, with its appendix and up to its end of terms. ``digests_of`` gives them.
+DIGESTS: list[tuple[str, int, str]] = [
+    ("Apache-2.0", 8746, "812077d8c127a9bbd42473cd95b6cfaab17a824888d268b39c1f5023a7e6a5bb"),
+    ("Apache-2.0", 9762, "b41b69f0dea0598ca720f95f7c676dc79782779377951993e5bdd566fec422f3"),
+    ("Artistic-1.0-Perl", 5653, "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a"),
+    ("CC0-1.0", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GFDL-1.2-only", 19514, "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
+    ("GFDL-1.3-only", 21882, "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("GPL-1.0-only", 9415, "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
+    ("GPL-1.0-only", 11702, "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
+    ("GPL-2.0-only", 14419, "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
+    ("GPL-2.0-only", 17053, "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
+    ("GPL-3.0-only", 30766, "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975"),
+    ("GPL-3.0-only", 33204, "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"),
+    ("LGPL-2.0-only", 22146, "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513"),
+    ("LGPL-2.0-only", 23936, "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"),
+    ("LGPL-2.1-only", 23234, "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1"),
+    ("LGPL-2.1-only", 25023, "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"),
+    ("LGPL-3.0-only", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", 22447, "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
+    ("MPL-2.0", 14341, "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
+]
+
+
+def digests_of(spark: SparkSession, texts: list[tuple[str, str]]) -> list[tuple[str, int, str]]:
+    """(license_id, length, digest) of licence texts: each one whole and, where it says so, up to the end of its terms."""
+    ends = [(i, t[: t.index(_END) + len(_END)]) for i, t in texts if _END in t]
+    return sorted((r["license_id"], r["length"], r["digest"]) for r in known_digests(spark, [*texts, *ends]).collect())
+
 #: Lines that name a holder or reserve rights, as they are after case and punctuation.
-_COPYRIGHT = "^(copyright|c|all rights reserved)( .*)?$"
+_COPYRIGHT = "^(copyright|all rights reserved)( .*)?$"
+#: A sign in brackets before a year, at the beginning of a line.
+_SIGN = r"(?m)^[ \t*#/]*\(c\)[ \t]*([0-9])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical_lines(text: Column) -> Column:
     """The normalised lines of text: no empty ones, no copyright lines."""
-    t = F.regexp_replace(F.translate(F.translate(text, _UPPER, _LOWER), "\r", "\n"), r"[^\p{L}\p{N}\n]+", " ")
+    t = F.replace(F.translate(F.translate(text, _UPPER, _LOWER), "\r", "\n"), F.lit("©"), F.lit("(c)"))
+    t = F.when(F.contains(t, F.lit("(c)")), F.regexp_replace(t, _SIGN, "copyright $1")).otherwise(t)
+    t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
@@ -124,10 +175,13 @@ def canonical_lines(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license_id), one row per digest, of the known texts, normalised as any other."""
+    """(digest, license_id, length), one row per digest, of the known texts, normalised as any other, and by default of DIGESTS."""
     rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known or KNOWN])
-    each = spark.range(1).select(F.explode(rows).alias("k")).select("k.license_id", F.sha2(F.array_join(canonical_lines(F.col("k.text")), " "), 256).alias("digest"))
-    return each.groupBy("digest").agg(F.min("license_id").alias("license_id"))
+    whole = spark.range(1).select(F.explode(rows).alias("k")).select("k.license_id", F.array_join(canonical_lines(F.col("k.text")), " ").alias("t"))
+    each = whole.select(F.sha2("t", 256).alias("digest"), "license_id", F.length("t").alias("length"))
+    if known is None:
+        each = each.union(spark.createDataFrame([(d, i, n) for i, n, d in DIGESTS], "digest string, license_id string, length int"))
+    return each.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("length").alias("length"))
 
 
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -136,23 +190,28 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
     text_digest is of the normalised whole text, license_id the known licence
     that it is, or null; notices are the known licences that lines of the text
     are, sorted and joined by commas, empty if none. Null texts count as empty
-    and are no licence. Repeated rows are repeated; rows of one id share their
-    notices. An empty table gives no rows; other columns are ignored.
+    and are no licence. Every row is judged by itself, whatever its id: repeated
+    rows are repeated, ids may be null. An empty table gives no rows; other
+    columns are ignored. Long texts, and texts of very many lines, cost as
+    their length.
     """
     found = known_digests(docs.sparkSession, known)
+    listed = found.collect()  # a row for each known text, all of which are parameters
+    names = F.create_map(*[F.lit(x) for r in listed for x in (r["digest"], r["license_id"])])
+    lengths = [F.lit(n) for n in sorted({r["length"] for r in listed})]
     rows = docs.select(F.col(id_col).alias("id"), canonical_lines(text_or_empty(text_col)).alias("lines"))
-    whole = rows.select("id", F.sha2(F.array_join("lines", " "), 256).alias("digest"))
-    lines = rows.select("id", F.explode("lines").alias("line")).select("id", F.sha2("line", 256).alias("digest"))
-    hits = lines.join(F.broadcast(found), "digest").groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("license_id")), ",").alias("notices"))
-    hits = hits.withColumnRenamed("id", "hit")
-    out = whole.join(F.broadcast(found), "digest", "left").join(hits, F.col("id").eqNullSafe(F.col("hit")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("digest").alias("text_digest"), "license_id", F.coalesce("notices", F.lit("")).alias("notices"))
+    hits = F.transform(F.filter("lines", lambda x: F.length(x).isin(lengths)), lambda x: F.element_at(names, F.sha2(x, 256)))
+    notices = F.array_join(F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))), ",")
+    whole = rows.select("id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), notices.alias("notices"))
+    out = whole.join(F.broadcast(found), "digest", "left")
+    return out.select(F.col("id").alias(id_col), F.col("digest").alias("text_digest"), "license_id", "notices")
 
 
 def oracle_sql() -> str:
     """DuckDB SQL for ``scan`` of documents."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    line = lambda t: f"regexp_replace(translate(translate({t}, '{_UPPER}', '{_LOWER}'), chr(13), chr(10)), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
+    low = lambda t: f"replace(translate(translate({t}, '{_UPPER}', '{_LOWER}'), chr(13), chr(10)), '©', '(c)')"
+    line = lambda t: f"regexp_replace(regexp_replace({low(t)}, {quote(_SIGN)}, 'copyright \\1', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
     def lines(text: str) -> str:
         t = line(text)
@@ -161,18 +220,20 @@ def oracle_sql() -> str:
         return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {quote(_COPYRIGHT)}))"
 
     known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
+    digests = ", ".join(f"({quote(d)}, {quote(i)})" for i, _, d in DIGESTS)
     return f"""
         WITH k AS (
             SELECT sha256(array_to_string({lines("text")}, ' ')) AS digest, min(license_id) AS license_id
             FROM (VALUES {known}) AS v(license_id, text) GROUP BY 1
+            UNION ALL SELECT * FROM (VALUES {digests}) AS v(digest, license_id)
         ), d AS (
-            SELECT doc_id, {lines("coalesce(text, '')")} AS lines FROM documents
+            SELECT row_number() OVER () AS n, doc_id, {lines("coalesce(text, '')")} AS lines FROM documents
         ), w AS (
-            SELECT doc_id, sha256(array_to_string(lines, ' ')) AS text_digest FROM d
+            SELECT n, doc_id, sha256(array_to_string(lines, ' ')) AS text_digest FROM d
         ), h AS (
-            SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-            FROM (SELECT doc_id, sha256(unnest(lines)) AS digest FROM d) JOIN k USING (digest) GROUP BY 1
+            SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
+            FROM (SELECT n, sha256(unnest(lines)) AS digest FROM d) JOIN k USING (digest) GROUP BY 1
         )
         SELECT w.doc_id, w.text_digest, k.license_id, coalesce(h.notices, '') AS notices
-        FROM w LEFT JOIN k ON k.digest = w.text_digest LEFT JOIN h ON h.doc_id = w.doc_id
+        FROM w LEFT JOIN k ON k.digest = w.text_digest LEFT JOIN h ON h.n = w.n
     """

@@ -11,21 +11,23 @@ gradients so far alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import warnings
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import packing
 from .common import stash, text_or_empty
 
 #: Hashed features: byte trigrams of the text as it is, and lower-case words.
 TRIGRAMS, WORDS = 2048, 4096
 #: Training rows of a domain at most, and training steps.
 PER_DOMAIN, STEPS, DECAY = 1000, 300, 1e-5
-#: Passes of the fit at most, and the residual at which it ends.
-PASSES, CLOSE = 40, 1e-6
+#: The residual, as a share of the budget, at which the fit ends; or else it ends where STALL passes make it less by no more than GAIN.
+CLOSE, STALL, GAIN = 1e-6, 10, 0.05
 SLICE = 1 << 20
 CHUNK = 256
 #: Shares of tokens that the default targets give the default domains.
@@ -74,6 +76,14 @@ def vector(text: str) -> tuple[np.ndarray, int]:
     return np.concatenate([x / max(float(np.linalg.norm(x)), 1e-12) for x in parts]), len(text.split())
 
 
+def _counter(vocabulary: str | bool) -> Callable[[str, int], int]:
+    """Tokens of a text with so many words: those, or the ids of packing's encoder."""
+    if not vocabulary:
+        return lambda text, words: words
+    encoder = packing._encoder(None if vocabulary is True else vocabulary)
+    return lambda text, words: len(encoder.encode(text)) // 4 + 1
+
+
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         domain, at, value = [], [], []
@@ -143,14 +153,15 @@ def train(docs: DataFrame, labelled: DataFrame, id_col: str = "doc_id", text_col
     return Classifier(domains, x, np.array([domains.index(r["domain"]) for r in got]), priors / priors.sum())
 
 
-def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def posteriors(docs: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | bool = False) -> DataFrame:
     """(id, tokens, posterior): posterior has a probability for each of the model's domains, in order."""
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = _counter(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, CHUNK):
                 b = whole.slice(at, CHUNK)
-                got = [vector(t) for t in b.column(1).to_pylist()]
+                got = [(v, count(t, n)) for t in b.column(1).to_pylist() for v, n in [vector(t)]]
                 p = model.posteriors(np.stack([v for v, _ in got]))
                 offsets = pa.array(np.arange(0, p.size + 1, p.shape[1]), pa.int32())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in got], pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], names=["id", "tokens", "posterior"])
@@ -173,6 +184,9 @@ def _columns(b: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
 def fit(soft: DataFrame, domains: list[str], targets: dict[str, float], budget: float | None = None) -> tuple[float, list[np.ndarray], dict[str, float]]:
     """soft(tokens, posterior) -> (first rate, steps, expected tokens of each domain).
 
+    Where nonnegative rates cannot meet the targets, the fit ends as near as
+    they come, and a warning has the residual.
+
     targets are shares of the budget, by default the expected tokens of the
     domains that have a target above 0, so that rates are about 1 where shares
     are the corpus's own. Domains without a target have 0. The fit is in the
@@ -204,22 +218,30 @@ def fit(soft: DataFrame, domains: list[str], targets: dict[str, float], budget:
     inverse = np.linalg.inv(square + np.eye(k) * 1e-9 * np.trace(square))
     first, steps = budget / float(whole.sum()), []
     now = whole * first
-    for _ in range(PASSES):
-        if np.abs(now - goal).max() <= CLOSE * budget:
-            break
+    residuals = [float(np.abs(now - goal).max()) / budget]
+    while residuals[-1] > CLOSE and not (len(residuals) > STALL and residuals[-1] > (1 - GAIN) * residuals[-1 - STALL]):
         steps.append(inverse @ (now - goal))
         now = summed(first, steps, False)
+        residuals.append(float(np.abs(now - goal).max()) / budget)
+    if residuals[-1] > CLOSE:
+        warnings.warn(f"the targets are not met: a domain is {residuals[-1]:.2%} of the budget off", stacklevel=2)
     return first, steps, dict(zip(domains, now.tolist(), strict=True))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(
+    docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", whole: tuple[str, ...] = (), vocabulary: str | bool = False
+) -> DataFrame:
     """One row per row of docs: (id_col, tokens, domain, posterior, rate).
 
-    tokens are words between white space; domain is the likeliest; posterior
-    maps domains to probabilities. Null and empty texts have no tokens, and a
-    rate like any other. Without a labelled row, or where no document has a
-    token, rates are 1 and 0. Repeated rows are repeated; an empty table gives
-    none; other columns are ignored whatever their names.
+    tokens are words between white space or, with ``vocabulary`` (True, or a
+    path), ids of packing's encoder and one for the document's end; domain is
+    the likeliest; posterior maps domains to probabilities. ``whole`` names
+    domains whose sure documents are to be taken once at least: where their
+    rates are below 1, all rates grow alike, and with them the budget. Null and
+    empty texts have no words, and a rate like any other. Without a labelled
+    row, or where no document has a token, rates are 1 and 0. Repeated rows are
+    repeated; an empty table gives none; other columns are ignored whatever
+    their names. Texts are read whole, however long.
     """
     targets = TARGETS if targets is None else targets
     model = train(docs, labelled, id_col, text_col)
@@ -227,9 +249,13 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None =
         words = F.size(F.filter(F.split(text_or_empty(text_col), r"\s+"), lambda w: w != ""))
         none = F.lit(None).cast("map<string,double>")
         return docs.select(F.col(id_col), words.cast("long").alias("tokens"), F.lit(None).cast("string").alias("domain"), none.alias("posterior"), F.lit(1.0).alias("rate"))
-    soft = stash(posteriors(docs, model, id_col, text_col), "soft")
+    soft = stash(posteriors(docs, model, id_col, text_col, vocabulary), "soft")
     domains = model.domains
     first, steps, _ = fit(soft, domains, targets, budget)
+    sure = _rates(np.eye(len(domains)), first, steps)
+    least = min([sure[i] for i, d in enumerate(domains) if d in whole and sure[i] > 0], default=1.0)
+    if least < 1:
+        first, steps = first / least, [v / least for v in steps]
 
     def rated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -249,15 +275,10 @@ def copies(rates: DataFrame, id_col: str = "doc_id", seed: int | None = None) ->
     return rates.withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
 
 
-def kept(rates: DataFrame, id_col: str = "doc_id", seed: int = SEED, never: str = "toxic") -> DataFrame:
-    """``copies`` with a seed, but of documents likeliest of the domain ``never`` none with a rate under one half: rounded half up."""
-    fixed = F.floor(F.col("rate") + 0.5).cast("int")
-    return copies(rates, id_col, seed).withColumn("copies", F.when(F.col("domain") == never, fixed).otherwise(F.col("copies")))
-
-
 def apply(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs, each row as often as rates(id_col, copies) says; of an id with several, the most counts."""
     times = rates.groupBy(F.col(id_col).alias("__id")).agg(F.max("copies").alias("__copies")).filter(F.col("__copies") > 0)
     # The rates grow with the documents, so the join is a merge join at every size.
-    taken = docs.join(times.hint("merge"), F.col(id_col).eqNullSafe(F.col("__id")))
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("__own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    taken = rows.join(times.hint("merge"), F.col("__own").eqNullSafe(F.col("__id")))
+    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])

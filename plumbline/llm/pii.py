@@ -2,7 +2,10 @@
 
 Entities are found by patterns and replaced by a keyed permutation of their
 own kind and format: digits by digits, letters by letters of the same script
-and case, known first names by names of the same gender. A permutation maps
+and case, known first names by names of the same gender. Other names in ASCII
+letters become syllables with an ending for women, for men or for neither, as
+the title before a first name says; a first name's gender is part of what it
+is, so `Ms Alex` and `Mr Alex` are two. A permutation maps
 different entities of one format to different surrogates, and the same entity
 to the same one wherever and however it is written, on any executor, without a
 table of names. Kinds with a validity rule (card check digits, dialling codes,
@@ -17,6 +20,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -26,7 +31,6 @@ from pyspark.sql import functions as F
 
 KINDS = ["email", "phone", "ip", "card", "name"]
 ROUNDS = 8
-WALK = 10_000
 
 #: Titles by gender, and first names by gender.
 FEMALE_TITLES = "Mrs Ms Miss Frau Mme Mlle Madame Señora Señorita Sra Signora Doña"
@@ -41,13 +45,55 @@ MALE = (
     "Jan Javier John Jorge Karl Louis Luis Manuel Mark Martin Michael Otto Pablo Paul Peter Pierre Robert Stefan Thomas William"
 ).split()
 
-#: Scripts whose letters are permuted among themselves; other letters stay.
+#: Letters that are permuted among themselves. Any other letter is permuted among those of its case in its 256 code points.
 _ALPHABETS = [
     "abcdefghijklmnopqrstuvwxyz",
     "абвгдежзийклмнопрстуфхцчшщъыьэюя",
     "αβγδεζηθικλμνξοπρστυφχψω",
+    "0123456789",
 ]
 _OF = {c: a for a in _ALPHABETS for c in a}
+_ASCII_LOWER = _ALPHABETS[0]
+
+
+@lru_cache(4096)
+def _alphabet(c: str) -> str:
+    """The letters that may stand for lower-case c, itself included; c alone where it is no letter."""
+    if c in _OF:
+        return _OF[c]
+    if not c.isalpha():
+        return c
+    page = ord(c) & ~255
+    same = [chr(x) for x in range(page, page + 256)]
+    return "".join(x for x in same if x.isalpha() and x not in _OF and x == x.lower() and unicodedata.category(x) == unicodedata.category(c))
+
+
+#: Syllables of surrogate names, and their endings by gender, in which no listed name ends.
+_SYLLABLES = [c + v for c in "bcdfghjklmnprstvwz" for v in "aeiou"]
+_ENDINGS = {"female": "lina", "male": "dus", "": "sen"}
+
+
+def _lengths(syllables: int) -> range:
+    """Lengths of the words that so many syllables stand for: each length has one number of syllables, and as many as there are words."""
+    low = 1
+    for k in range(1, syllables + 1):
+        high, words = low, 0
+        while (words := words + 26**high) <= len(_SYLLABLES) ** k:
+            high += 1
+        if k == syllables:
+            return range(low, high)
+        low = high
+    return range(0)
+
+
+@lru_cache(256)
+def _syllables_for(length: int) -> tuple[int, int, int]:
+    """(syllables, number of the first word of that length, words in all) for words of a length."""
+    k = 1
+    while length not in (own := _lengths(k)):
+        k += 1
+    return k, sum(26**n for n in range(own.start, length)), sum(26**n for n in own)
+
 
 #: Country calling codes by length; a number that begins with none of them has its first digit for one.
 _CODES = {
@@ -64,13 +110,15 @@ _CODES = {
 CODES = {c for codes in _CODES.values() for c in codes.split()}
 
 _TITLES = "|".join(f"{FEMALE_TITLES} {MALE_TITLES} {OTHER_TITLES}".split())
-_NAME = r"[^\W\d_][^\W\d_'’-]*"
+_GENDER = {t: g for g, titles in (("female", FEMALE_TITLES), ("male", MALE_TITLES)) for t in titles.split()}
+#: A word of a name: 40 letters at most.
+_NAME = r"[^\W\d_][^\W\d_'’-]{0,39}(?![^\W\d_])"
 _PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+    r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8})"
     r"|(?<![\w.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\w]|\.\d)"
     r"|(?<![\w+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w)"
     r"|(?<![\w.])(?P<card>\d(?:[ -]?\d){12,18})(?!\w)"
-    rf"|\b(?:{_TITLES})\b\.? (?P<name>{_NAME}(?:[ '’-](?![a-zß-öø-ÿа-яёά-ώ]){_NAME}){{0,4}})"
+    rf"|\b(?P<title>{_TITLES})\b\.? (?P<name>{_NAME}(?:[ '’-](?![a-zß-öø-ÿа-яёά-ώ]){_NAME}){{0,4}})"
 )
 _HINT = re.compile(rf"[@\d]|\b(?:{_TITLES})\b")
 
@@ -123,38 +171,40 @@ class Surrogates:
         return self._feistel(kind, label, (at + 1) % n, n, rounds[::-1])
 
     def digits(self, kind: str, value: str, valid: Callable[[str], bool] = lambda s: True) -> str:
-        """Other digits in place of value's, valid as they are."""
+        """Other digits in place of value's, valid as they are; the cycle has value itself on it, so it ends."""
         n, was, at = 10 ** len(value), valid(value), value
-        for _ in range(WALK):
+        while True:
             at = str(self.permute(kind, "digits", int(at), n)).zfill(len(value))
             if valid(at) == was:
                 return at
-        return at
 
-    def letters(self, kind: str, value: str, valid: Callable[[str], bool] = lambda s: True) -> str:
+    def letters(self, kind: str, value: str) -> str:
         """Letters of the same script for lower-case letters, digits for digits; other characters stay."""
-        sizes = [len(_OF[c]) if c in _OF else 10 if c in "0123456789" else 1 for c in value]
-        shape = "".join(_OF[c][0] if c in _OF else "0" if s == 10 else c for c, s in zip(value, sizes, strict=True))
-        n = 1
-        for s in sizes:
-            n *= s
-        was, at = valid(value), value
-        for _ in range(WALK):
-            x = 0
-            for c, s in zip(at, sizes, strict=True):
-                x = x * s + (_OF[c].index(c) if c in _OF else int(c) if s == 10 else 0)
-            x = self.permute(kind, shape, x, n)
-            out = []
-            for c, s in zip(reversed(value), reversed(sizes), strict=True):
-                x, k = divmod(x, s)
-                out.append(_OF[c][k] if c in _OF else str(k) if s == 10 else c)
-            at = "".join(reversed(out))
-            if valid(at) == was:
-                return at
-        return at
-
-    def _text(self, kind: str, value: str) -> tuple[str, str]:
-        """(entity, surrogate) for a mention: the entity is the same however it is written."""
+        alphabets = [_alphabet(c) for c in value]
+        shape = "".join(a[0] for a in alphabets)
+        n, x = 1, 0
+        for c, a in zip(value, alphabets, strict=True):
+            n, x = n * len(a), x * len(a) + a.index(c)
+        x, out = self.permute(kind, shape, x, n), []
+        for a in reversed(alphabets):
+            x, k = divmod(x, len(a))
+            out.append(a[k])
+        return "".join(reversed(out))
+
+    def syllables(self, value: str, gender: str) -> str:
+        """Syllables and an ending for a lower-case word of ASCII letters: one for each word and gender."""
+        k, first, n = _syllables_for(len(value))
+        x = 0
+        for c in value:
+            x = x * 26 + _ASCII_LOWER.index(c)
+        x, out = self.permute("name", f"syllables:{k}:{gender}", first + x, n), []
+        for _ in range(k):
+            x, s = divmod(x, len(_SYLLABLES))
+            out.append(_SYLLABLES[s])
+        return "".join(out) + _ENDINGS[gender]
+
+    def _text(self, kind: str, value: str, gender: str = "") -> tuple[str, str]:
+        """(entity, surrogate) for a mention: the entity is the same however it is written; a first name's gender is part of it."""
         if kind == "email":
             local, _, domain = value.lower().partition("@")
             host, _, top = domain.rpartition(".")
@@ -164,21 +214,20 @@ class Surrogates:
         if kind == "ip":
             number = sum(int(p) << (24 - 8 * i) for i, p in enumerate(value.split(".")))
             was, at = _public(number), number
-            for _ in range(WALK):
-                at = self.permute(kind, "ip", at, 1 << 32)
-                if _public(at) == was:
-                    break
+            while _public(at := self.permute(kind, "ip", at, 1 << 32)) != was:
+                pass
             return str(number), ".".join(str(at >> s & 255) for s in (24, 16, 8, 0))
         if kind == "phone":
             return self._spelled(kind, value, _dialled)
         if kind == "card":
             return self._spelled(kind, value, _luhn)
         low = value.lower()
-        if low in self.pools:
-            new = self.pools[low]
-        else:
-            new = self.letters(kind, low, lambda s: s in self.pools)
-        return low, _cased(value, new.lower() if len(new) == len(value) else new)
+        own = "female" if low in _FEMALE_LOWER else "male" if low in _MALE_LOWER else ""
+        if own and gender in ("", own):
+            return low, _cased(value, self.pools[low].lower())
+        if not set(low) <= set(_ASCII_LOWER):
+            return low, _cased(value, self.letters(kind, low))
+        return f"{gender}:{low}" if gender else low, _cased(value, self.syllables(low, gender))
 
     def _spelled(self, kind: str, value: str, valid: Callable[[str], bool]) -> tuple[str, str]:
         """Digits replaced where they stand; a leading country code stays, whatever follows it."""
@@ -203,37 +252,51 @@ def _dialled(digits: str) -> bool:
     return len(digits) != 10 or (digits[0] > "1" and digits[3] > "1")
 
 
+_FEMALE_LOWER, _MALE_LOWER = ({n.lower() for n in pool} for pool in (FEMALE, MALE))
+
+
 def _cased(old: str, new: str) -> str:
     if len(old) != len(new):
-        return new.upper() if old.isupper() and len(old) > 1 else new
+        return new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[:1].isupper() else new
     return "".join(n.upper() if o.isupper() and len(n.upper()) == 1 else n for o, n in zip(old, new, strict=True))
 
 
-def find(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the entities of a text, in order; a name found by its title is found again without it."""
+def find(text: str) -> list[tuple[str, int, int, str]]:
+    """(kind, start, end, gender) of the entities of a text, in order; a name found by its title is found again without it.
+
+    The first of several names after a title, or a listed one, is a first name and has the title's gender, if that has one.
+    """
     if not _HINT.search(text):
         return []
-    spans, names = [], set()
+    spans, names = [], {}
     for m in _PATTERN.finditer(text):
         kind = m.lastgroup
         if kind == "name":
-            for word in re.finditer(_NAME, m.group("name")):
-                spans.append(("name", m.start("name") + word.start(), m.start("name") + word.end()))
-                names.add(word.group())
+            words = list(re.finditer(_NAME, m.group("name")))
+            for i, word in enumerate(words):
+                first = i == 0 and (len(words) > 1 or word.group().lower() in _FEMALE_LOWER | _MALE_LOWER)
+                gender = _GENDER.get(m.group("title"), "") if first else ""
+                spans.append(("name", m.start("name") + word.start(), m.start("name") + word.end(), gender))
+                names.setdefault(word.group(), gender)
         elif kind != "ip" or all(int(p) < 256 for p in m.group().split(".")):
-            spans.append((kind, *m.span(kind)))
+            spans.append((kind, *m.span(kind), ""))
     if names:
-        taken = {i for _, a, z in spans for i in range(a, z)}
-        again = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(names))) + r")\b")
-        spans += [("name", *m.span()) for m in again.finditer(text) if m.start() not in taken and m.end() - 1 not in taken]
+        taken = sorted((a, z) for _, a, z, _ in spans)
+        starts = [a for a, _ in taken]
+        # Words are looked up one by one: a pattern of all names would try each at each place.
+        for m in re.finditer(rf"(?<![\w]){_NAME}(?![\w])", text):
+            if m.group() in names:
+                k = bisect_right(starts, m.start()) - 1
+                if not (k >= 0 and taken[k][1] > m.start()) and not (k + 1 < len(taken) and taken[k + 1][0] < m.end()):
+                    spans.append(("name", *m.span(), names[m.group()]))
         spans.sort(key=lambda s: s[1])
     return spans
 
 
-def replaced(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int]]]:
+def replaced(text: str, surrogates: Surrogates) -> tuple[str, list[tuple[str, int, int, str]]]:
     spans, out, at = find(text), [], 0
-    for kind, a, z in spans:
-        out += [text[at:a], surrogates.text(kind, text[a:z])[1]]
+    for kind, a, z, gender in spans:
+        out += [text[at:a], surrogates.text(kind, text[a:z], gender)[1]]
         at = z
     return ("".join([*out, text[at:]]) if spans else text), spans
 
@@ -247,8 +310,8 @@ def mentions(docs: DataFrame, key: bytes, attempts: dict[str, int], text_col: st
         for b in batches:
             rows = set()
             for text in b.column(0).to_pylist():
-                for kind, a, z in find(text):
-                    entity, new = s.text(kind, text[a:z])
+                for kind, a, z, gender in find(text):
+                    entity, new = s.text(kind, text[a:z], gender)
                     # A surrogate stands for what a reader would take it for: its entity, not its spelling.
                     shown = new.casefold() if kind in ("email", "name") else "".join(c for c in new if c.isdigit() or c == "." and kind == "ip")
                     shown = "+" * (kind == "phone" and new.startswith("+")) + shown
@@ -275,11 +338,13 @@ def settled(docs: DataFrame, key: bytes, text_col: str = "text", tries: int = 8)
 def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: (id_col, text_col, n_entities, spans).
 
-    The text has surrogates for its e-mail addresses, telephone numbers, IP
-    addresses, card numbers and names after titles; spans are kind:start:end in
+    The text has surrogates for its e-mail addresses (parts of 64 characters,
+    nine labels at most), telephone numbers, IP addresses, card numbers and
+    names after titles (words of 40 letters at most); spans are kind:start:end in
     code points of the old text, joined by commas. Null texts stay null, with
     no entities; texts without entities stay as they are. Equal rows get equal
-    results; an empty table gives none; other columns are ignored.
+    results; an empty table gives none; other columns are ignored, and ids may
+    be null. Work grows with a text's length, also where it is one run.
     """
     attempts = settled(docs, key, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -289,7 +354,7 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
         for b in batches:
             got = [(None, []) if t is None else replaced(t, s) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([t for t, _ in got], pa.string()), pa.array([len(x) for _, x in got], pa.int64()), pa.array([",".join(f"{k}:{a}:{z}" for k, a, z in x) for _, x in got], pa.string())],
+                [b.column(0), pa.array([t for t, _ in got], pa.string()), pa.array([len(x) for _, x in got], pa.int64()), pa.array([",".join(f"{k}:{a}:{z}" for k, a, z, _ in x) for _, x in got], pa.string())],
                 names=["id", "text", "n_entities", "spans"],
             )
 

@@ -128,7 +128,7 @@ def _chunks(xs: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.ceil(F.size(xs) / CHUNK).cast("int") - 1), lambda c: F.slice(xs, c * CHUNK + 1, F.lit(CHUNK)))
 
 
-def _walk(xs: Column, kind: str, step: Callable[[Column, Column, Column, Column], Column], within: Callable[[Column, Column], Column] | None = None) -> tuple[Column, Column]:
+def _walk(xs: Column, kind: str, step: Callable[[Column, Column, Column, Column], Column], within: Callable[[Column, Column], Column] | None = None) -> Column:
     """(at, out) after step(at, out, x, within(at, chunk)) -> (at, out) for each element of an array that is not empty."""
     none = F.array().cast(f"array<{kind}>")
 
@@ -138,7 +138,8 @@ def _walk(xs: Column, kind: str, step: Callable[[Column, Column, Column, Column]
         inner = walked(None) if within is None else _let(within(state["at"], part), walked)
         return _let(inner, lambda got: F.struct(got["at"].alias("at"), F.concat(state["out"], F.array(got["out"])).alias("out")))
 
-    return F.aggregate(_chunks(xs), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), chunk)
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out"))
+    return _let(xs, lambda x: F.aggregate(_chunks(x), first, chunk))
 
 
 def _spans(text: Column, pattern: str, kind: int, matches: Column) -> Column:

@@ -36,8 +36,8 @@ SEGMENTS = 4
 BUDGET = [DISTANCE * k // SEGMENTS for k in range(1, SEGMENTS + 1)]
 #: Fingerprints under one key beyond which the key is cut into blocks.
 BLOCK = 8192
-#: Hot keys up to which their list is broadcast; beyond, it is joined.
-BROADCAST_KEYS = 100_000
+#: Parts that the fingerprints under a hot key are dealt to while its blocks are looked up.
+SALTS = 64
 #: Group size up to which all its pairs are compared by shifting the whole batch.
 SMALL = 16
 
@@ -190,15 +190,17 @@ def links(fps: DataFrame) -> DataFrame:
     hot = stash(segments.groupBy("prefix").count().filter(F.col("count") > BLOCK).select("prefix"), "hot")
     one = filed.withColumns({"a": F.lit(0), "b": F.lit(0), "blk": F.lit(0)})
     if not hot.isEmpty():
-        within = filed.withColumn("prefix", prefix).join(F.broadcast(hot), "prefix", "left_semi")
-        keys = stash(within.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("n")), "keys")
-        many = keys.count()
-        if many:
-            keys = F.broadcast(keys) if many <= BROADCAST_KEYS else keys
-            cut = filed.join(keys, "key", "left").withColumn("n", F.coalesce("n", F.lit(1)))
-            cut = cut.withColumn("blk", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-            other = F.explode(F.expr("sequence(0, n - 1)")).alias("other")
-            one = cut.select("key", "fp", "own", "blk", other).select("key", "fp", "own", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "blk")
+        marked = filed.withColumn("prefix", prefix).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "prefix", "left")
+        warm = marked.filter("hot").select("key", "fp", "own")
+        keys = stash(warm.groupBy("key").count().filter(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("n")), "keys")
+        # A key's rows may be a third of all, so they are dealt to many tasks; the keys grow with the documents, so the join is a merge join.
+        salts = keys.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+        cut = warm.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(SALTS)).cast("int")).join(salts, ["key", "salt"], "left").withColumn("n", F.coalesce("n", F.lit(1)))
+        cut = cut.withColumn("blk", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")).cast("int"))
+        other = F.explode(F.expr("sequence(0, n - 1)")).alias("other")
+        cut = cut.select("key", "fp", "own", "blk", other).select("key", "fp", "own", F.least("blk", "other").alias("a"), F.greatest("blk", "other").alias("b"), "blk")
+        cold = marked.filter("hot IS NULL").select("key", "fp", "own", *[F.lit(0).alias(c) for c in ("a", "b", "blk")])
+        one = cut.union(cold)
     dealt = one.select("key", "fp", "own", "a", "b", "blk").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
     return dealt.mapInArrow(_link_batches, "u bigint, v bigint")
 

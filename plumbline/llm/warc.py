@@ -10,6 +10,7 @@ those that the written index names are ever read.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,10 @@ REVISIT_LEAST = 100
 ARCHIVE_BYTES = 1 << 30
 #: Bytes of archive that a read range spans at most, save for a longer record.
 RANGE_BYTES = 4 << 20
+#: Bytes of archive that a reading task takes, about, and inflated bytes that it holds, save for a longer record.
+TASK_BYTES, HELD_BYTES = 32 << 20, 16 << 20
+#: Parts that the records of one payload are dealt to, so that a very common page is in no single task.
+SALTS = 32
 #: Unselected bytes between records that are read along rather than skipped.
 GAP_BYTES = 64 << 10
 DATE = "2000-01-01T00:00:00Z"
@@ -114,7 +119,8 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     the others revisit it; shorter ones are all responses. A null id is smaller
     than none; where all of a group are null, all are responses. Repeated rows
     get records of their own, null URLs a URI made of the id; an empty table
-    gives an empty index. Other columns are ignored whatever their names.
+    gives an empty index. Other columns are ignored whatever their names. A
+    record is made in memory, however long its payload is.
     """
     spark = pages.sparkSession
     folder = folder or work_path(spark, "warc")
@@ -123,50 +129,67 @@ def write(pages: DataFrame, folder: str | None = None, id_col: str = "page_id",
     long = F.octet_length("payload") >= REVISIT_LEAST
     first = d.filter(long).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     refers = F.when(long & F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    joined = d.join(first.select("digest", "first"), "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
+    d = d.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    first = first.select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    joined = d.join(first, ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
     kind = pages.schema[id_col].dataType.simpleString()
     return stash(joined.mapInArrow(_writer(folder), INDEX.format(id=kind)), "warc-index")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    opened: dict[str, tuple[fs.FileSystem, str]] = {}
-    for b in batches:
-        for archive, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            folder, _, name = archive.rpartition("/")
-            if folder not in opened:
-                opened[folder] = _open(folder)
-            files, root = opened[folder]
-            rows, k = [], 0
-            with files.open_input_file(f"{root}/{name}") as f:
-                while k < len(wanted):
-                    first, end = k, wanted[k]["offset"] + wanted[k]["length"]
-                    while k + 1 < len(wanted) and wanted[k + 1]["offset"] - end <= GAP_BYTES:
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string()] * 5 + [pa.binary()]
+    names = ["page_id", "url", "record_type", "refers_to", "digest", "payload"]
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _reader(held_bytes: int):  # noqa: ANN202
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: dict[str, tuple[fs.FileSystem, str]] = {}
+        for b in batches:
+            for archive, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                folder, _, name = archive.rpartition("/")
+                if folder not in opened:
+                    opened[folder] = _open(folder)
+                files, root = opened[folder]
+                rows, held, k = [], 0, 0
+                with files.open_input_file(f"{root}/{name}") as f:
+                    while k < len(wanted):
+                        first, end = k, wanted[k]["offset"] + wanted[k]["length"]
+                        while k + 1 < len(wanted) and wanted[k + 1]["offset"] - end <= GAP_BYTES:
+                            k += 1
+                            end = max(end, wanted[k]["offset"] + wanted[k]["length"])
                         k += 1
-                        end = max(end, wanted[k]["offset"] + wanted[k]["length"])
-                    k += 1
-                    base = wanted[first]["offset"]
-                    f.seek(base)
-                    data = f.read(end - base)
-                    for w in wanted[first:k]:
-                        at = w["offset"] - base
-                        fields, payload = parse(zlib.decompress(data[at : at + w["length"]], 31))
-                        own, refers = fields["x-page-id"], fields.get("x-refers-to-page-id")
-                        rows.append((own or None, fields["warc-target-uri"], fields["warc-type"], refers, fields["warc-payload-digest"].removeprefix("sha256:"), payload if fields["warc-type"] == "response" else None))
-            kinds = [pa.string()] * 5 + [pa.binary()]
-            names = ["page_id", "url", "record_type", "refers_to", "digest", "payload"]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                        base = wanted[first]["offset"]
+                        f.seek(base)
+                        data = f.read(end - base)
+                        for w in wanted[first:k]:
+                            at = w["offset"] - base
+                            fields, payload = parse(zlib.decompress(data[at : at + w["length"]], 31))
+                            own, refers, kind = fields["x-page-id"], fields.get("x-refers-to-page-id"), fields["warc-type"]
+                            rows.append((own or None, fields["warc-target-uri"], kind, refers, fields["warc-payload-digest"].removeprefix("sha256:"), payload if kind == "response" else None))
+                            held += len(payload)
+                            if held >= held_bytes:
+                                yield _records(rows)
+                                rows, held = [], 0
+                if rows:
+                    yield _records(rows)
+
+    return read
 
 
 def read(index: DataFrame) -> DataFrame:
     """The records of the given index rows: (page_id, url, record_type, refers_to, digest, payload).
 
-    payload is null for a revisit; ``resolve`` gives it. An index row twice
-    gives its record twice; no rows give none.
+    payload is null for a revisit; ``measured`` looks at the record that it
+    refers to. An index row twice gives its record twice; no rows give none.
+    Ranges are dealt to tasks by the bytes of archive behind them.
     """
+    size = index.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()["bytes"]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, math.ceil(size / TASK_BYTES))
     kind = index.schema["page_id"].dataType.simpleString()
     wanted = F.sort_array(F.collect_list(F.struct("offset", "length")))
     ranges = index.groupBy("archive", F.floor(F.col("offset") / RANGE_BYTES).alias("block")).agg(wanted.alias("wanted")).select("archive", "wanted")
-    found = ranges.mapInArrow(_read, "page_id string, url string, record_type string, refers_to string, digest string, payload binary")
+    found = ranges.repartition(tasks, "archive", F.col("wanted")[0]["offset"]).mapInArrow(_reader(HELD_BYTES), "page_id string, url string, record_type string, refers_to string, digest string, payload binary")
     return found.withColumns({c: F.col(c).cast(kind) for c in ("page_id", "refers_to")})
 
 
