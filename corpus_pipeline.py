@@ -16,8 +16,9 @@ from plumbline.llm import common, language, mixing, packing, secrets, simhash
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language stay; a null ``lang`` gets the one predicted."""
     model = language.train(docs)
-    found = language.annotate(docs, model).filter(language.accepted())
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("lang_pred", "score", "fit")}
+    found = language.annotate(docs.withColumnsRenamed(own), model).filter(language.accepted())
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +35,10 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its fitted rate, rounded at random, says; likely toxic ones with rates under one half go."""
+    """Each document as often as its fitted rate, rounded at random, says; documents that are surely not toxic stay once at least."""
     labelled = mixing.quality_domains(common.docs_table(spark, sf_dir, "labels"))
-    rates = common.stash(mixing.kept(mixing.mix(docs, labelled)).select("doc_id", "copies"), "copies")
+    mixed = mixing.mix(docs, labelled, whole=("high", "low"), vocabulary=True)
+    rates = common.stash(mixing.copies(mixed, seed=mixing.SEED).select("doc_id", "copies"), "copies")
     return mixing.apply(docs, rates)
 
 
