@@ -11,9 +11,9 @@ NULL_TOKENS = ["", "na", "n/a", "null", "nan", "none", "-"]
 #: Fixed value: white space that is trimmed, as a regular expression's class.
 SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 TRIM = f"^{SPACE}+|{SPACE}+$"
-#: Decimal numbers; dates as year-month-day, with or without a time, or day/month/year.
+#: Decimal numbers; dates as year-month-day in four and two digits, with or without a time, or day/month/year.
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
-DATE = r"^(\d{4}-\d{1,2}-\d{1,2}([T ]\d{1,2}:\d{2}(:\d{2})?)?|\d{1,2}/\d{1,2}/\d{2,4})$"
+DATE = r"^(\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?|\d{1,2}/\d{1,2}/\d{2,4})$"
 
 
 def _col(c: str | Column) -> Column:
@@ -59,12 +59,18 @@ def supported(df: DataFrame) -> list[str]:
 
 
 def cell(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
-    """(value, number, date-like) of a column of any supported type; value is null where the cell means null."""
+    """(value, number, date-like) of a column of any supported type; value is null where the cell means null.
+
+    The value of a number is its type's own text: whole numbers of any size stay apart, and 1 is not 1.0.
+    """
     kind, c = df.schema[name].dataType, F.col(f"`{name}`")
     if is_numeric_type(kind):
         n = c.cast("double")
-        n = F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
-        return n.cast("string"), n, F.lit(False)
+        if isinstance(kind, (T.FloatType, T.DoubleType)):
+            n = F.when(~F.isnan(n) & (F.abs(n) < float("inf")), n)
+            # Zero is one value, whatever its sign.
+            return F.when(n.isNotNull(), F.when(n == 0, F.lit(0).cast(kind)).otherwise(c).cast("string")), n, F.lit(False)
+        return c.cast("string"), n, F.lit(False)
     if is_date_type(kind):
         return c.cast("string"), F.lit(None).cast("double"), c.isNotNull()
     if isinstance(kind, T.BooleanType):

@@ -14,6 +14,15 @@ IMBALANCE = 0.15
 SCHEMA = "severity int, kind string, column string, score double, minority_rate double"
 
 
+def class_rates(df: DataFrame, target: str) -> tuple[float, float, bool] | None:
+    """(positive rate, minority rate, whether that is an imbalance) of a binary target; None for any other."""
+    classes = two_classes(df, target)
+    if not classes:
+        return None
+    n, minority = sum(c for _, c in classes), min(c for _, c in classes)
+    return classes[1][1] / n, minority / n, minority / n < IMBALANCE
+
+
 def alerts(df: DataFrame, target: str, names: list[str] | None = None) -> DataFrame:
     """(severity, kind, column, score, minority_rate), in order of severity; none without a binary target."""
     spark = df.sparkSession

@@ -2,39 +2,40 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.metrics import evaluate
 
 REPEATS = 10
-#: Test rows among which a feature's values change places.
-BLOCK_ROWS = 100_000
+#: Leading digits of the digests that rows are dealt by, in base 16.
+DIGITS = 3
 LEAST_CORRELATION = 0.05
 
 
-def permuted(test: DataFrame, row_id: str, numeric: list[str], categorical: list[str], rows: int, repeats: int = REPEATS, seed: int = 42) -> DataFrame:
+def permuted(test: DataFrame, row_id: str, numeric: list[str], categorical: list[str], repeats: int = REPEATS, seed: int = 42) -> DataFrame:
     """test once for each feature and repeat (columns ``feature``, ``repeat``), with that feature's values moved.
 
-    Each row takes the value of the next in an order of seeded digests, the
-    last that of the first: one random cycle. Large test parts are cut into
-    blocks at random, so that no task orders all rows.
+    In a repeat each row takes the values of the next in an order of seeded
+    digests, the last those of the first: one random cycle of all rows, at any
+    size. Rows are ordered within parts of leading digits; the last of a part
+    takes from the first of the next, of which there are 16 ** DIGITS for each
+    repeat at most. Rows are shuffled once for each repeat, not for each feature.
     """
     names = numeric + categorical
-    grid = test.withColumn("feature", F.explode(F.array(*map(F.lit, names)))).withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    blocks = max(1, math.ceil(rows / BLOCK_ROWS))
-    pick = lambda cols, kind: F.coalesce(F.lit(None).cast(kind), *[F.when(F.col("feature") == c, F.col(f"`{c}`")) for c in cols])
-    w = Window.partitionBy("feature", "repeat", F.pmod(F.xxhash64(row_id, F.lit(seed)), F.lit(blocks))).orderBy(
-        F.md5(F.concat_ws("|", F.lit(seed), "feature", "repeat", F.col(row_id).cast("string"))), row_id
-    )
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    own = F.struct(pick(numeric, "double").alias("num"), pick(categorical, "string").alias("txt"))
-    moved = grid.withColumn("__own", own).withColumn("__src", F.coalesce(F.lead("__own").over(w), F.first("__own").over(whole)))
-    swap = lambda c, field: F.when(F.col("feature") == c, F.col(f"__src.{field}")).otherwise(F.col(f"`{c}`")).alias(c)
+    own = F.struct(*[F.col(f"`{c}`").alias(f"f{i}") for i, c in enumerate(names)])
     rest = [c for c in test.columns if c not in names]
-    return moved.select(*rest, "feature", "repeat", *[swap(c, "num") for c in numeric], *[swap(c, "txt") for c in categorical])
+    row = F.struct(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)])
+    d = test.select(row.alias("row"), own.alias("own"), F.col(row_id).cast("string").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
+    d = d.withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), "repeat", "id"))).withColumn("part", F.substring("key", 1, DIGITS))
+    firsts = d.groupBy("repeat", "part").agg(F.min_by("own", F.struct("key", "id")).alias("first"))
+    parts = Window.partitionBy("repeat").orderBy("part")
+    whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    after = firsts.select("repeat", "part", F.coalesce(F.lead("first").over(parts), F.first("first").over(whole)).alias("after"))
+    d = d.withColumn("next", F.lead("own").over(Window.partitionBy("repeat", "part").orderBy("key", "id"))).join(F.broadcast(after), ["repeat", "part"])
+    d = d.select("row", "own", "repeat", F.coalesce("next", "after").alias("src"), F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(names)])).alias("f"))
+    swap = [F.when(F.col("f.i") == i, F.col(f"src.f{i}")).otherwise(F.col(f"own.f{i}")).alias(c) for i, c in enumerate(names)]
+    return d.select(*[F.col(f"row.r{i}").alias(c) for i, c in enumerate(rest)], F.col("f.name").alias("feature"), "repeat", *swap)
 
 
 def importances(scored: DataFrame, base: float, metric: str) -> DataFrame:
@@ -48,6 +49,11 @@ def used(importance: Column) -> Column:
     return F.round(importance, 3) > 0
 
 
+def is_used(importance: float) -> bool:
+    """``used`` of a number, rounded half up as it is."""
+    return int(abs(importance) * 1000 + 0.5) > 0 and importance > 0
+
+
 def directions(df: DataFrame, numeric: list[str]) -> DataFrame:
     """(column, direction): positive or negative correlation with y, or null where it is too weak to tell."""
     long = df.select("y", F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("x")) for c in numeric])).alias("s")).select("y", "s.*").filter("x IS NOT NULL")

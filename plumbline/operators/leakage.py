@@ -1,6 +1,6 @@
 """Univariate scores against a binary target, exact and without a task per column.
 
-The rank AUC counts values once each and ranks them by buckets.
+The rank AUC counts values once each and ranks them within buckets.
 """
 
 from __future__ import annotations
@@ -9,25 +9,38 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions import cells
 from plumbline.operators.profile import distinct_cells, profile
-from plumbline.operators.ranks import BUCKETS, ranked
+from plumbline.operators.ranks import bucket, bucketed, edges_of, rank_sums
 
 THRESHOLD = 0.98
 
 
-def rank_auc(counts: DataFrame, by: list[str], value: str = "num", buckets: int = BUCKETS) -> DataFrame:
-    """counts(*by, value, n, hits), values once each -> (*by, auc): Mann-Whitney with mean ranks for ties.
+def _auc(sums: DataFrame, by: list[str]) -> DataFrame:
+    p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
+    return sums.select(*by, F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).otherwise(0.5).alias("auc"))
+
+
+def rank_auc(counts: DataFrame, by: list[str], value: str = "num") -> DataFrame:
+    """counts(*by, value, n, hits) -> (*by, auc): Mann-Whitney with mean ranks for ties.
 
     0.5 where a class has no row. Null values are passed over.
     """
-    d = ranked(counts.select(*by, value, "n", "hits"), by, value, buckets)
-    rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
-    got = d.groupBy(*by).agg(F.sum(F.col("hits") * rank).alias("r"), F.sum("hits").alias("p"), F.sum("n").alias("n"))
-    p, q = F.col("p").cast("double"), (F.col("n") - F.col("p")).cast("double")
-    return got.select(*by, F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).otherwise(0.5).alias("auc"))
+    once = counts.groupBy(*by, value).agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return _auc(rank_sums(bucketed(once, by, value), by, value), by)
+
+
+def numeric_auc(df: DataFrame, positive: Column, names: list[str]) -> DataFrame:
+    """(pos, column, auc) of numeric columns: a pass for boundaries, and one that counts distinct numbers and ranks them."""
+    nums = [cells.cell(df, c)[1] for c in names]
+    edges = F.array(*[F.array(*map(F.lit, e)).cast("array<double>") for e in edges_of(df, nums)])
+    each = F.array(*[F.struct(F.lit(i).alias("i"), x.alias("num")) for i, x in enumerate(nums)])
+    long = df.select(F.explode(each).alias("c"), F.coalesce(positive.cast("int"), F.lit(0)).alias("hit")).filter("c.num IS NOT NULL")
+    counts = long.groupBy("c.i", "c.num").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").cast("long").alias("hits"))
+    d = counts.withColumn("__b", bucket(F.col("num"), F.element_at(edges, F.col("i") + 1)))
+    at = lambda values: F.element_at(F.array(*map(F.lit, values)), F.col("i") + 1)
+    return _auc(rank_sums(d, ["i"], "num"), ["i"]).select(at([df.columns.index(c) for c in names]).alias("pos"), at(names).alias("column"), "auc")
 
 
 def purity(counts: DataFrame, by: list[str]) -> DataFrame:
@@ -38,24 +51,21 @@ def purity(counts: DataFrame, by: list[str]) -> DataFrame:
 
 def scores(df: DataFrame, positive: Column, names: list[str]) -> DataFrame:
     """(pos, column, kind, score) per column that is not date-like: max(auc, 1 - auc), or purity of a categorical one."""
-    kinds = {c: "numeric" if cells.is_numeric_type(df.schema[c].dataType) else "categorical" for c in names if not cells.is_date_type(df.schema[c].dataType)}
-    # Only text needs a look at its cells to tell what it holds.
-    if texts := [c for c in kinds if isinstance(df.schema[c].dataType, T.StringType)]:
-        for r in profile(df, texts).collect():  # a row per column
-            if r["looks_like_date"]:
-                del kinds[r["name"]]
-            else:
-                kinds[r["name"]] = r["kind"]
-    by, parts = ["pos", "column"], []
-    if numeric := [c for c, kind in kinds.items() if kind == "numeric"]:
-        got = rank_auc(distinct_cells(df, numeric, positive), by)
+    by, schema = ["pos", "column"], "pos int, column string, kind string, score double"
+    numeric = [c for c in names if cells.is_numeric_type(df.schema[c].dataType)]
+    others, parts = [c for c in names if c not in numeric and not cells.is_date_type(df.schema[c].dataType)], []
+    if others:
+        # One pass over text: what it holds, and its purity, for a row per column.
+        d = distinct_cells(df, others, positive)
+        facts = profile(df, others, d).join(purity(d, by).select(F.col("column").alias("name"), "purity"), "name", "left").collect()
+        numeric += [r["name"] for r in facts if r["kind"] == "numeric"]
+        found = [(r["pos"], r["name"], "categorical", r["purity"]) for r in facts if r["kind"] == "categorical" and not r["looks_like_date"] and r["purity"] is not None]
+        if found:
+            parts.append(df.sparkSession.createDataFrame(found, schema))
+    if numeric:
+        got = numeric_auc(df, positive, numeric)
         parts.append(got.select(*by, F.lit("numeric").alias("kind"), F.greatest("auc", 1 - F.col("auc")).alias("score")))
-    if others := [c for c, kind in kinds.items() if kind == "categorical"]:
-        got = purity(distinct_cells(df, others, positive), by)
-        parts.append(got.select(*by, F.lit("categorical").alias("kind"), F.col("purity").alias("score")))
-    if not parts:
-        return df.sparkSession.createDataFrame([], "pos int, column string, kind string, score double")
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts) if parts else df.sparkSession.createDataFrame([], schema)
 
 
 def flagged(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
@@ -15,9 +16,19 @@ from plumbline.operators.profile import distinct_cells
 
 #: Training rows that a category needs for a slot of its own.
 MIN_FREQUENCY = 2
+#: Categories of a column beyond which it is refused: they become part of the model, in the driver.
+MAX_CATEGORIES = 10_000
 _NO_CATEGORY = "\x00none"
 
 
+class VocabularyError(ValueError):
+    """Columns with more than MAX_CATEGORIES categories: identifiers or texts, not features."""
+
+    def __init__(self, columns: list[str]):
+        super().__init__(f"over {MAX_CATEGORIES} categories: {', '.join(columns)}")
+        self.columns = columns
+
+
 @dataclass
 class Statistics:
     """What training rows say: enough to rebuild the preprocessing and to tell new values from seen ones."""
@@ -68,7 +79,10 @@ def rare(counts: DataFrame) -> DataFrame:
 
 
 def learn(train: DataFrame, numeric: list[str], categorical: list[str]) -> Statistics:
-    """Statistics of typed training rows: a pass for medians and ranges, one for scaling, one for categories."""
+    """Statistics of typed training rows: a pass for medians and ranges, one for scaling, one for categories.
+
+    Raises VocabularyError, before any category comes to the driver, where a column has too many.
+    """
     s = Statistics()
     if numeric:
         exprs = [f(F.col(f"`{c}`")).alias(f"{name}{i}") for i, c in enumerate(numeric) for f, name in ((F.min, "lo"), (F.max, "hi"))]
@@ -80,8 +94,13 @@ def learn(train: DataFrame, numeric: list[str], categorical: list[str]) -> Stati
         s.means = {c: row[f"{c}_mean"] or 0.0 for c in numeric}
         s.deviations = {c: row[f"{c}_std"] or 1.0 for c in numeric}
     if categorical:
-        # Vocabularies become part of the model, so they come to the driver.
-        counts = sorted((r["column"], r["value"], r["n"]) for r in category_counts(train, categorical).collect())
+        # Vocabularies become part of the model, so they come to the driver: at most one more than MAX_CATEGORIES for each column.
+        few = Window.partitionBy("column").orderBy(F.col("n").desc(), "value")
+        got = category_counts(train, categorical).withColumn("r", F.row_number().over(few)).filter(F.col("r") <= MAX_CATEGORIES + 1)
+        counts = sorted((r["column"], r["value"], r["n"]) for r in got.collect())
+        sizes = Counter(column for column, _, _ in counts)
+        if over := [c for c in categorical if sizes[c] > MAX_CATEGORIES]:
+            raise VocabularyError(over)
         for c in categorical:
             own = [(v, n) for column, v, n in counts if column == c]
             s.categories[c] = [v for v, _ in own]

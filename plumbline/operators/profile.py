@@ -3,28 +3,47 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import cells
 
 DATE_SHARE = 0.8
 
 
+def _storage(kind: T.DataType) -> str:
+    """What cells of a type are grouped by."""
+    if isinstance(kind, T.IntegralType):
+        return "bigint"
+    return "double" if isinstance(kind, T.DoubleType) else kind.simpleString()
+
+
 def distinct_cells(df: DataFrame, names: list[str] | None = None, positive: Column | None = None) -> DataFrame:
     """(pos, column, value, num, date, n, hits) per distinct cell: how often it occurs, and with ``positive`` true.
 
-    One shuffle for all columns; counts combine before it.
+    Columns of one type share a pass that reads them alone, with one shuffle;
+    counts combine before it. Cells are grouped by their own type, and what
+    they mean is worked out for distinct ones.
     """
     names = cells.supported(df) if names is None else names
     hit = F.lit(0) if positive is None else F.coalesce(positive.cast("int"), F.lit(0))
-    parts = []
+    by_kind: dict[str, list[str]] = {}
     for name in names:
-        value, num, date = cells.cell(df, name)
-        parts.append(F.struct(F.lit(df.columns.index(name)).alias("pos"), F.lit(name).alias("column"), value.alias("value"), num.alias("num"), date.alias("date")))
-    long = df.select(F.explode(F.array(*parts)).alias("c"), hit.alias("hit")).select("c.*", "hit")
-    return long.groupBy("pos", "column", "value", "num", "date").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").cast("long").alias("hits"))
+        by_kind.setdefault(_storage(df.schema[name].dataType), []).append(name)
+    parts = []
+    for kind, own in by_kind.items():
+        clean = (lambda c: cells.text(c)) if kind == "string" else (lambda c: c.cast(kind))  # noqa: B023
+        each = F.array(*[F.struct(F.lit(df.columns.index(c)).alias("pos"), clean(F.col(f"`{c}`")).alias("v")) for c in own])
+        counted = df.select(F.explode(each).alias("c"), hit.alias("hit")).groupBy("c.pos", "c.v").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").cast("long").alias("hits"))
+        value, num, date = cells.cell(counted, "v")
+        column = F.element_at(F.array(*[F.lit(c) for c in df.columns]), F.col("pos") + 1)
+        parts.append(counted.select("pos", column.alias("column"), value.alias("value"), num.alias("num"), date.alias("date"), "n", "hits"))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "pos int, column string, value string, num double, date boolean, n bigint, hits bigint")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def profile(df: DataFrame, names: list[str] | None = None, distinct: DataFrame | None = None) -> DataFrame:
@@ -38,7 +57,7 @@ def profile(df: DataFrame, names: list[str] | None = None, distinct: DataFrame |
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     got = d.groupBy("pos", "column").agg(
         count(~there).alias("nulls"),
-        # Distinct by text, whatever the number or date that it writes.
+        # Distinct by text, whatever the number or date that it writes. Numbers that are none may be several cells without a value.
         F.count("value").alias("cardinality"),
         count(there).alias("present"),
         count(F.col("num").isNotNull()).alias("numbers"),
@@ -66,15 +85,16 @@ def target_classes(df: DataFrame, target: str, row_id: str | None = None) -> Dat
 def two_classes(df: DataFrame, target: str) -> list[tuple[str, int]]:
     """The classes and counts of a binary target, negative then positive; [] for any other target.
 
-    The rarer class is positive; of equals, the one that is later in text order.
+    The rarer class is positive; of equals, the one that is later in text
+    order, but the shorter where one begins with the other.
     """
     value = cells.cell(df, target)[0]
     # Three rows at most come to the driver.
     got = df.select(value.alias("label")).filter("label IS NOT NULL").groupBy("label").count().limit(3).collect()
     if len(got) != 2:
         return []
-    (a, n), (b, m) = sorted((r["label"], r["count"]) for r in got)
-    return [(b, m), (a, n)] if n < m else [(a, n), (b, m)]
+    late = lambda label: label + chr(0x10FFFF)  # noqa: E731  after all that begins with it
+    return sorted(((r["label"], r["count"]) for r in got), key=lambda c: (-c[1], late(c[0])))
 
 
 def features(df: DataFrame, target: str, profiled: DataFrame | None = None, drop: tuple[str, ...] = ()) -> tuple[list[str], list[str]]:
@@ -84,7 +104,8 @@ def features(df: DataFrame, target: str, profiled: DataFrame | None = None, drop
     return [r["name"] for r in kept if r["kind"] == "numeric"], [r["name"] for r in kept if r["kind"] == "categorical"]
 
 
-PREVIEW = 20
+#: Rows of a table's preview, and of a scored one's.
+PREVIEW, SCORED_PREVIEW = 20, 10
 
 
 @dataclass(frozen=True)

@@ -1,37 +1,68 @@
 """Exact ranks of counted values, without a task that orders a whole group.
 
-Values are cut into buckets at approximate quantiles, and ranked within buckets
-on top of the buckets' totals. The boundaries are approximate, ranks are exact.
+Values are cut into buckets at approximate quantiles, ranked within buckets,
+and set on top of the totals of lesser buckets. The boundaries are approximate,
+ranks are exact. Buckets grow in number with the rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 64
+#: Buckets of a group: at least, at most, and values that each may have before there are more.
+LEAST_BUCKETS, BUCKETS, BUCKET_VALUES = 8, 256, 1_000_000
+#: Buckets of groups whose boundaries are not known beforehand.
+GROUP_BUCKETS = 64
 
 
-def ranked(counts: DataFrame, by: list[str], value: str, buckets: int = BUCKETS) -> DataFrame:
-    """counts(*by, value, n, ...), values of a group once each -> the same with ``before``: rows of lesser values. Null values go."""
+def edges_of(df: DataFrame, values: list[Column], most: int = BUCKETS) -> list[list[float]]:
+    """Boundaries of each value's buckets, in one pass: at most ``most`` numbers for each come to the driver."""
+    probabilities = [i / most for i in range(1, most)]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, probabilities, F.lit(10 * most)).alias(f"e{i}") for i, v in enumerate(values)]).first()
+    buckets = min(most, max(min(LEAST_BUCKETS, most), row["n"] // BUCKET_VALUES))
+    return [sorted({e[i * most // buckets - 1] for i in range(1, buckets)}) if e else [] for e in row[1:]]
+
+
+def bucket(value: Column, edges: Column) -> Column:
+    return F.size(F.filter(edges, lambda e: e < value))
+
+
+def bucketed(counts: DataFrame, by: list[str], value: str) -> DataFrame:
+    """counts without null values, with ``__b``: the bucket within the group."""
     d = counts.filter(F.col(value).isNotNull())
-    edges = d.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], F.lit(1000)).alias("__edges"))
-    # A row for each group, of at most `buckets` numbers.
-    d = d.join(edges, by) if by else d.crossJoin(F.broadcast(edges))
-    d = d.withColumn("__b", F.size(F.filter("__edges", lambda e: e < F.col(value)))).drop("__edges")
-    earlier = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = d.groupBy(*by, "__b").agg(F.sum("n").alias("__t"))
-    totals = totals.withColumn("__base", F.coalesce(F.sum("__t").over(earlier), F.lit(0))).drop("__t")
-    within = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.col("__base") + F.coalesce(F.sum("n").over(within), F.lit(0))
-    return d.join(totals, [*by, "__b"]).withColumn("before", before).drop("__b", "__base")
+    edges = d.groupBy(*by).agg(F.percentile_approx(value, [i / GROUP_BUCKETS for i in range(1, GROUP_BUCKETS)], F.lit(1000)).alias("__edges"))
+    # A row for each group (a column, a model, a feature and repeat), of fewer than GROUP_BUCKETS numbers: fit to be broadcast.
+    d = d.join(F.broadcast(edges), by) if by else d.crossJoin(F.broadcast(edges))
+    return d.withColumn("__b", bucket(F.col(value), F.col("__edges"))).drop("__edges")
+
+
+def rank_sums(d: DataFrame, by: list[str], value: str) -> DataFrame:
+    """d(*by, value, n, hits, __b), values once each -> (*by, r, p, n): sum of the hits' mean ranks, hits, and rows.
+
+    One window within buckets; all else is on a row for each bucket.
+    """
+    earlier = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("n").over(earlier), F.lit(0)) + (F.col("n") + 1) / F.lit(2.0)
+    each = d.select(*by, "__b", "n", "hits", (F.col("hits") * rank).alias("__s"))
+    each = each.groupBy(*by, "__b").agg(F.sum("__s").alias("__s"), F.sum("n").alias("__t"), F.sum("hits").alias("__h"))
+    before = F.coalesce(F.sum("__t").over(Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return each.withColumn("__before", before).groupBy(*by).agg(F.sum(F.col("__s") + F.col("__before") * F.col("__h")).alias("r"), F.sum("__h").alias("p"), F.sum("__t").alias("n"))
 
 
 def medians(counts: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(*by, median): the middle value of each group, or the mean of the middle two."""
-    r = ranked(counts, by, value)
-    size = r.groupBy(*by).agg(F.sum("n").alias("__n"))
-    r = r.join(size, by) if by else r.crossJoin(F.broadcast(size))
-    at = lambda k: F.max(F.when((F.col("before") <= k) & (k < F.col("before") + F.col("n")), F.col(value)))
+    """counts(*by, value, n), values once each -> (*by, median): the middle value of each group, or the mean of the middle two."""
+    d = bucketed(counts, by, value)
+    totals = d.groupBy(*by, "__b").agg(F.sum("n").alias("__t"))
+    w = Window.partitionBy(*by)
+    before = F.coalesce(F.sum("__t").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    totals = totals.select(*by, "__b", "__t", before.alias("__base"), F.sum("__t").over(w).alias("__n"))
     low, high = F.floor((F.col("__n") - 1) / 2), F.floor(F.col("__n") / 2)
-    return r.groupBy(*by).agg(((at(low) + at(high)) / F.lit(2.0)).alias("median"))
+    holds = lambda k: (F.col("__base") <= k) & (k < F.col("__base") + F.col("__t"))
+    # The one or two buckets of each group that hold the middle.
+    middle = totals.filter(holds(low) | holds(high)).drop("__t")
+    d = d.join(F.broadcast(middle), [*by, "__b"])
+    within = Window.partitionBy(*by, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    d = d.withColumn("__at", F.col("__base") + F.coalesce(F.sum("n").over(within), F.lit(0)))
+    at = lambda k: F.max(F.when((F.col("__at") <= k) & (k < F.col("__at") + F.col("n")), F.col(value)))
+    return d.groupBy(*by).agg(((at(low) + at(high)) / F.lit(2.0)).alias("median"))

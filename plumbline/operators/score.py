@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.preprocess import Statistics
+from plumbline.operators.profile import SCORED_PREVIEW
 
 
 @dataclass(frozen=True)
@@ -60,6 +61,11 @@ def unseen_rows(df: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
     return df.filter(F.col(column).isNotNull()).join(vocabulary.select(F.col("value").alias(column)), column, "left_anti")
 
 
+def preview(scored: DataFrame, order: str) -> DataFrame:
+    """The first SCORED_PREVIEW rows."""
+    return scored.orderBy(order).limit(SCORED_PREVIEW)
+
+
 def distribution(df: DataFrame) -> DataFrame:
     """(prediction, n, percent) per predicted class."""
     total = df.agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("__n"))

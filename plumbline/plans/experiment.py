@@ -151,12 +151,12 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
         baseline = metrics.best_of({b: scores[b] for b in models.BASELINES}, metric)
         one_class = not (confusion[winner]["tp"] + confusion[winner]["fn"]) or not (confusion[winner]["tn"] + confusion[winner]["fp"])
         scoring = "accuracy" if one_class else "auc"
-        moved = explain.permuted(test, row_id, spec.numeric, spec.categorical, sizes.get("test", 0), repeats, seed)
+        moved = explain.permuted(test, row_id, spec.numeric, spec.categorical, repeats, seed)
         judged = models.scored(fitted[winner], prep.transform(moved).select("feature", "repeat", "y", "features"))
         found = {r["feature"]: r for r in explain.importances(judged, scores[winner][scoring], scoring).collect()}  # a row per feature
         ways = {r["column"]: r["direction"] for r in explain.directions(test, spec.numeric).collect()} if spec.numeric else {}
         features = [
-            {"name": c, "kind": "numeric" if c in spec.numeric else "categorical", "importance": found[c]["importance"], "std": found[c]["std"], "direction": ways.get(c) if round(found[c]["importance"], 3) > 0 else None}
+            {"name": c, "kind": "numeric" if c in spec.numeric else "categorical", "importance": found[c]["importance"], "std": found[c]["std"], "direction": ways.get(c) if explain.is_used(found[c]["importance"]) else None}
             for c in sorted(names, key=lambda c: (-found[c]["importance"], -names.index(c)))
         ]
         result = Result(spec, sizes.get("train", 0), sizes.get("test", 0), scores, winner, baseline, metrics.verdict(scores[winner], scores[baseline], metric), confusion[winner], features, scoring, leaks, statistics)

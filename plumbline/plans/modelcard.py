@@ -12,11 +12,23 @@ from plumbline.plans.narrate import WORDS, direction_word
 from plumbline.sources.scored_csv import slug
 
 
-def model_card(result: Result, dataset: str, columns: int, day: date, sanitation: Report | None = None, narrative: str | None = None) -> str:
-    """Data, sanitation, split, method, test metrics, verdict, leaks, importances, narrative and limits."""
-    spec, words = result.spec, WORDS["en"]
+#: Names of months, by language.
+MONTHS = {
+    "en": "January February March April May June July August September October November December".split(),
+    "es": "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+}
+
+
+def long_date(day: date, locale: str = "en") -> str:
+    month = MONTHS[locale][day.month - 1]
+    return f"{month} {day.day}, {day.year}" if locale == "en" else f"{day.day} de {month} de {day.year}"
+
+
+def model_card(result: Result, dataset: str, columns: int, day: date, sanitation: Report | None = None, narrative: str | None = None, locale: str = "en") -> str:
+    """Data, sanitation, split, method, test metrics, verdict, leaks, importances, narrative and limits; the date and directions in the language of ``locale``."""
+    spec, words = result.spec, WORDS[locale]
     model, majority, logistic = (result.scores[m] for m in (result.winner, "majority", "logistic"))
-    lines = [f"# Model card: {dataset}", "", f"Made on {day.isoformat()}.", "", "## Data", ""]
+    lines = [f"# Model card: {dataset}", "", f"Made on {long_date(day, locale)}.", "", "## Data", ""]
     lines += [f"- {spec.rows} rows, {columns} columns ({len(spec.numeric)} numeric and {len(spec.categorical)} categorical features)"]
     lines += [f"- Target: {spec.target}; positive class: {spec.positive}; positive rate {spec.positive_rate:.2f}"]
     if spec.dropped_null_targets:

@@ -52,18 +52,24 @@ def read(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFr
     """The table as written: string cells, empty for missing, and __row_id in order of input.
 
     A header line is needed. Lines that are empty, and in a table of one column
-    those of white space, are no rows. Raises CsvError.
+    those of white space, are no rows. Raises CsvError. Files are split among
+    tasks unless one of their lines has a quote that ends on another line, or
+    is of white space alone, which Spark's line by line reader would pass over.
     """
     limits = limits or Limits()
     if limits.max_bytes is not None and (size := byte_length(spark, path)) > limits.max_bytes:
         raise CsvError("too-large", bytes=size, max_bytes=limits.max_bytes)
-    first = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
+    lines = spark.read.text(path)
+    first = lines.filter(F.trim("value") != "").limit(1).collect()
     if not first:
         raise CsvError("empty")
     line = first[0]["value"].removeprefix("﻿")
     if found := wrong_delimiter(line):
         raise CsvError("wrong-delimiter", delimiter=found)
-    options = {"quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
+    blank = (F.length("value") > 0) & (trimmed("value") == "")
+    whole = not lines.filter(odd | blank).isEmpty()
+    options = {"quote": '"', "escape": '"', "multiLine": whole, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     reader = spark.read.options(**options)
     head = reader.csv(path).limit(1).collect()
     names = ["" if x is None else x.removeprefix("﻿") for x in head[0]]
@@ -82,7 +88,9 @@ def read(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFr
     bad = raw.filter(F.col(_BAD).isNotNull())
     if broken := bad.orderBy("__at").limit(1).collect():
         row = raw.filter(F.col("__at") < broken[0]["__at"]).count() + 2
-        fields = spark.createDataFrame([(broken[0][_BAD],)], "v string").select(F.from_csv("v", ", ".join(f"f{i} string" for i in range(4 * len(names) + 16)), {"quote": '"', "escape": '"'}).alias("s")).select("s.*").first()
+        # As many fields as the record has commas, and one more, at most.
+        most = broken[0][_BAD].count(",") + 1
+        fields = spark.createDataFrame([(broken[0][_BAD],)], "v string").select(F.from_csv("v", ", ".join(f"f{i} string" for i in range(most)), {"quote": '"', "escape": '"'}).alias("s")).select("s.*").first()
         there = [i for i, x in enumerate(fields) if x is not None]
         raise CsvError("ragged", row=row, expected=len(names), found=max(there, default=0) + 1)
     return numbered(raw.drop(_BAD), "__at").select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(names)], ROW_ID)

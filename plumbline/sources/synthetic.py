@@ -33,17 +33,20 @@ def _chance(logit: Column, u: str) -> Column:
 
 
 def marketing(spark: SparkSession, n: int = 200, seed: int = 101) -> DataFrame:
+    """Who buys: on a phone those who visit often, on a desktop those who open mails. No sum of the columns tells them, a tree does."""
     d = _draws(spark, n, seed, 7)
-    d = d.select("__row_id", _whole("u0", 18, 68).alias("age"), _whole("u1", 1500, 7500).alias("income"), _whole("u2", 0, 40).alias("visits"), _whole("u3", 0, 20).alias("opened"), _pick("u4", ["north", "south", "east", "west"]).alias("region"), _pick("u5", ["mobile", "desktop"]).alias("device"), "u6")
-    logit = 0.08 * (F.col("visits") - 20) + 0.12 * (F.col("opened") - 10) + F.when(F.col("device") == "mobile", 0.3).otherwise(0.0)
-    return d.withColumn("converted", _chance(logit, "u6")).drop("u6")
+    span = lambda u, low, width: F.round(low + F.col(u) * width).cast("int")
+    d = d.select("__row_id", span("u0", 18, 50).alias("age"), span("u1", 1500, 6000).alias("income"), span("u2", 0, 40).alias("visits"), span("u3", 0, 20).alias("opened"), _pick("u4", ["north", "south", "east", "west"]).alias("region"), _pick("u5", ["mobile", "desktop"]).alias("device"), "u6")
+    keen = F.when(F.col("device") == "mobile", F.col("visits") >= 22).otherwise(F.col("opened") >= 11)
+    return d.withColumn("converted", (F.col("u6") < F.when(keen, 0.85).otherwise(0.15)).cast("int")).drop("u6")
 
 
 def attrition(spark: SparkSession, n: int = 200, seed: int = 202) -> DataFrame:
-    d = _draws(spark, n, seed, 7)
-    d = d.select("__row_id", _whole("u0", 22, 62).alias("age"), F.round(F.col("u1") * 15, 1).alias("years"), _whole("u2", 120, 220).alias("hours"), F.round("u3", 2).alias("satisfaction"), _pick("u4", ["sales", "support", "engineering", "people"]).alias("department"), _pick("u5", ["no", "yes"]).alias("overtime"), "u6")
-    logit = 3 * (0.35 - F.col("satisfaction")) + 0.02 * (F.col("hours") - 170) + F.when(F.col("overtime") == "yes", 0.4).otherwise(-0.4)
-    return d.withColumn("left", _chance(logit, "u6")).drop("u6")
+    """Who leaves: the less satisfied, and those who work more. The signal is a weak one, with noise in it."""
+    d = _draws(spark, n, seed, 8)
+    d = d.select("__row_id", F.round(22 + F.col("u0") * 40).cast("int").alias("age"), F.round(F.col("u1") * 15, 1).alias("years"), F.round(120 + F.col("u2") * 100).cast("int").alias("hours"), F.round("u3", 2).alias("satisfaction"), _pick("u4", ["sales", "engineering", "support", "people"]).alias("department"), _pick("u5", ["yes", "no"]).alias("overtime"), "u6", "u7")
+    logit = F.when(F.col("overtime") == "yes", 0.8).otherwise(0.0) + 0.014 * F.col("hours") - 2.5 * F.col("satisfaction") - 2.5 + (F.col("u6") - 0.5)
+    return d.withColumn("left", _chance(logit, "u7")).drop("u6", "u7")
 
 
 def loans(spark: SparkSession, n: int = 200, seed: int = 303) -> DataFrame:

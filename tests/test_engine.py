@@ -1,5 +1,6 @@
 """The library's rules on small tables."""
 
+import dataclasses
 import json
 from datetime import UTC, date, datetime
 
@@ -10,7 +11,7 @@ from plumbline.functions import cells
 from plumbline.functions.random import uniform
 from plumbline.operators import eda, explain, leakage, metrics, models, preprocess, profile, sanitize, score, split
 from plumbline.plans import artifact, experiment, modelcard, narrate
-from plumbline.sources import csv_scan, scored_csv, synthetic
+from plumbline.sources import csv_scan, examples, scored_csv, synthetic
 from plumbline.streaming import scoring
 
 FAST = models.Settings(trees=10, depth=5, rounds=3, boosted_depth=3, iterations=50)
@@ -21,13 +22,25 @@ def table(spark, names, rows):
 
 
 def test_cells(spark):
-    raw = [None, "", " N/A ", "none", "-", "\t4 ", "1d", "0x1F", "1e999", "inf", "+.5", "1_0", " x ", "2024-01-02 10:30", "3/4/21", "24-1-1"]
+    raw = [None, "", " N/A ", "none", "-", "\t4 ", "1d", "0x1F", "1e999", "inf", "+.5", "1_0", " x ", "2024-01-02 10:30", "3/4/21", "24-1-1", "2024-1-5", "2024-01-05 7:30", "2024-01-05T07:30:01"]
     d = spark.createDataFrame([(x,) for x in raw], "c string").select("c", cells.text("c").alias("t"), cells.number("c").alias("n"), cells.looks_like_date("c").alias("d"))
     got = {r["c"]: (r["t"], r["n"], r["d"]) for r in d.collect()}
     assert all(got[x][0] is None for x in raw[:5])
     assert got["\t4 "] == ("4", 4.0, False) and got["+.5"][1] == 0.5 and got[" x "][0] == "x"
     assert all(got[x][1] is None for x in ("1d", "0x1F", "1e999", "inf", "1_0"))
     assert got["2024-01-02 10:30"][2] and got["3/4/21"][2] and not got["24-1-1"][2]
+    assert got["2024-01-05T07:30:01"][2] and not got["2024-1-5"][2] and not got["2024-01-05 7:30"][2]
+
+
+def test_cells_of_types_keep_their_text(spark):
+    big = 2**53
+    d = spark.createDataFrame([(big, 0.0, 1), (big + 1, -0.0, 0), (big, float("nan"), 0)], "k long, x double, y int")
+    got = {r["name"]: (r["kind"], r["nulls"], r["cardinality"]) for r in profile.profile(d, ["k", "x", "y"]).collect()}
+    assert got == {"k": ("numeric", 0, 2), "x": ("numeric", 1, 1), "y": ("numeric", 0, 2)}
+    assert profile.two_classes(d, "y") == [("0", 2), ("1", 1)] and profile.two_classes(d, "k")[1] == (str(big + 1), 1)
+    tie = spark.createDataFrame([("a",), ("ab",), ("b",), ("a",), ("ab",)], "c string")
+    assert profile.two_classes(tie.filter("c <> 'b'"), "c")[1][0] == "a"
+    assert profile.two_classes(spark.createDataFrame([("x",), ("y",)], "c string"), "c")[1][0] == "y"
 
 
 def test_profile_and_classes(spark):
@@ -181,8 +194,17 @@ def test_narration_and_card(fitted):
     p = narrate.payload(r, 4, [{"kind": "id-like", "column": "ref"}, {"kind": "class-imbalance", "minority_rate": 0.1}])
     assert narrate.check_request(p) and "si" not in json.dumps(p["explainability"]) and not narrate.check_request(p | {"rows": []})
     text = narrate.standard_text(p)
-    assert "ref looks like an identifier" in text and "10%" in text and "x could contain" in text
-    assert narrate.standard_text(p | {"locale": "es"}).startswith("El modelo")
+    assert "its own value of ref" in text and "10%" in text and "knows x may" in text
+    assert narrate.standard_text(p | {"locale": "es"}).startswith("Con filas")
+    # A text for every payload: of any size, and of none.
+    large = p | {"dataset": {"rows": 10**12, "cols": 5}}
+    assert narrate.check_request(large) and not narrate.check_request(large, narrate.COMPATIBLE_ROWS)
+    assert narrate.narrate(large, narrate.mock_provider, max_rows=narrate.COMPATIBLE_ROWS) == {"ok": False, "reason": "invalid", "text": narrate.standard_text(large)}
+    assert all(narrate.narrate(x, narrate.mock_provider)["text"] for x in ({}, None, p | {"verdict": {}}, {"locale": "es"}))
+    for part, value in (("metrics", p["metrics"] | {"rows": [1]}), ("verdict", p["verdict"] | {"level": "wins"}), ("dataset", {"rows": True, "cols": 1}), ("leakage", ["x"] * 9), ("leakage", [""]), ("eda", [{"kind": "id-like", "column": "a", "cell": "b"}]), ("target", "t" * 121)):
+        assert not narrate.check_request(p | {part: value})
+    many = narrate.payload(dataclasses.replace(r, leakage=[(f"c{i}", 1.0, "") for i in range(30)]), 4, [{"kind": "id-like", "column": f"c{i}"} for i in range(30)])
+    assert narrate.check_request(many) and len(many["leakage"]) == 8 and len(many["eda"]) == 20
     good = narrate.mock_provider(p)
     assert narrate.verify(p, good) is None and narrate.narrate(p, narrate.mock_provider)["ok"]
     first = good["claims"][0]
@@ -195,12 +217,15 @@ def test_narration_and_card(fitted):
         ({"claims": []}, "unclaimed-feature-mention"),
     ):
         assert narrate.verify(p, good | change) == why
+    assert narrate.narrate(p, lambda p: good | {"narrative": "short"})["reason"] == "provider" and narrate.narrate(p, lambda p: good | {"more": 1})["reason"] == "provider"
+    assert narrate.narrate(p, narrate.mock_provider, lambda p, o: {"accuracy": 9, "completeness": 5, "clarity": 5})["reason"] == "rejected"
     assert narrate.narrate(p, None)["reason"] == "unavailable" and narrate.narrate(p, lambda p: 1 / 0)["reason"] == "provider"
     assert narrate.narrate(p, narrate.mock_provider, lambda p, o: {"accuracy": 3, "completeness": 5, "clarity": 5})["reason"] == "rejected"
     limit = narrate.RateLimit(2, 60)
     assert [limit.allow("k", t) for t in (0, 1, 2, 60.5)] == [True, True, False, True]
     assert narrate.cost({"m": (1.0, 2.0)}, "m", 10**6, 10**6) == 3 and narrate.cost({}, "m", 1, 1) == 0
     card = modelcard.model_card(r, "data.csv", 4, date(2026, 1, 2), sanitize.Report(5, 4, 3, 2, [("id", "id-column")], [("age", 1)]))
+    assert "Made on January 2, 2026." in card and modelcard.long_date(date(2026, 1, 2), "es") == "2 de enero de 2026"
     assert "1 repeated rows removed" in card and "| x | numeric |" in card and "suspicious" in card
 
 
@@ -237,6 +262,22 @@ def test_csv_refuses(spark, tmp_path, text, code, facts):
     assert e.value.code == code and e.value.facts == facts
 
 
+def test_csv_line_by_line_and_whole_agree(spark, tmp_path):
+    rows = "".join(f'{i},"a ""{i}"", b",\n' for i in range(300))
+    plain = csv_scan.read(spark, write(tmp_path, "n,t,e\n" + rows, "plain.csv"))
+    broken = csv_scan.read(spark, write(tmp_path, "n,t,e\n" + rows + '300,"x\ny",\n', "broken.csv"))
+    assert plain.exceptAll(broken).count() == 0 and broken.count() == 301
+    with pytest.raises(csv_scan.CsvError) as e:
+        csv_scan.read(spark, write(tmp_path, "a,b\n1,2\n" + ",".join(map(str, range(500))) + "\n", "wide.csv"))
+    assert e.value.facts == {"row": 3, "expected": 2, "found": 500}
+    with pytest.raises(csv_scan.CsvError, match="ragged"):
+        csv_scan.read(spark, write(tmp_path, "a,b\n1,2\n  \n3,4\n", "space.csv"))
+    known = {"plain": examples.Example("plain.csv", "n")}
+    assert examples.read(spark, str(tmp_path), known, "plain")[1] == "n" and examples.keys(known) == ["plain"]
+    with pytest.raises(KeyError):
+        examples.read(spark, str(tmp_path), known, "other")
+
+
 def test_scored_csv(spark, tmp_path):
     assert scored_csv.column_names(["prediction", "prediction_2", "p"], "prediction", "p") == ("prediction_3", "p_2")
     assert scored_csv.slug("Mis Datos (1).CSV") == "mis-datos-1" and scored_csv.file_name("¡!", "scored") == "datos-scored.csv"
@@ -248,7 +289,7 @@ def test_scored_csv(spark, tmp_path):
 
 def test_permutation_moves_values_within_their_column(spark):
     d = spark.createDataFrame([(i, float(i), "abc"[i % 3]) for i in range(20)], "id long, x double, c string")
-    got = explain.permuted(d, "id", ["x"], ["c"], 20, repeats=2).collect()
+    got = explain.permuted(d, "id", ["x"], ["c"], repeats=2).collect()
     assert len(got) == 80
     for feature in ("x", "c"):
         for repeat in range(2):
@@ -263,6 +304,32 @@ def test_random_columns_follow_the_sequence(spark):
     assert got == [split.counter_random(42, k) for k in range(200)]
 
 
+def test_published_tables(spark):
+    """Profiles, leak scores and splits that are published for two of the tables."""
+    m, a = synthetic.marketing(spark), synthetic.attrition(spark)
+    distinct = {"age": 51, "income": 192, "visits": 40, "opened": 21, "region": 4, "device": 2, "converted": 2}
+    assert {r["name"]: r["cardinality"] for r in profile.profile(m.drop("__row_id")).collect()} == distinct
+    assert profile.two_classes(m, "converted") == [("1", 115), ("0", 85)] and profile.two_classes(a, "left") == [("0", 136), ("1", 64)]
+    want = {"age": 0.5252, "income": 0.5079, "visits": 0.6740, "opened": 0.6283, "region": 0.5750, "device": 0.5750}
+    assert {r["column"]: round(r["score"], 4) for r in leakage.scores(m, F.col("converted") == 0, [*want]).collect()} == want
+    want = {"age": 0.5332, "years": 0.5643, "hours": 0.5841, "satisfaction": 0.6893, "department": 0.6800, "overtime": 0.6800}
+    assert {r["column"]: round(r["score"], 4) for r in leakage.scores(a, F.col("left") == 1, [*want]).collect()} == want
+    for d, target, sizes, first in ((m, "converted", (150, 50), [3, 7, 11, 14, 19, 26, 30, 34]), (a, "left", (150, 50), [2, 12, 19, 20, 22, 27, 30, 39])):
+        train, test = split.compatible([str(r[target]) for r in d.orderBy("__row_id").collect()])
+        assert (len(train), len(test)) == sizes and test[:8] == first
+    assert eda.class_rates(m, "converted") == (0.425, 0.425, False) and metrics.primary_metric(0.425) == "f1" and metrics.primary_metric(0.32) == "auc"
+
+
+def test_vocabularies_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(preprocess, "MAX_CATEGORIES", 5)
+    d = spark.createDataFrame([(f"v{i}", "ab"[i % 2]) for i in range(6)], "many string, few string")
+    with pytest.raises(preprocess.VocabularyError) as e:
+        preprocess.learn(d, [], ["many", "few"])
+    assert e.value.columns == ["many"]
+    assert preprocess.learn(d, [], ["few"]).categories == {"few": ["a", "b"]}
+    assert len(score.preview(d, "many").collect()) == 6
+
+
 def test_synthetic_tables(spark):
     loans = synthetic.loans(spark)
     assert [c for c, _, _ in leakage.findings(loans, F.col("defaulted") == 1, ["income", "amount", "rating", "work", "recovered"])] == ["recovered"]
