@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
-from plumbline.operators.profile import distinct_cells, profile
+from plumbline.operators.profile import distinct_cells, facts
 from plumbline.operators.ranks import bucket, bucketed, edges_of, rank_sums
 
 THRESHOLD = 0.98
@@ -56,10 +56,9 @@ def scores(df: DataFrame, positive: Column, names: list[str]) -> DataFrame:
     others, parts = [c for c in names if c not in numeric and not cells.is_date_type(df.schema[c].dataType)], []
     if others:
         # One pass over text: what it holds, and its purity, for a row per column.
-        d = distinct_cells(df, others, positive)
-        facts = profile(df, others, d).join(purity(d, by).select(F.col("column").alias("name"), "purity"), "name", "left").collect()
-        numeric += [r["name"] for r in facts if r["kind"] == "numeric"]
-        found = [(r["pos"], r["name"], "categorical", r["purity"]) for r in facts if r["kind"] == "categorical" and not r["looks_like_date"] and r["purity"] is not None]
+        told = facts(distinct_cells(df, others, positive)).collect()
+        numeric += [r["name"] for r in told if r["kind"] == "numeric"]
+        found = [(r["pos"], r["name"], "categorical", r["purity"]) for r in told if r["kind"] == "categorical" and not r["looks_like_date"] and r["purity"] is not None]
         if found:
             parts.append(df.sparkSession.createDataFrame(found, schema))
     if numeric:
@@ -74,7 +73,20 @@ def flagged(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return scored.withColumn("reason", F.when(F.col("score") >= threshold, reason))
 
 
+def measured(df: DataFrame, positive: Column, names: list[str], keep: bool = False) -> list[tuple[int, str, str, float]]:
+    """``scores`` as rows, one for each column at most. With ``keep`` the columns are stored while they are read more than once: for tables that are dear to make."""
+    if not keep:
+        return [tuple(r) for r in scores(df, positive, names).collect()]
+    at = {c: df.columns.index(c) for c in names}
+    stored = df.select(*[F.col(f"`{c}`") for c in names], positive.alias("__hit")).persist()
+    try:
+        return [(at[r["column"]], r["column"], r["kind"], r["score"]) for r in scores(stored, F.col("__hit"), names).collect()]
+    finally:
+        stored.unpersist()
+
+
 def findings(df: DataFrame, positive: Column, names: list[str], threshold: float = THRESHOLD) -> list[tuple[str, float, str]]:
     """(column, score, reason) from the threshold on, best first, then in column order."""
-    rows = flagged(scores(df, positive, names), threshold).filter("reason IS NOT NULL").orderBy(F.col("score").desc(), "pos")
-    return [(r["column"], r["score"], r["reason"]) for r in rows.collect()]  # a row per column at most
+    rows = df.sparkSession.createDataFrame(measured(df, positive, names, keep=True), "pos int, column string, kind string, score double")
+    found = flagged(rows, threshold).filter("reason IS NOT NULL").orderBy(F.col("score").desc(), "pos")
+    return [(r["column"], r["score"], r["reason"]) for r in found.collect()]

@@ -52,7 +52,12 @@ def profile(df: DataFrame, names: list[str] | None = None, distinct: DataFrame |
     Exact. A column is numeric where every cell that is not null is a number;
     date-like where it is not numeric and DATE_SHARE of those cells are dates.
     """
-    d = distinct_cells(df, names) if distinct is None else distinct
+    return facts(distinct_cells(df, names) if distinct is None else distinct).drop("purity")
+
+
+def facts(distinct: DataFrame) -> DataFrame:
+    """``profile`` of counted cells, and the purity: rows that their value's majority class has, as a share of those that are not null."""
+    d = distinct
     there = F.col("value").isNotNull()
     count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     got = d.groupBy("pos", "column").agg(
@@ -62,6 +67,7 @@ def profile(df: DataFrame, names: list[str] | None = None, distinct: DataFrame |
         count(there).alias("present"),
         count(F.col("num").isNotNull()).alias("numbers"),
         count(there & F.col("date")).alias("dates"),
+        F.sum(F.when(there, F.greatest("hits", F.col("n") - F.col("hits")))).alias("major"),
     )
     numeric = (F.col("present") > 0) & (F.col("numbers") == F.col("present"))
     return got.select(
@@ -71,6 +77,7 @@ def profile(df: DataFrame, names: list[str] | None = None, distinct: DataFrame |
         "nulls",
         "cardinality",
         (~numeric & (F.col("present") > 0) & (F.col("dates") >= DATE_SHARE * F.col("present"))).alias("looks_like_date"),
+        F.try_divide(F.col("major"), F.col("present").cast("double")).alias("purity"),
     )
 
 

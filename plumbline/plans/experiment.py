@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -141,7 +142,10 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
         ready = prep.transform(train).select("y", "features").persist()
         ready_test = prep.transform(test).persist()
         cached += [ready, ready_test]
-        fitted = {name: models.estimator(name, sizes["train"], seed, settings).fit(ready) for name in ["logistic", *models.CANDIDATES]}
+        names_fitted = ["logistic", *models.CANDIDATES]
+        # Each fit is many small jobs one after another, so the fits run beside each other.
+        with ThreadPoolExecutor(len(names_fitted)) as pool:
+            fitted = dict(zip(names_fitted, pool.map(lambda name: models.estimator(name, sizes["train"], seed, settings).fit(ready), names_fitted), strict=True))
         majority = 1 if spec.positive_rate > 0.5 else 0
         compared = metrics.evaluate(models.predictions(fitted, ready_test, majority), ["model"]).collect()  # a row per model
         scores = {r["model"]: {m: r[m] for m in metrics.NAMES} for r in compared}

@@ -313,7 +313,8 @@ def _parts(d: DataFrame) -> DataFrame:
 
 @query("dec03_leakage_scan_train_only", "WITH tr AS (SELECT * FROM " + o_split(_O_KEYED, "l_linestatus", "k") + " WHERE part = 'train') " + o_scan("tr"))
 def leakage_scan_train_only(spark, sf_dir):
-    found = leakage.flagged(_line_scores(_parts(table(spark, sf_dir, "lineitem")).filter("part = 'train'")))
+    rows = leakage.measured(_parts(table(spark, sf_dir, "lineitem")).filter("part = 'train'"), F.col("l_linestatus") == "O", [*_NUMERIC, "l_returnflag", "l_shipdate"], keep=True)
+    found = leakage.flagged(spark.createDataFrame(rows, "pos int, column string, kind string, score double"))
     return found.select("column", "kind", "score", F.col("reason").isNotNull().alias("flagged"))
 
 
@@ -549,19 +550,19 @@ def prediction_distribution(spark, sf_dir):
 
 # Random numbers and tables made by rule.
 
-_O_STATE = "(SELECT i, (42 + (i + 1) * 1831565813) & 4294967295 AS s FROM range(5000) t(i))"
-
-
 def _o_times(a: str, b: str) -> str:
     return f"((({a}) & 65535) * ({b}) + (((({a}) >> 16) * ({b}) & 65535) << 16)) & 4294967295"
 
 
-@query(
-    "win03_counter_random",
-    f"""SELECT i AS id, xor(m, m >> 14) / 4294967296.0::DOUBLE AS u FROM (
+def o_uniform(seed: int, n: int) -> str:
+    """A table expression (id, u) of the first n numbers of a seed's sequence."""
+    state = f"(SELECT i, ({seed} + (i + 1) * 1831565813) & 4294967295 AS s FROM range({n}) t(i))"
+    return f"""(SELECT i AS id, xor(m, m >> 14) / 4294967296.0::DOUBLE AS u FROM (
         SELECT i, xor(m, (m + ({_o_times("xor(m, m >> 7)", "m | 61")})) & 4294967295) AS m FROM (
-            SELECT i, {_o_times("xor(s, s >> 15)", "s | 1")} AS m FROM {_O_STATE}))""",
-)
+            SELECT i, {_o_times("xor(s, s >> 15)", "s | 1")} AS m FROM {state})))"""
+
+
+@query("win03_counter_random", f"SELECT * FROM {o_uniform(42, 5000)}")
 def counter_random(spark, sf_dir):
     return uniform(spark.range(5000), F.col("id"), split.SEED, "u")
 
@@ -571,6 +572,20 @@ def synthetic_loans(spark, sf_dir):
     return synthetic.loans(spark, 2000)
 
 
+def _o_draws(columns: int, seed: int, n: int) -> str:
+    return f"(SELECT id // {columns} AS i, {', '.join(f'max(CASE WHEN id % {columns} = {j} THEN u END) AS u{j}' for j in range(columns))} FROM {o_uniform(seed, n * columns)} GROUP BY 1)"
+
+
+@query(
+    "src12_synthetic_marketing",
+    f"""SELECT i AS row_id, age, income, visits, opened, region, device, CAST(u6 < CASE WHEN (device = 'mobile' AND visits >= 22) OR (device = 'desktop' AND opened >= 11) THEN 0.85 ELSE 0.15 END AS INT) AS converted FROM (
+        SELECT i, u6, CAST(floor(18 + u0 * 50 + 0.5) AS INT) AS age, CAST(floor(1500 + u1 * 6000 + 0.5) AS INT) AS income, CAST(floor(u2 * 40 + 0.5) AS INT) AS visits, CAST(floor(u3 * 20 + 0.5) AS INT) AS opened,
+            ['north', 'south', 'east', 'west'][CAST(floor(u4 * 4) AS INT) + 1] AS region, ['mobile', 'desktop'][CAST(floor(u5 * 2) AS INT) + 1] AS device FROM {_o_draws(7, 101, 2000)})""",
+)
+def synthetic_marketing(spark, sf_dir):
+    return synthetic.marketing(spark, 2000).withColumnRenamed("__row_id", "row_id")
+
+
 @query("agg21_importance_of_rules", "SELECT feature, avg(loss) AS importance, stddev_pop(loss) AS std FROM (" + union([
     f"SELECT 'f{f}' AS feature, 1.0 - avg(CAST((l_quantity > 25) = (l_quantity > {20 + 5 * f + r}) AS DOUBLE)) AS loss FROM lineitem" for f in range(2) for r in range(3)
 ]) + ") GROUP BY feature")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import plumbline.plans.file_queries  # noqa: F401  adds its own to the same tables
 from plumbline.plans.queries import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -38,4 +38,4 @@ def scored_table(scored: DataFrame, columns: list[str], prediction: str = "predi
 
 def write(table: DataFrame, path: str, single: bool = False) -> None:
     """CSV with doubled quotes; one part where ``single``, else as many as the table has."""
-    (table.coalesce(1) if single else table).write.options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    (table.coalesce(1) if single else table).write.options(header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
