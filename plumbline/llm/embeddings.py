@@ -22,6 +22,7 @@ import math
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -47,7 +48,7 @@ SLACK = 1e-9
 
 
 def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, raw): the vector as doubles, null where it links with nothing."""
+    """(id, key, raw): the vector as doubles and its digest, null where it links with nothing."""
     for b in batches:
         column = b.column(1)
         values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64) if len(column) else np.zeros(0)
@@ -57,7 +58,8 @@ def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, z in zip((ends - size).tolist(), ends.tolist(), strict=True):
             x = values[a:z]
             raw.append((x + 0.0).tobytes() if z > a and np.isfinite(x).all() and x.any() else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary())], names=["id", "raw"])
+        keys = [None if x is None else blake2b(x, digest_size=16).digest() for x in raw]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(raw, pa.binary())], names=["id", "key", "raw"])
 
 
 def _units(column: pa.Array) -> list[np.ndarray]:
@@ -294,13 +296,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     component that is not finite, links with nothing, and vectors of different
     lengths do not link: such a row is a component of its own. n_links counts
     other rows, repeated ones too; component_id is the smallest id reachable;
-    kept tells rows with that id. Null ids count for no minimum. An empty table
-    gives no rows; other columns are ignored whatever their names.
+    kept tells rows with that id. Null ids count for no minimum. Vectors of any
+    length are taken whole. An empty table gives no rows; other columns are ignored whatever their names.
     """
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     kind = vectors.schema[id_col].dataType.simpleString()
-    rows = stash(rows.mapInArrow(_raw, f"id {kind}, raw binary"), "raw")
-    distinct = rows.filter("raw IS NOT NULL").groupBy("raw").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    rows = stash(rows.mapInArrow(_raw, f"id {kind}, key binary, raw binary"), "raw")
+    distinct = rows.filter("key IS NOT NULL").groupBy("key").agg(F.any_value("raw").alias("raw"), F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     distinct = stash(stash(distinct, "distinct").withColumn("node", F.monotonically_increasing_id()), "nodes")
     k, eps = AXES, math.sqrt(2 - 2 * cosine)
     axes = principal_axes(distinct, k)
@@ -321,11 +323,11 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     found = stash(joined.mapInArrow(_join_batches(cosine, LEAF, HELD), "u bigint, v bigint, n bigint"), "links")
     counts = found.filter("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     roots = connected_components(found.filter("v IS NOT NULL").select("u", "v"))
-    named = distinct.select("raw", "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    named = distinct.select("key", "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left")
     named = stash(named.withColumn("root", F.coalesce("root", "node")), "named")
     least = named.groupBy("root").agg(F.min("least").alias("component"))
-    classes = stash(named.join(least, "root").select("raw", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.col("component"), F.lit(True).alias("found")), "classes")
-    out = rows.join(classes, "raw", "left")
+    classes = stash(named.join(least, "root").select("key", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.col("component"), F.lit(True).alias("found")), "classes")
+    out = rows.select("id", "key").join(classes, "key", "left")
     component = F.when(F.col("found"), F.col("component")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col),
