@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,28 @@ def _local_root() -> str:
     return "file://" + tempfile.mkdtemp(prefix="plumbline-")
 
 
+#: Paths that this driver has given out.
+_made: list[str] = []
+
+
 def work_path(spark: SparkSession, label: str) -> str:
     """A new, unused path under the shared folder."""
-    return f"{work_root(spark)}/plumbline/{uuid.uuid4().hex}-{label}"
+    _made.append(f"{work_root(spark)}/plumbline/{uuid.uuid4().hex}-{label}")
+    return _made[-1]
+
+
+def clean(label: str | None = None) -> int:
+    """Removes this driver's work files, or those of one label; returns how many folders went.
+
+    Results read them for as long as they are read: write those first.
+    """
+    gone = [p for p in _made if label is None or p.endswith(f"-{label}")]
+    for path in gone:
+        files, at = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+        if files.get_file_info(at).type == fs.FileType.Directory:
+            files.delete_dir(at)
+        _made.remove(path)
+    return len(gone)
 
 
 def stash(df: DataFrame, label: str) -> DataFrame:

@@ -180,7 +180,8 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = Non
     whole = spark.range(1).select(F.explode(rows).alias("k")).select("k.license_id", F.array_join(canonical_lines(F.col("k.text")), " ").alias("t"))
     each = whole.select(F.sha2("t", 256).alias("digest"), "license_id", F.length("t").alias("length"))
     if known is None:
-        each = each.union(spark.createDataFrame([(d, i, n) for i, n, d in DIGESTS], "digest string, license_id string, length int"))
+        more = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id"), F.lit(n).alias("length")) for i, n, d in DIGESTS])
+        each = each.union(spark.range(1).select(F.explode(more).alias("k")).select("k.*"))
     return each.groupBy("digest").agg(F.min("license_id").alias("license_id"), F.min("length").alias("length"))
 
 

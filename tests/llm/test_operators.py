@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import bm25, components, embeddings, language, licenses, mixing, packing, pii, queries, secrets, simhash, warc
+from plumbline.llm import bm25, common, components, embeddings, language, licenses, mixing, packing, pii, queries, secrets, simhash, warc
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -43,6 +43,14 @@ def test_components_of_chain_star_and_loops(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_work_files_are_removed_by_label(spark):
+    kept, gone = common.stash(spark.range(3), "kept"), common.stash(spark.range(3), "gone")
+    assert gone.count() == 3 and common.clean("gone") == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(gone.inputFiles()[0])
+    assert kept.count() == 3 and common.clean("kept") == 1
+
+
 # SimHash
 
 
