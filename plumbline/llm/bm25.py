@@ -45,8 +45,8 @@ from .common import stash, text_or_empty, work_path
 
 K1, B = 1.2, 0.75
 TOP = 10
-#: Documents in a block, as a power of 2; documents (16 bits number them), characters and postings of a shard at most.
-BLOCK_BITS, SHARD_DOCS, SHARD_CHARS = 6, 16_384, 32 << 20
+#: Documents in a block, as a power of 2; different texts (16 bits number them), their characters, and rows of a shard at most.
+BLOCK_BITS, SHARD_DOCS, SHARD_CHARS, SHARD_ROWS = 6, 16_384, 32 << 20, 1_000_000
 #: Queries in a batch, about; groups of shards at least, and shards of a group beyond which there are more groups.
 QUERIES, GROUPS, GROUP_SHARDS = 512, 8, 1024
 #: Parts that the ids of queries with equal terms are dealt to.
@@ -79,11 +79,12 @@ class _Gathered:
         self.first: list[str] = []
         self.lengths, self.sizes = array("q"), array("q")
         self.terms, self.counts = array("i"), array("I")
-        self.chars = 0
+        self.chars = self.rows = 0
 
     def add(self, i: int, text: str) -> None:
         digest = blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
         at = self.known.setdefault(digest, len(self.ids))
+        self.rows += 1
         if at < len(self.ids):
             self.ids[at].append(i)
             return
@@ -135,7 +136,7 @@ def _written(folder: str, shard_docs: int, shard_chars: int):  # noqa: ANN202
         for b in batches:
             for i, text in zip(b.column(0), b.column(1), strict=True):
                 text = text.as_py()
-                if held.ids and (len(held.ids) >= shard_docs or held.chars + len(text) > shard_chars):
+                if held.ids and (len(held.ids) >= shard_docs or held.chars + len(text) > shard_chars or held.rows >= SHARD_ROWS):
                     yield put(held)
                     held = _Gathered()
                 held.add(i.as_py(), text)
