@@ -214,9 +214,11 @@ def train(docs: DataFrame, use: Column | None = None, id_col: str = "doc_id", te
 def annotate(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with the columns lang_pred, score and fit, which replace any of those names.
 
-    fit is how far the text is within the limit of its language's profile. Only the text decides. Null texts and texts without a letter, or all where
-    there is no model, are ``und`` with score and fit 0. Rows stay as they are: repeated
-    ones are repeated, and an empty table gives none.
+    fit is how far the text is within the limit of its language's profile. Only
+    the text decides, the whole of it, SLICE bytes at a time. Null texts and
+    texts without a letter, or all where there is no model, are ``und`` with
+    score and fit 0. Rows stay as they are: repeated ones are repeated, ids may
+    be null, and an empty table gives none.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "score", "fit")]
     at_text = names.index(text_col)

@@ -73,8 +73,10 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
             F.concat_ws("=", words[0], F.concat(words[1], words[2])),
             F.concat(number, F.reverse(number)),
             F.repeat(F.substring(F.lit(ALPHABET), F.pmod("id", F.lit(len(ALPHABET))).cast("int") + 1, F.lit(1)), F.lit(24)),
+            # Sequences of bases.
+            F.translate(F.sha2(F.concat(F.lit("bases"), F.col("id").cast("string")), 256), "0123456789abcdef", "ACGTACGTACGTACGT"),
         ),
-        (F.pmod("id", F.lit(13)) + 1).cast("int"),
+        (F.pmod("id", F.lit(14)) + 1).cast("int"),
     )
     digest = F.sha2(F.col("id").cast("string"), 256)
     random = F.element_at(

@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id is the smallest id among the documents reachable by links, the
     document itself included. Null and wordless texts have fingerprint zero and
-    link as any other. A row repeated in docs is repeated in the result. Ids
+    link as any other; long texts are taken whole, their shingles' hashes held
+    at once. A row repeated in docs is repeated in the result. Ids
     that are null count for no minimum: a component of null ids alone has
     component_id null. An empty table gives no rows; other columns of docs are
     ignored, whatever their names.
