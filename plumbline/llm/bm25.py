@@ -216,7 +216,7 @@ class _Shard:
         self.block_size = np.diff(np.append(self.block_start, len(first)))
         self.most = np.maximum.reduceat(self.block_most, self.block_start) if len(first) else np.zeros(0)
         # Postings by document, in order of the terms' spelling.
-        self.own = np.argsort(self.docs, kind="stable")
+        self.own = np.argsort(self.docs, kind="stable").astype(np.int32)
         self.own_size = np.bincount(self.docs, minlength=self.n)
         self.own_start = np.cumsum(self.own_size) - self.own_size
         self.weight = np.zeros(len(self.df))
@@ -303,6 +303,7 @@ def _searched(queries: str, mean: float, k: int, bits: int):  # noqa: ANN202
                 best = [(np.zeros(0, np.int64), np.zeros(0))] * len(digests)
                 least = goals.copy()
                 for path in paths:
+                    shard = None  # one at a time
                     shard = _Shard(path, mean, bits)
                     place = pc.fill_null(pc.index_in(terms, value_set=shard.terms), -1).to_numpy().astype(np.int64)
                     for q in range(len(digests)):
