@@ -5,11 +5,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import trees as trees_
+
 BASELINES = ["majority", "logistic"]
 #: In the order in which ties are decided.
 CANDIDATES = ["forest", "hgb"]
@@ -18,19 +20,18 @@ CANDIDATES = ["forest", "hgb"]
 @dataclass(frozen=True)
 class Settings:
     trees: int = 200
-    depth: int = 12
     rounds: int = 100
-    boosted_depth: int = 5
+    leaves: int = trees_.LEAVES
     iterations: int = 1000
 
 
-def estimator(name: str, rows: int, seed: int, settings: Settings):  # noqa: ANN201
-    common = {"featuresCol": "features", "labelCol": "y"}
+def fit(name: str, train: DataFrame, lay: trees_.Layout, key: str, rows: int, seed: int, settings: Settings):  # noqa: ANN201
+    """A fitted model of train(features, y, key), whose vectors are laid out so."""
     if name == "logistic":
-        return LogisticRegression(**common, maxIter=settings.iterations, regParam=1 / max(1, rows), elasticNetParam=0.0, standardization=False)
+        return LogisticRegression(featuresCol="features", labelCol="y", maxIter=settings.iterations, regParam=1 / max(1, rows), elasticNetParam=0.0, standardization=False).fit(train)
     if name == "forest":
-        return RandomForestClassifier(**common, numTrees=settings.trees, maxDepth=settings.depth, featureSubsetStrategy="sqrt", seed=seed)
-    return GBTClassifier(**common, maxIter=settings.rounds, maxDepth=settings.boosted_depth, stepSize=0.1, minInstancesPerNode=20, seed=seed)
+        return trees_.forest(train, lay, key, settings.trees, seed)
+    return trees_.boost(train, lay, key, settings.rounds, settings.leaves)
 
 
 def scored(model, df: DataFrame) -> DataFrame:  # noqa: ANN001

@@ -139,3 +139,14 @@ def build(s: Statistics, numeric: list[str], categorical: list[str], sample: Dat
         inputs += [f"__o_{c}" for c in categorical]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=output))
     return PipelineModel(stages)
+
+
+def groups(s: Statistics, numeric: list[str], categorical: list[str]) -> list[tuple[int, int]]:
+    """(first slot, size) of each categorical column's indicators in the vector that ``build`` makes."""
+    out, at = [], len(numeric)
+    for c in categorical:
+        rare_ones = set(s.rare.get(c, []))
+        labels = len([v for v in s.categories[c] if v not in rare_ones]) or 1
+        out.append((at, labels + (c in s.rare)))
+        at += out[-1][1]
+    return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import cells
-from plumbline.operators import explain, leakage, metrics, models, preprocess, profile, score, split
+from plumbline.operators import explain, leakage, metrics, models, preprocess, profile, score, split, trees
 
 #: Rows of a partition in which a small table is fitted.
 ROWS_PER_PARTITION = 20_000
@@ -115,20 +115,14 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
     """Fits baselines and candidates on training rows and compares them on test rows.
 
     row_id names a unique column that is no feature. With ``compatible`` the
-    split has the published sequence, for tables that fit the driver.
+    split has the published sequence, rows being in order of row_id.
     """
     settings = settings or models.Settings()
     spec = prepare(df, target, seed, drop=(row_id,))
     label = cells.cell(df, target)[0]
     rows = df.filter(label.isNotNull())
     names = spec.numeric + spec.categorical
-    if compatible:
-        ordered = rows.select(F.col(row_id), label.alias("label")).orderBy(row_id).collect()
-        _, test = split.compatible([r["label"] for r in ordered], seed=seed)
-        ids = df.sparkSession.createDataFrame([(ordered[i][0],) for i in test], rows.select(row_id).schema)
-        parts = rows.join(ids.withColumn("__test", F.lit(True)), row_id, "left").withColumn("part", F.when(F.col("__test"), "test").otherwise("train")).drop("__test")
-    else:
-        parts = split.stratified(rows, label, row_id, seed=seed)
+    parts = (split.published if compatible else split.stratified)(rows, label, row_id, seed=seed)
     typed = preprocess.typed(parts, spec.numeric, spec.categorical, [F.col(row_id), "part", (label == spec.positive).cast("double").alias("y")])
     # Fits start several jobs each; few rows in many partitions would be all overhead.
     typed = typed.coalesce(max(1, -(-spec.rows // ROWS_PER_PARTITION))).persist()
@@ -139,13 +133,15 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
         leaks = leakage.findings(parts.filter("part = 'train'"), label == spec.positive, names)
         statistics = preprocess.learn(train, spec.numeric, spec.categorical)
         prep = preprocess.build(statistics, spec.numeric, spec.categorical, train)
-        ready = prep.transform(train).select("y", "features").persist()
+        ready = prep.transform(train).select(row_id, "y", "features").persist()
         ready_test = prep.transform(test).persist()
         cached += [ready, ready_test]
+        groups = preprocess.groups(statistics, spec.numeric, spec.categorical)
+        lay = trees.layout(ready, len(spec.numeric) + sum(n for _, n in groups), groups)
         names_fitted = ["logistic", *models.CANDIDATES]
         # Each fit is many small jobs one after another, so the fits run beside each other.
         with ThreadPoolExecutor(len(names_fitted)) as pool:
-            fitted = dict(zip(names_fitted, pool.map(lambda name: models.estimator(name, sizes["train"], seed, settings).fit(ready), names_fitted), strict=True))
+            fitted = dict(zip(names_fitted, pool.map(lambda name: models.fit(name, ready, lay, row_id, sizes["train"], seed, settings), names_fitted), strict=True))
         majority = 1 if spec.positive_rate > 0.5 else 0
         compared = metrics.evaluate(models.predictions(fitted, ready_test, majority), ["model"]).collect()  # a row per model
         scores = {r["model"]: {m: r[m] for m in metrics.NAMES} for r in compared}

@@ -99,7 +99,7 @@ _CHANGES = [("whole", "loaded"), ("another version", "unsupported-version"), ("n
 def saved_models(spark, sf_dir):
     """Saves an experiment, reads it back whole and damaged, and counts scores that differ."""
     d = labelled(spark, sf_dir).select("doc_id", "lang", "n_chars", "toxic")
-    result, fitted = experiment.run(d, "toxic", "doc_id", settings=models.Settings(trees=5, depth=3, rounds=2, boosted_depth=2, iterations=20), repeats=1)
+    result, fitted = experiment.run(d, "toxic", "doc_id", settings=models.Settings())
     path = scratch.path(spark, "model")
     manifest = artifact.save(fitted, result, path, "labels")
     rows = []

@@ -66,6 +66,10 @@ def o_split(source: str, label: str, row_id: str) -> str:
         FROM (SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('42|' || CAST({row_id} AS VARCHAR)), {row_id}) AS __r, count(*) OVER (PARTITION BY {label}) AS __n FROM {source}))"""
 
 
+def o_times(a: str, b: str) -> str:
+    return f"((({a}) & 65535) * ({b}) + (((({a}) >> 16) * ({b}) & 65535) << 16)) & 4294967295"
+
+
 # A table of text cells as a user might upload it, with nulls, junk, dates and repeated rows.
 _MESSY_ROWS = """
     SELECT c_custkey AS row_id, c_name AS name, 'PE' AS country,
@@ -368,6 +372,31 @@ def stratified_split(spark, sf_dir):
     return split.stratified(table(spark, sf_dir, "labels"), F.col("quality"), "doc_id").select("doc_id", "quality", "part")
 
 
+# The sequential shuffle, one swap after another on a list of each class.
+_O_U = f"""(SELECT i AS id, xor(m, m >> 14) / 4294967296.0::DOUBLE AS u FROM (SELECT i, xor(m, (m + ({o_times("xor(m, m >> 7)", "m | 61")})) & 4294967295) AS m FROM (
+    SELECT i, {o_times("xor(s, s >> 15)", "s | 1")} AS m FROM (SELECT i, (42 + (i + 1) * 1831565813) & 4294967295 AS s FROM (SELECT row_number() OVER () - 1 AS i FROM labels)))))"""
+
+
+def o_published(label: str) -> str:
+    return f"""WITH RECURSIVE cls AS (SELECT {label} AS label, list(doc_id ORDER BY doc_id) AS members, count(*) AS n, min(doc_id) AS f FROM labels GROUP BY 1),
+        ofs AS (SELECT *, coalesce(sum(n - 1) OVER (ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM cls), u AS MATERIALIZED (SELECT * FROM {_O_U}),
+        s AS (SELECT label, n - 1 AS i, members AS a FROM ofs UNION ALL
+            SELECT label, i - 1, list_transform(a, lambda x, k: CASE WHEN k - 1 = i THEN a[j + 1] WHEN k - 1 = j THEN a[i + 1] ELSE x END)
+            FROM (SELECT s.label, s.i, s.a, CAST(floor(u.u * (s.i + 1)) AS BIGINT) AS j FROM s JOIN ofs ON ofs.label = s.label JOIN u ON u.id = ofs.o + ofs.n - 1 - s.i WHERE s.i >= 1)),
+        t AS (SELECT unnest(a[1:CASE WHEN n < 2 THEN 0 ELSE CAST(greatest(1, least(floor(n * 0.25 + 0.5), n - 1)) AS BIGINT) END]) AS doc_id FROM s JOIN ofs USING (label) WHERE i = 0)
+        SELECT doc_id, {label}, CASE WHEN t.doc_id IS NULL THEN 'train' ELSE 'test' END AS part FROM labels LEFT JOIN t USING (doc_id)"""
+
+
+@query("win04_published_split", o_published("quality"))
+def published_split(spark, sf_dir):
+    return split.published(table(spark, sf_dir, "labels"), F.col("quality"), "doc_id").select("doc_id", "quality", "part")
+
+
+@query("win04_published_split_toxic", o_published("toxic"))
+def published_split_toxic(spark, sf_dir):
+    return split.published(table(spark, sf_dir, "labels"), F.col("toxic"), "doc_id").select("doc_id", "toxic", "part")
+
+
 @query("set02_split_counts", f"SELECT l_linestatus, part, count(*) AS n FROM {o_split(_O_KEYED, 'l_linestatus', 'k')} GROUP BY 1, 2")
 def split_counts(spark, sf_dir):
     return _parts(table(spark, sf_dir, "lineitem")).groupBy("l_linestatus", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -550,16 +579,12 @@ def prediction_distribution(spark, sf_dir):
 
 # Random numbers and tables made by rule.
 
-def _o_times(a: str, b: str) -> str:
-    return f"((({a}) & 65535) * ({b}) + (((({a}) >> 16) * ({b}) & 65535) << 16)) & 4294967295"
-
-
 def o_uniform(seed: int, n: int) -> str:
     """A table expression (id, u) of the first n numbers of a seed's sequence."""
     state = f"(SELECT i, ({seed} + (i + 1) * 1831565813) & 4294967295 AS s FROM range({n}) t(i))"
     return f"""(SELECT i AS id, xor(m, m >> 14) / 4294967296.0::DOUBLE AS u FROM (
-        SELECT i, xor(m, (m + ({_o_times("xor(m, m >> 7)", "m | 61")})) & 4294967295) AS m FROM (
-            SELECT i, {_o_times("xor(s, s >> 15)", "s | 1")} AS m FROM {state})))"""
+        SELECT i, xor(m, (m + ({o_times("xor(m, m >> 7)", "m | 61")})) & 4294967295) AS m FROM (
+            SELECT i, {o_times("xor(s, s >> 15)", "s | 1")} AS m FROM {state})))"""
 
 
 @query("win03_counter_random", f"SELECT * FROM {o_uniform(42, 5000)}")

@@ -4,6 +4,7 @@ import dataclasses
 import json
 from datetime import UTC, date, datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from plumbline.plans import artifact, experiment, modelcard, narrate
 from plumbline.sources import csv_scan, examples, scored_csv, synthetic
 from plumbline.streaming import scoring
 
-FAST = models.Settings(trees=10, depth=5, rounds=3, boosted_depth=3, iterations=50)
+FAST = models.Settings(trees=10, rounds=3, iterations=50)
 
 
 def table(spark, names, rows):
@@ -340,3 +341,22 @@ def test_synthetic_tables(spark):
     assert report.exclusions == [("customer", "id-column"), ("country", "constant-column")] and [c for c, _ in report.coercions] == ["age"]
     s = profile.summarize(table, "__row_id")
     assert s.rows == 190 and s.target_candidates == ["signed"] and len(s.preview) == 20 and s.date_columns == []
+
+
+@pytest.mark.parametrize("n,classes,share", [(1, 1, 0.25), (2, 1, 0.5), (37, 2, 0.25), (400, 3, 0.4), (3000, 2, 0.25)])
+def test_published_split_at_any_size(spark, n, classes, share):
+    draw = np.random.default_rng(n)
+    labels = [f"c{k}" for k in draw.integers(0, classes, n)]
+    ids = sorted(draw.choice(10 * n, n, replace=False).tolist())
+    rows = spark.createDataFrame(list(zip(ids, labels, strict=True)), "id long, label string").repartition(5)
+    got = {r["id"]: r["part"] for r in split.published(rows, F.col("label"), "id", share).collect()}
+    train, test = split.compatible(labels, share)
+    assert len(got) == n and {i for i, p in got.items() if p == "test"} == {ids[k] for k in test} and len(train) + len(test) == n
+    assert split.published(rows.limit(0), F.col("label"), "id").count() == 0
+
+
+def test_experiment_with_the_published_split(spark):
+    rows = [(str(i), str(i * 37 % 11), "uv"[i % 2], "si" if i % 3 else "no") for i in range(60)]
+    d = table(spark, ["x", "noise", "c", "y"], rows)
+    r, _ = experiment.run(d, "y", "__row_id", settings=FAST, repeats=1, compatible=True)
+    assert (r.train_rows, r.test_rows) == (45, 15)
