@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.metrics import evaluate
+from plumbline.operators.metrics import counted, evaluate_counts
 
 REPEATS = 10
 #: Leading digits of the digests that rows are dealt by, in base 16.
@@ -28,6 +28,8 @@ def permuted(test: DataFrame, row_id: str, numeric: list[str], categorical: list
     row = F.struct(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(rest)])
     d = test.select(row.alias("row"), own.alias("own"), F.col(row_id).cast("string").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("repeat"))
     d = d.withColumn("key", F.md5(F.concat_ws("|", F.lit(seed), "repeat", "id"))).withColumn("part", F.substring("key", 1, DIGITS))
+    # Dealt once, and to as many tasks however few bytes there are: what follows is predictions, many for each row.
+    d = d.repartition(int(test.sparkSession.conf.get("spark.sql.shuffle.partitions")), "repeat", "part")
     firsts = d.groupBy("repeat", "part").agg(F.min_by("own", F.struct("key", "id")).alias("first"))
     parts = Window.partitionBy("repeat").orderBy("part")
     whole = parts.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -40,7 +42,12 @@ def permuted(test: DataFrame, row_id: str, numeric: list[str], categorical: list
 
 def importances(scored: DataFrame, base: float, metric: str) -> DataFrame:
     """scored(feature, repeat, y, pred, score) -> (feature, importance, std): mean and population deviation of the loss."""
-    each = evaluate(scored, ["feature", "repeat"]).select("feature", (F.lit(base) - F.col(metric)).alias("loss"))
+    return importances_of_counts(counted(scored, ["feature", "repeat"]), base, metric)
+
+
+def importances_of_counts(counts: DataFrame, base: float, metric: str) -> DataFrame:
+    """``importances`` of what metrics.counted gives by feature and repeat."""
+    each = evaluate_counts(counts, ["feature", "repeat"]).select("feature", (F.lit(base) - F.col(metric)).alias("loss"))
     return each.groupBy("feature").agg(F.avg("loss").alias("importance"), F.stddev_pop("loss").alias("std"))
 
 

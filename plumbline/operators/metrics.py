@@ -38,11 +38,23 @@ def rates(counts: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
+def counted(df: DataFrame, by: list[str]) -> DataFrame:
+    """df(*by, y, pred, score) -> (*by, pred, num, n, hits): rows and positives of each score, all that metrics need."""
+    return df.groupBy(*by, "pred", F.col("score").alias("num")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("hits"))
+
+
 def evaluate(df: DataFrame, by: list[str]) -> DataFrame:
     """df(*by, y, pred, score) -> (*by, accuracy, precision, recall, f1, auc, tn, fp, fn, tp)."""
-    counts = confusion(df, by)
-    values = df.groupBy(*by, F.col("score").alias("num")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("y").cast("long")).alias("hits"))
-    return rates(counts, by).join(rank_auc(values, by), by).join(counts, by).select(*by, *NAMES, "tn", "fp", "fn", "tp")
+    return evaluate_counts(counted(df, by), by)
+
+
+def evaluate_counts(counts: DataFrame, by: list[str]) -> DataFrame:
+    """``evaluate`` of what ``counted`` gives; it is read more than once, so that it is best written first."""
+    cell = lambda p, n, name: F.coalesce(F.sum(F.when(F.col("pred") == p, n)), F.lit(0)).cast("long").alias(name)
+    others = F.col("n") - F.col("hits")
+    cells = counts.groupBy(*by).agg(cell(0, others, "tn"), cell(1, others, "fp"), cell(0, F.col("hits"), "fn"), cell(1, F.col("hits"), "tp"))
+    shares = rates(cells, [*by, "tn", "fp", "fn", "tp"])
+    return shares.join(rank_auc(counts, by), by).select(*by, *NAMES, "tn", "fp", "fn", "tp")
 
 
 def primary_metric(positive_rate: float) -> str:

@@ -23,24 +23,36 @@ def test_count(n: Column, test_size: float) -> Column:
     return F.when(n < 2, 0).otherwise(F.greatest(F.lit(1), F.least(F.floor(n * F.lit(float(test_size)) + 0.5), n - 1)))
 
 
-def stratified(df: DataFrame, label: Column, row_id: str, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
-    """df with ``part``: train or test. Of each class the rows with the least digests of seed and id are for test.
+def _digested(df: DataFrame, label: Column, row_id: str, seed: int) -> DataFrame:
+    """df with __rank, from 1 within the class in order of digests of seed and id, and __n, the class's rows.
 
     Ranks come from counts by the digest's leading bits and ranks within those,
     so that a class with most of the rows is ranked by many tasks.
     """
-    _check(test_size)
     d = df.withColumn("__label", label).withColumn("__key", F.md5(F.concat(F.lit(f"{seed}|"), F.col(row_id).cast("string"))))
     d = d.withColumn("__b", F.substring("__key", 1, 3))
     counts = d.groupBy("__label", "__b").agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy("__label")
     base = counts.withColumn("__base", F.coalesce(F.sum("__c").over(w.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    base = base.withColumn("__take", test_count(F.sum("__c").over(w), test_size)).drop("__c")
-    base = base.select(F.col("__label").alias("__l2"), F.col("__b").alias("__b2"), "__base", "__take")
+    base = base.withColumn("__n", F.sum("__c").over(w)).drop("__c")
+    base = base.select(F.col("__label").alias("__l2"), F.col("__b").alias("__b2"), "__base", "__n")
     d = d.withColumn("__within", F.row_number().over(Window.partitionBy("__label", "__b").orderBy("__key", row_id)))
     d = d.join(base, F.col("__label").eqNullSafe(F.col("__l2")) & (F.col("__b") == F.col("__b2")))
-    part = F.when(F.col("__base") + F.col("__within") <= F.col("__take"), "test").otherwise("train")
-    return d.select(*df.columns, part.alias("part"))
+    return d.withColumn("__rank", F.col("__base") + F.col("__within"))
+
+
+def stratified(df: DataFrame, label: Column, row_id: str, test_size: float = TEST_SIZE, seed: int = SEED) -> DataFrame:
+    """df with ``part``: train or test. Of each class the rows with the least digests of seed and id are for test."""
+    _check(test_size)
+    part = F.when(F.col("__rank") <= test_count(F.col("__n"), test_size), "test").otherwise("train")
+    return _digested(df, label, row_id, seed).select(*df.columns, part.alias("part"))
+
+
+def folds(df: DataFrame, label: Column, row_id: str, k: int = 5, seed: int = SEED) -> DataFrame:
+    """df with ``fold`` from 0 to k - 1: each class's rows dealt one by one in order of digests, so that folds have equal shares of it."""
+    if k < 2:
+        raise ValueError("two folds at least")
+    return _digested(df, label, row_id, seed).select(*df.columns, F.pmod(F.col("__rank") - 1, F.lit(k)).cast("int").alias("fold"))
 
 
 def counter_random(seed: int, k: int) -> float:

@@ -274,13 +274,13 @@ class Tree:
 
     def nodes(self, codes: np.ndarray, numeric: int) -> np.ndarray:
         column, at, left, right = map(np.array, (self.column, self.at, self.left, self.right))
-        node, every = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
-        while True:
-            code, inner = codes[np.maximum(column[node], 0), every], column[node] >= 0
-            if not inner.any():
-                return node
-            goes = np.where(column[node] < numeric, code <= at[node], code != at[node])
-            node = np.where(inner, np.where(goes, left[node], right[node]), node)
+        node, going = np.zeros(codes.shape[1], np.int64), np.arange(codes.shape[1])
+        while len(going := going[column[node[going]] >= 0]):
+            here = node[going]
+            code = codes[column[here], going]
+            goes = np.where(column[here] < numeric, code <= at[here], code != at[here])
+            node[going] = np.where(goes, left[here], right[here])
+        return node
 
 
 def _tree(grown: Grown, split: list[int], rate: float) -> tuple[Tree, list[int]]:
@@ -420,6 +420,35 @@ def _round(state: DataFrame, lay: Layout, stop: bool, leaves: int, rate: float,
             tree.splits.setdefault(node, None)
 
 
+def _segment(state: DataFrame, lay: Layout, stop: bool, leaves: int, rate: float, rounds: int) -> list[Tree]:
+    """The trees of the next rounds, where the rows of a root fit a task: what it finishes is then whole trees, one on another."""
+    numeric = len(lay.numeric)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, k = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for codes, y, h, raw in _opened(b, lay):
+                own = np.flatnonzero(~_held(h, stop))
+                k += 1
+                columns = [pa.array([x], pa.int32()) for x in (0, task, k)] + [pa.array([x.tobytes()], pa.binary()) for x in (np.ascontiguousarray(codes[:, own]), y[own], raw[own])]
+                yield pa.RecordBatch.from_arrays(columns, names=["node", "task", "k", "codes", "y", "raw"])
+
+    def grown(t: pa.Table) -> pa.Table:
+        rows = sorted(t.to_pylist(), key=lambda r: (r["task"], r["k"]))
+        y, raw = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (("y", np.int8), ("raw", np.float64)))
+        codes, out = np.concatenate([np.frombuffer(r["codes"], lay.kind).reshape(len(lay.sizes), -1) for r in rows], axis=1), []
+        while len(out) < rounds:
+            tree = finish(codes, *_derivatives(raw, y), lay, leaves)
+            out.append(_tree(tree, tree.first(leaves)[0], rate)[0])
+            if len(out[-1].column) == 1:
+                break
+            raw = raw + out[-1].values(codes, numeric)
+        return pa.table({"k": pa.array(range(len(out)), pa.int32()), "tree": pa.array([json.dumps(asdict(x)) for x in out])})
+
+    got = state.mapInArrow(dealt, "node int, task int, k int, codes binary, y binary, raw binary").groupBy("node").applyInArrow(grown, "k int, tree string")
+    return [Tree(**json.loads(r["tree"])) for r in sorted(got.collect(), key=lambda r: r["k"])]
+
+
 def boost(df: DataFrame, lay: Layout, key: str, rounds: int = 100, leaves: int = LEAVES, rate: float = RATE, features: str = "features") -> TreesModel:
     """A model of df(features, y): y 0 or 1 without nulls, key a column that names a row.
 
@@ -434,43 +463,52 @@ def boost(df: DataFrame, lay: Layout, key: str, rounds: int = 100, leaves: int =
     share = min(max(positive / n, 1e-7), 1 - 1e-7)
     base = float(np.log(share / (1 - share)))
 
-    def added(tree: Tree | None):  # noqa: ANN202
+    def added(more: list[Tree]):  # noqa: ANN202
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                got = list(_opened(b, lay))
-                raw = [np.full(len(y), base) if tree is None else r + tree.values(codes, numeric) for codes, y, _, r in got]
-                held = [_held(h, stop) for _, _, h, _ in got]
-                loss = [float((np.logaddexp(0, r) - y * r)[v].sum()) for r, v, (_, y, _, _) in zip(raw, held, got, strict=True)]
+                raws, losses, used = [], [], []
+                for codes, y, h, raw in _opened(b, lay):
+                    held = _held(h, stop)
+                    raw, each = np.full(len(y), base) if raw is None else raw, []
+                    for tree in more:
+                        raw = raw + tree.values(codes, numeric)
+                        each.append(float((np.logaddexp(0, raw) - y * raw)[held].sum()))
+                    raws.append(raw.tobytes())
+                    losses.append(each)
+                    used.append(int((~held).sum()))
                 columns = [b.column(b.schema.names.index(c)) for c in ("n", "codes", "y", "h")]
-                more = [pa.array([r.tobytes() for r in raw], pa.binary()), pa.array(loss, pa.float64()), pa.array([int((~v).sum()) for v in held], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *more], names=["n", "codes", "y", "h", "raw", "loss", "used"])
+                columns += [pa.array(raws, pa.binary()), pa.array(losses, pa.list_(pa.float64())), pa.array(used, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["n", "codes", "y", "h", "raw", "loss", "used"])
 
         return add
 
-    schema = "n bigint, codes binary, y binary, h binary, raw binary, loss double, used bigint"
-    state = scratch.stash(blocks(df, lay, key, features).mapInArrow(added(None), schema), "boosting")
+    schema = "n bigint, codes binary, y binary, h binary, raw binary, loss array<double>, used bigint"
+    state = scratch.stash(blocks(df, lay, key, features).mapInArrow(added([]), schema), "boosting")
     used = state.agg(F.sum("used")).first()[0]
+    small = used * len(lay.sizes) <= LEAF_CELLS
     trees: list[Tree] = []
     losses: list[float] = []
     held: list[DataFrame] = []
     try:
-        for k in range(rounds):
-            tree = _round(state, lay, stop, leaves, rate, used)
-            trees.append(tree)
-            if len(tree.column) == 1 or k + 1 == rounds:  # one leaf: nothing left to split
+        while len(trees) < rounds:
+            new = _segment(state, lay, stop, leaves, rate, min(CUT, rounds - len(trees))) if small else [_round(state, lay, stop, leaves, rate, used)]
+            trees += new
+            if len(new[-1].column) == 1 or len(trees) == rounds:  # one leaf: nothing left to split
                 break
-            state = state.mapInArrow(added(tree), schema)
-            if (k + 1) % CUT:
+            state = state.mapInArrow(added(new), schema)
+            if len(trees) % CUT:
                 state = state.persist()
                 held.append(state)
             else:
                 state = scratch.stash(state, "boosting")
-                for old in held:
-                    old.unpersist()
-                held.clear()
+                while held:
+                    held.pop().unpersist()
             if stop:
-                losses.append(state.agg(F.sum("loss")).first()[0] / max(1, n - used))
-                if len(losses) > PATIENCE and min(losses[-PATIENCE:]) >= losses[-PATIENCE - 1] - TOLERANCE:
+                row = state.agg(*[F.sum(F.get("loss", k)) for k in range(len(new))]).first()
+                losses += [x / max(1, n - used) for x in row]
+                done = next((k for k in range(PATIENCE + 1, len(losses) + 1) if min(losses[k - PATIENCE : k]) >= losses[k - PATIENCE - 1] - TOLERANCE), None)
+                if done:
+                    trees = trees[:done]
                     break
     finally:
         for old in held:
@@ -481,23 +519,23 @@ def boost(df: DataFrame, lay: Layout, key: str, rounds: int = 100, leaves: int =
 # Forests.
 
 
-def _gini_split(codes: np.ndarray, y: np.ndarray, w: np.ndarray, lay: Layout, rng: np.random.Generator, most: int) -> tuple[int, int] | None:
-    """(column, at) of the best split among ``most`` slots drawn at random, and more until one splits the rows."""
-    sizes, numeric = lay.sizes, len(lay.numeric)
-    owners = np.array([*range(numeric), *[numeric + k for k, (_, n) in enumerate(lay.groups) for _ in range(n)]])
-    inner = np.concatenate([np.zeros(numeric, int), *[np.arange(1, n + 1) for _, n in lay.groups]]) if lay.groups else np.zeros(numeric, int)
-    total, hits = w.sum(), (w * y).sum()
+def _gini_split(codes: np.ndarray, own: np.ndarray, w: np.ndarray, wy: np.ndarray, slots: list[tuple[int, int]], sizes: list[int], numeric: int, rng: np.random.Generator, most: int, one_cut: bool) -> tuple[int, int] | None:
+    """(column, at) of the best split among ``most`` slots drawn at random, and more until one splits the rows; with one_cut at a random cut of each."""
+    total, hits = w.sum(), wy.sum()
     best, chosen, seen = np.inf, None, 0
-    for slot in rng.permutation(len(owners)):
+    for slot in rng.permutation(len(slots)).tolist():
         if seen >= most and chosen:
             break
-        j, at = int(owners[slot]), int(inner[slot])
-        n, p = np.bincount(codes[j], w, sizes[j]), np.bincount(codes[j], w * y, sizes[j])
-        ln, lp = (np.cumsum(n)[:-1], np.cumsum(p)[:-1]) if j < numeric else (total - n[at : at + 1], hits - p[at : at + 1])
+        j, at = slots[slot]
+        code = codes[j, own]
+        n, p = np.bincount(code, w, sizes[j]), np.bincount(code, wy, sizes[j])
+        ln, lp = (n.cumsum()[:-1], p.cumsum()[:-1]) if j < numeric else (total - n[at : at + 1], hits - p[at : at + 1])
         rn, rp = total - ln, hits - lp
         ok = (ln > 0) & (rn > 0)
         if not ok.any():
             continue
+        if one_cut:
+            ok &= np.arange(len(ok)) == rng.integers(ok.argmax(), len(ok) - ok[::-1].argmax())
         seen += 1
         with np.errstate(divide="ignore", invalid="ignore"):
             # Weighted impurity, less what all splits share.
@@ -508,16 +546,19 @@ def _gini_split(codes: np.ndarray, y: np.ndarray, w: np.ndarray, lay: Layout, rn
     return chosen
 
 
-def grow(codes: np.ndarray, y: np.ndarray, w: np.ndarray, lay: Layout, rng: np.random.Generator, most: int) -> Tree:
+def grow(codes: np.ndarray, y: np.ndarray, w: np.ndarray, lay: Layout, rng: np.random.Generator, most: int, one_cut: bool = False) -> Tree:
     """A tree of weighted rows, split until its leaves are pure or cannot be split."""
     out, waiting, numeric = Tree([], [], [], [], []), [(np.arange(len(y)), -1, False)], len(lay.numeric)
+    slots = [(j, 0) for j in range(numeric)] + [(numeric + k, at) for k, (_, n) in enumerate(lay.groups) for at in range(1, n + 1)]
+    sizes, wy = lay.sizes, w * y
     while waiting:
         own, parent, is_left = waiting.pop()
         me = len(out.column)
         if parent >= 0:
             (out.left if is_left else out.right)[parent] = me
-        hits, n = float((w[own] * y[own]).sum()), float(w[own].sum())
-        split = _gini_split(codes[:, own], y[own], w[own], lay, rng, most) if 0 < hits < n else None
+        mine, hit = w[own], wy[own]
+        hits, n = float(hit.sum()), float(mine.sum())
+        split = _gini_split(codes, own, mine, hit, slots, sizes, numeric, rng, most, one_cut) if 0 < hits < n else None
         for to, x in ((out.column, split[0] if split else -1), (out.at, split[1] if split else 0), (out.left, me), (out.right, me), (out.value, hits / n if n else 0.0)):
             to.append(x)
         if split:
@@ -527,12 +568,13 @@ def grow(codes: np.ndarray, y: np.ndarray, w: np.ndarray, lay: Layout, rng: np.r
     return out
 
 
-def forest(df: DataFrame, lay: Layout, key: str, trees: int = 200, seed: int = 42, rows: int = TREE_ROWS, features: str = "features") -> TreesModel:
+def forest(df: DataFrame, lay: Layout, key: str, trees: int = 200, seed: int = 42, rows: int = TREE_ROWS, features: str = "features", extra: bool = False) -> TreesModel:
     """A forest of df(features, y): each tree of as many rows as there are, or ``rows`` if there are more, drawn with replacement from all.
 
     How often a row is drawn is a Poisson number of its key's hash. At each node
     the square root of the slots is looked at. Depth has no bound; a task holds
-    one tree's rows.
+    one tree's rows. With ``extra`` each slot is looked at with one random cut,
+    and where no more rows are there than a tree has, it has each of them once.
     """
     n = df.count()
     if not n:
@@ -545,7 +587,7 @@ def forest(df: DataFrame, lay: Layout, key: str, trees: int = 200, seed: int = 4
         for b in batches:
             for codes, y, h, _ in _opened(b, lay):
                 for t in range(trees):
-                    times = np.searchsorted(steps, _mixed(h, t + 1000 * seed), "right").astype(np.uint8)
+                    times = np.ones(len(h), np.uint8) if extra and mean == 1 else np.searchsorted(steps, _mixed(h, t + 1000 * seed), "right").astype(np.uint8)
                     own = np.flatnonzero(times)
                     parts = [np.ascontiguousarray(codes[:, own]), y[own], times[own]]
                     yield pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in parts]], names=["tree", "codes", "y", "w"])
@@ -554,7 +596,7 @@ def forest(df: DataFrame, lay: Layout, key: str, trees: int = 200, seed: int = 4
         k = t["tree"][0].as_py()
         codes = np.concatenate([np.frombuffer(x, lay.kind).reshape(width, -1) for x in t["codes"].to_pylist()], axis=1)
         y, w = (np.concatenate([np.frombuffer(x, kind) for x in t[c].to_pylist()]).astype(float) for c, kind in (("y", np.int8), ("w", np.uint8)))
-        tree = grow(codes, y, w, lay, np.random.default_rng([seed, k]), most)
+        tree = grow(codes, y, w, lay, np.random.default_rng([seed, k]), most, extra)
         return pa.table({"tree": pa.array([k], pa.int32()), "nodes": pa.array([json.dumps(asdict(tree))])})
 
     dealt = blocks(df, lay, key, features).mapInArrow(drawn, "tree int, codes binary, y binary, w binary").repartition(trees, "tree")
@@ -596,11 +638,12 @@ class TreesModel(Transformer, DefaultParamsReadable, DefaultParamsWritable):
         @F.arrow_udf("double")
         def probability(x: pa.Array) -> pa.Array:
             rows = np.asarray(x.flatten().to_numpy(zero_copy_only=False), float).reshape(len(x), width)
-            total, every = np.full(len(rows), base), np.arange(len(rows))
+            total = np.full(len(rows), base)
             for slot, inner, threshold, left, right, value in trees:
-                node = np.zeros(len(rows), np.int64)
-                while (going := inner[node]).any():
-                    node = np.where(going, np.where(rows[every, slot[node]] <= threshold[node], left[node], right[node]), node)
+                node, going = np.zeros(len(rows), np.int64), np.arange(len(rows))
+                while len(going := going[inner[node[going]]]):
+                    here = node[going]
+                    node[going] = np.where(rows[going, slot[here]] <= threshold[here], left[here], right[here])
                 total += value[node]
             return pa.array(1 / (1 + np.exp(-total)) if boosted else total / max(1, len(trees)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import cells
 from plumbline.operators import explain, leakage, metrics, models, preprocess, profile, score, split, trees
+from plumbline.sources import scratch
 
 #: Rows of a partition in which a small table is fitted.
 ROWS_PER_PARTITION = 20_000
@@ -143,7 +144,8 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
         with ThreadPoolExecutor(len(names_fitted)) as pool:
             fitted = dict(zip(names_fitted, pool.map(lambda name: models.fit(name, ready, lay, row_id, sizes["train"], seed, settings), names_fitted), strict=True))
         majority = 1 if spec.positive_rate > 0.5 else 0
-        compared = metrics.evaluate(models.predictions(fitted, ready_test, majority), ["model"]).collect()  # a row per model
+        counts = scratch.stash(metrics.counted(models.predictions(fitted, ready_test, majority), ["model"]), "scores")
+        compared = metrics.evaluate_counts(counts, ["model"]).collect()  # a row per model
         scores = {r["model"]: {m: r[m] for m in metrics.NAMES} for r in compared}
         confusion = {r["model"]: {c: r[c] for c in ("tn", "fp", "fn", "tp")} for r in compared}
         metric = spec.primary_metric
@@ -153,7 +155,8 @@ def run(df: DataFrame, target: str, row_id: str, seed: int = split.SEED, setting
         scoring = "accuracy" if one_class else "auc"
         moved = explain.permuted(test, row_id, spec.numeric, spec.categorical, repeats, seed)
         judged = models.scored(fitted[winner], prep.transform(moved).select("feature", "repeat", "y", "features"))
-        found = {r["feature"]: r for r in explain.importances(judged, scores[winner][scoring], scoring).collect()}  # a row per feature
+        losses = scratch.stash(metrics.counted(judged, ["feature", "repeat"]), "losses")
+        found = {r["feature"]: r for r in explain.importances_of_counts(losses, scores[winner][scoring], scoring).collect()}  # a row per feature
         ways = {r["column"]: r["direction"] for r in explain.directions(test, spec.numeric).collect()} if spec.numeric else {}
         features = [
             {"name": c, "kind": "numeric" if c in spec.numeric else "categorical", "importance": found[c]["importance"], "std": found[c]["std"], "direction": ways.get(c) if explain.is_used(found[c]["importance"]) else None}

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from plumbline.functions import cells
 from plumbline.functions.random import uniform
 from plumbline.operators import eda, explain, leakage, metrics, preprocess, profile, sanitize, score, split
-from plumbline.plans import experiment
-from plumbline.sources import scored_csv, synthetic
+from plumbline.plans import experiment, league
+from plumbline.sources import scored_csv, scratch, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -625,6 +625,8 @@ def importance_of_rules(spark, sf_dir):
 def _experiment(spark: SparkSession, sf_dir: str):  # noqa: ANN202
     words = F.size(F.split("text", " "))
     d = labelled(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", words.alias("words"), F.length(F.regexp_replace("text", "[^A-Z]", "")).alias("capitals"), "toxic")
+    # Texts are read once: an experiment passes over its table several times.
+    d = scratch.stash(d, "labelled")
     return d, *experiment.run(d, "toxic", "doc_id")
 
 
@@ -644,3 +646,48 @@ def permutation_importance(spark, sf_dir):
 def model_scores(spark, sf_dir):
     d, _, fitted = _experiment(spark, sf_dir)
     return fitted.score(d)
+
+
+# A league: folds, choices from predictions of rules in place of models, and the whole of it.
+
+@query("ml12_stratified_folds", "SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INT) AS fold FROM labels")
+def stratified_folds(spark, sf_dir):
+    return split.folds(table(spark, sf_dir, "labels"), F.col("quality"), "doc_id").select("doc_id", "quality", "fold")
+
+
+_RULES = {"dear": "o_totalprice > 150000", "urgent": "o_orderpriority = '1-URGENT'", "early": "o_custkey % 3 = 0", "all": "o_orderkey >= 0"}
+_O_RULED = union([f"SELECT '{m}' AS model, o_orderkey % 5 AS fold, CAST(o_orderstatus = 'F' AS INT) AS y, CAST({e} AS INT) AS pred FROM orders" for m, e in _RULES.items()])
+_O_FOLDS = f"(SELECT model, fold, coalesce(2 * sum(y * pred) / CAST(nullif(sum(y) + sum(pred), 0) AS DOUBLE), 0) AS f1, avg(CAST(y = pred AS DOUBLE)) AS accuracy FROM ({_O_RULED}) GROUP BY 1, 2)"
+_O_PLACES = "CASE model WHEN 'dear' THEN 0 WHEN 'urgent' THEN 1 WHEN 'early' THEN 0 ELSE 1 END AS place, model IN ('dear', 'urgent') AS candidate"
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> dict:
+    d = table(spark, sf_dir, "orders")
+    rules = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.expr(e).cast("int").alias("pred")) for m, e in _RULES.items()]))
+    long = d.select((F.col("o_orderkey") % 5).cast("int").alias("fold"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), rules.alias("r")).select("r.model", "fold", "y", "r.pred", F.col("r.pred").cast("double").alias("score"))
+    got = metrics.evaluate(long, ["model", "fold"]).collect()  # a row for each rule and fold
+    return {(r["model"], r["fold"]): {k: r[k] for k in metrics.NAMES} for m in _RULES for r in got if r["model"] == m}
+
+
+@query("ml12_out_of_fold_metrics", f"SELECT model, CAST(fold AS INT) AS fold, accuracy, f1 FROM {_O_FOLDS}")
+def out_of_fold_metrics(spark, sf_dir):
+    return spark.createDataFrame([(m, f, x["accuracy"], x["f1"]) for (m, f), x in _ruled(spark, sf_dir).items()], "model string, fold int, accuracy double, f1 double")
+
+
+@query(
+    "dec06_dec07_winner_and_baseline",
+    f"""WITH m AS (SELECT model, avg(f1) AS f1, {_O_PLACES} FROM {_O_FOLDS} GROUP BY model), w AS (SELECT * FROM m WHERE candidate ORDER BY f1 DESC, place LIMIT 1), b AS (SELECT * FROM m WHERE NOT candidate ORDER BY f1 DESC, place LIMIT 1)
+        SELECT w.model AS winner, b.model AS baseline, round(w.f1 - b.f1, 9) AS delta, CASE WHEN w.f1 - b.f1 > 0.01 THEN 'beats' WHEN w.f1 - b.f1 < -0.01 THEN 'loses' ELSE 'ties' END AS level FROM w, b""",
+)
+def winner_and_baseline(spark, sf_dir):
+    winner, baseline, v = league.choose(league.mean_metrics(_ruled(spark, sf_dir)), "f1", ["dear", "urgent"], ["early", "all"])
+    return spark.createDataFrame([(winner, baseline, round(v.delta, 9), v.level)], "winner string, baseline string, delta double, level string")
+
+
+@query("ml12_league")
+def whole_league(spark, sf_dir):
+    words = F.size(F.split("text", " "))
+    d = labelled(spark, sf_dir).select("doc_id", "lang", "source", "n_chars", words.alias("words"), "toxic")
+    got = league.run(scratch.stash(d, "labelled"), "toxic", "doc_id")
+    rows = [(m, m == got.winner, x["accuracy"], x["f1"], x["auc"], got.test.get(m, {}).get("auc")) for m, x in got.means.items()]
+    return spark.createDataFrame(rows, "model string, winner boolean, accuracy double, f1 double, auc double, test_auc double")

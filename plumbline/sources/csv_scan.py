@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions.cells import trimmed
+from plumbline.sources import csv_records
 
 #: The limits of the compatible profile.
 COMPATIBLE_BYTES, COMPATIBLE_ROWS = 5 * 1024 * 1024, 50_000
 ROW_ID = "__row_id"
 _BAD = "__bad_record"
+_FIELD = r'(?:[^",\r]*+|"(?:[^"]++|"")*+")'
+_PLAIN = f"^{_FIELD}(?:,{_FIELD})*+\\r?$"
 
 
 class CsvError(ValueError):
@@ -51,10 +54,10 @@ def wrong_delimiter(header: str) -> str | None:
 def read(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFrame:
     """The table as written: string cells, empty for missing, and __row_id in order of input.
 
-    A header line is needed. Lines that are empty, and in a table of one column
-    those of white space, are no rows. Raises CsvError. Files are split among
-    tasks unless one of their lines has a quote that ends on another line, or
-    is of white space alone, which Spark's line by line reader would pass over.
+    A header line is needed. Records of one field that is empty or of white
+    space are no rows. Raises CsvError. Files are split among
+    tasks, also where quotes go on over lines. Of files of plain lines Spark's
+    own reader makes the rows, of others ``csv_records``, by the same rules.
     """
     limits = limits or Limits()
     if limits.max_bytes is not None and (size := byte_length(spark, path)) > limits.max_bytes:
@@ -66,40 +69,48 @@ def read(spark: SparkSession, path: str, limits: Limits | None = None) -> DataFr
     line = first[0]["value"].removeprefix("﻿")
     if found := wrong_delimiter(line):
         raise CsvError("wrong-delimiter", delimiter=found)
-    odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1
+    # Lines that Spark's splittable reader takes for what they are here: each field free of quotes or quoted as a whole.
+    plain = F.col("value").rlike(_PLAIN) | ~F.col("value").rlike('["\r]')
     blank = (F.length("value") > 0) & (trimmed("value") == "")
-    whole = not lines.filter(odd | blank).isEmpty()
-    options = {"quote": '"', "escape": '"', "multiLine": whole, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    reader = spark.read.options(**options)
-    head = reader.csv(path).limit(1).collect()
-    names = ["" if x is None else x.removeprefix("﻿") for x in head[0]]
+    if lines.filter(~plain | blank).isEmpty():
+        names, raw = _line_by_line(spark, path)
+    else:
+        names, raw = csv_records.read(spark, path)
     if len(set(names)) != len(names):
         raise CsvError("duplicate-header", names=sorted({x for x in names if names.count(x) > 1}))
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(_BAD, T.StringType())])
-    raw = reader.option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", _BAD).option("mode", "PERMISSIVE").schema(schema).csv(path)
-    cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(names))]
-    raw = raw.select(*cells, _BAD, F.monotonically_increasing_id().alias("__at"))
-    if len(names) == 1:
-        raw = raw.filter(trimmed("c0") != "")
     if raw.isEmpty():
         raise CsvError("empty")
     if limits.max_rows is not None and raw.limit(limits.max_rows + 1).count() > limits.max_rows:
         raise CsvError("too-many-rows", rows=raw.count(), max_rows=limits.max_rows)
-    bad = raw.filter(F.col(_BAD).isNotNull())
-    if broken := bad.orderBy("__at").limit(1).collect():
-        row = raw.filter(F.col("__at") < broken[0]["__at"]).count() + 2
-        # As many fields as the record has commas, and one more, at most.
-        most = broken[0][_BAD].count(",") + 1
-        fields = spark.createDataFrame([(broken[0][_BAD],)], "v string").select(F.from_csv("v", ", ".join(f"f{i} string" for i in range(most)), {"quote": '"', "escape": '"'}).alias("s")).select("s.*").first()
-        there = [i for i, x in enumerate(fields) if x is not None]
-        raise CsvError("ragged", row=row, expected=len(names), found=max(there, default=0) + 1)
-    return numbered(raw.drop(_BAD), "__at").select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(names)], ROW_ID)
-
-
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    """df with a gapless __row_id from 0 in an order whose high bits are its partition, as a partition's offset and a rank within it."""
-    part = F.shiftright(F.col(order), 33)
-    counts = df.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
-    base = counts.withColumn("__base", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__p", "__base")
-    ranked = df.withColumn("__p", part).withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
-    return ranked.join(F.broadcast(base), "__p").withColumn(ROW_ID, F.col("__base") + F.col("__r")).drop("__p", "__r", "__base", order)
+    out = raw.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(names)], ROW_ID, "__found")
+    if broken := out.filter(F.col("__found") != len(names)).orderBy(ROW_ID).limit(1).collect():
+        raise CsvError("ragged", row=broken[0][ROW_ID] + 2, expected=len(names), found=broken[0]["__found"])
+    return out.drop("__found")
+
+
+def _line_by_line(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """(names, rows): cells c0, c1 and so on, __row_id, and __found, how many fields a row has."""
+    reader = spark.read.options(quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    names = ["" if x is None else x.removeprefix("\ufeff") for x in reader.csv(path).limit(1).collect()[0]]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(_BAD, T.StringType())])
+    raw = reader.option("header", True).option("enforceSchema", True).option("columnNameOfCorruptRecord", _BAD).option("mode", "PERMISSIVE").schema(schema).csv(path)
+    if len(names) == 1:
+        raw = raw.filter(trimmed(F.coalesce("c0", F.lit(""))) != "")
+    cells = [F.coalesce(F.col(f"c{i}"), F.lit("")).alias(f"c{i}") for i in range(len(names))]
+    # Commas within quotes are none of a broken record's.
+    bare = F.regexp_replace(_BAD, '"[^"]*"', "")
+    found = F.when(F.col(_BAD).isNull(), len(names)).otherwise(F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1)
+    return names, numbered(raw.select(*cells, found.alias("__found")))
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df with a gapless __row_id from 0 in the order of its partitions and rows; no row is shuffled.
+
+    What comes to each task is a count for each partition.
+    """
+    d = df.withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    counts = d.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    base = counts.select(F.col("__p"), F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    placed = d.withColumn("__p", part).join(F.broadcast(base), "__p")
+    return placed.withColumn(ROW_ID, F.col("__base") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__p", "__base", "__at")
