@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes
 from pyspark.ml.functions import vector_to_array
@@ -22,8 +23,10 @@ ROSTER = ["majority", "logistic", "rule", "bayes", "ridge", "margin", "network",
 CANDIDATES = [m for m in ROSTER if m not in models.BASELINES]
 FOLDS = 5
 #: Fits beside each other.
-ABREAST = 4
+ABREAST = 8
 HIDDEN = 16
+#: What convergence is to the linear models.
+TOLERANCE = 1e-4
 
 
 @dataclass
@@ -50,7 +53,7 @@ def fit(name: str, train: DataFrame, lay: trees.Layout, key: str, rows: int, see
         signed = train.withColumn("y", 2 * F.col("y") - 1)
         return LinearRegression(**common, regParam=1 / max(1, rows), standardization=False, maxIter=settings.iterations).fit(signed)
     if name == "margin":
-        return LinearSVC(**common, regParam=1 / max(1, rows), maxIter=settings.iterations, standardization=False).fit(train)
+        return LinearSVC(**common, regParam=1 / max(1, rows), maxIter=settings.iterations, tol=TOLERANCE, standardization=False).fit(train)
     if name == "network":
         return MultilayerPerceptronClassifier(**common, layers=[lay.slots, HIDDEN, 2], maxIter=min(100, settings.iterations), seed=seed).fit(train)
     if name == "extra":
@@ -67,8 +70,8 @@ def scored(name: str, model, df: DataFrame) -> DataFrame:  # noqa: ANN001
     return out.select(*df.columns, F.col("prediction").cast("int").alias("pred"), score.alias("score"))
 
 
-def _fitted(names: list[str], train: DataFrame, test: DataFrame, spec: experiment.Spec, key: str, settings: models.Settings, keep: list[str], cached: list[DataFrame]) -> list[DataFrame]:
-    """(model, *keep, y, pred, score) of test for each name, the preprocessing and the models learned from train alone."""
+def _fits(names: list[str], train: DataFrame, test: DataFrame, spec: experiment.Spec, key: str, settings: models.Settings, keep: list[str], cached: list[DataFrame]) -> list[Callable[[], DataFrame]]:
+    """For each name what gives (model, *keep, y, pred, score) of test, the preprocessing and the models learned from train alone."""
     s = preprocess.learn(train, spec.numeric, spec.categorical)
     prep = preprocess.build(s, spec.numeric, spec.categorical, train)
     ready = prep.transform(train).select(key, "y", "features").persist()
@@ -76,14 +79,21 @@ def _fitted(names: list[str], train: DataFrame, test: DataFrame, spec: experimen
     groups = preprocess.groups(s, spec.numeric, spec.categorical)
     lay = trees.layout(ready, len(spec.numeric) + sum(n for _, n in groups), groups)
     n, positive = ready.agg(F.count(F.lit(1)), F.sum("y")).first()
+    most = int(2 * positive > n)
     rows = prep.transform(test).select(*keep, F.col("y").cast("int").alias("y"), "features")
-    tagged = lambda name, d: d.select(F.lit(name).alias("model"), *keep, "y", "pred", "score")
-    with ThreadPoolExecutor(ABREAST) as pool:
-        others = [m for m in names if m != "majority"]
-        made = list(pool.map(lambda m: tagged(m, scored(m, fit(m, ready, lay, key, n, spec.seed, settings), rows)), others))
-    most = float(2 * positive > n)
-    majority = [tagged("majority", rows.select("*", F.lit(int(most)).alias("pred"), F.lit(most).alias("score")))] if "majority" in names else []
-    return majority + made
+
+    def made(name: str) -> DataFrame:
+        if name == "majority":
+            d = rows.withColumns({"pred": F.lit(most), "score": F.lit(float(most))})
+        else:
+            d = scored(name, fit(name, ready, lay, key, n, spec.seed, settings), rows)
+        return d.select(F.lit(name).alias("model"), *keep, "y", "pred", "score")
+
+    return [partial(made, name) for name in names]
+
+
+def _all(pool: ThreadPoolExecutor, tasks: list[Callable[[], DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, pool.map(lambda f: f(), tasks))
 
 
 def mean_metrics(folds: dict[tuple[str, int], dict[str, float]]) -> dict[str, dict[str, float]]:
@@ -115,18 +125,22 @@ def run(df: DataFrame, target: str, row_id: str, k: int = FOLDS, roster: list[st
     typed = scratch.stash(typed.coalesce(max(1, -(-spec.rows // experiment.ROWS_PER_PARTITION))), "league")
     train = scratch.stash(split.folds(typed.filter("part = 'train'").drop("part"), F.col("y"), row_id, k, seed), "folds")
     cached: list[DataFrame] = []
+    # Fits are many small jobs one after another, so those of all folds run beside each other.
+    pool = ThreadPoolExecutor(ABREAST)
     try:
-        parts = [d for f in range(k) for d in _fitted(roster, train.filter(F.col("fold") != f), train.filter(F.col("fold") == f), spec, row_id, settings, ["fold"], cached)]
-        counts = scratch.stash(metrics.counted(reduce(DataFrame.unionByName, parts), ["model", "fold"]), "league")
+        prepared = pool.map(lambda f: _fits(roster, train.filter(F.col("fold") != f), train.filter(F.col("fold") == f), spec, row_id, settings, ["fold"], cached), range(k))
+        parts = _all(pool, [task for tasks in list(prepared) for task in tasks])
+        counts = scratch.stash(metrics.counted(parts, ["model", "fold"]), "league")
         found = {(r["model"], r["fold"]): {m: r[m] for m in metrics.NAMES} for r in metrics.evaluate_counts(counts, ["model", "fold"]).collect()}  # a row for each model and fold
         means = mean_metrics({(m, f): found[m, f] for m in roster for f in range(k) if (m, f) in found})
         winner = metrics.best_of({m: means[m] for m in roster if m in CANDIDATES}, spec.primary_metric)
         final = [*models.BASELINES, winner]
-        judged = _fitted(final, train.drop("fold"), typed.filter("part = 'test'"), spec, row_id, settings, [], cached)
-        counts = scratch.stash(metrics.counted(reduce(DataFrame.unionByName, judged), ["model"]), "league")
+        judged = _all(pool, _fits(final, train.drop("fold"), typed.filter("part = 'test'"), spec, row_id, settings, [], cached))
+        counts = scratch.stash(metrics.counted(judged, ["model"]), "league")
         test = {r["model"]: {m: r[m] for m in metrics.NAMES} for r in metrics.evaluate_counts(counts, ["model"]).collect()}  # a row for each model
         _, baseline, verdict = choose(test, spec.primary_metric, [winner], models.BASELINES)
         return Standing(spec, found, means, winner, baseline, test, verdict)
     finally:
+        pool.shutdown()
         for frame in cached:
             frame.unpersist()

@@ -199,13 +199,19 @@ def passes(grade: dict[str, int]) -> bool:
 
 
 class RateLimit:
-    """At most ``hits`` in any ``seconds``, for each key."""
+    """At most ``hits`` in any ``seconds``, for each key, in one process; ``streaming.limits`` has it for a cluster.
+
+    Keys without a request in the last window are forgotten, at the cost of one pass in each window.
+    """
 
     def __init__(self, hits: int = 10, seconds: float = 60.0):
-        self.hits, self.seconds, self.seen = hits, seconds, {}
+        self.hits, self.seconds, self.seen, self.swept = hits, seconds, {}, None
 
     def allow(self, key: str, now: float | None = None) -> bool:
         now = time.monotonic() if now is None else now
+        if self.swept is None or now - self.swept >= self.seconds:
+            self.seen = {k: x for k, x in self.seen.items() if x and x[-1] > now - self.seconds}
+            self.swept = now
         past = self.seen.setdefault(key, deque())
         while past and past[0] <= now - self.seconds:
             past.popleft()
