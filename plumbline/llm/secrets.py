@@ -187,65 +187,85 @@ def _stretches(piece: Column, table: Column) -> Column:
     again, after which the next is looked for. Letters and digits next to a
     stretch belong to it.
     """
-    value, short = piece["value"], CANDIDATE_LENGTH - 1
+    value, short, letters = piece["value"], CANDIDATE_LENGTH - 1, 62
     none = F.array().cast("array<struct<start:int,end:int>>")
     enough = lambda over, n: (over >= 0) & (over + LEAST_EACH * n >= LEAST_TOTAL)
 
-    def whole(start: Column, end: Column) -> Column:
-        before = F.length(F.regexp_extract(F.substring(value, F.lit(1), start), "[A-Za-z0-9]*$", 0))
-        after = F.length(F.regexp_extract(F.substring(value, end + 1, F.length(value)), "^[A-Za-z0-9]*", 0))
-        return F.struct((start - before).cast("int").alias("start"), (end + after).cast("int").alias("end"))
+    def whole(s: Column, breaks: Column) -> Column:
+        """The best stretch with the letters and digits next to it, up to the breaks that are counted before its begin and its end."""
+        start = F.when(s["first_breaks"] == 0, 0).otherwise(F.element_at(breaks, F.greatest(s["first_breaks"], F.lit(1))) + 1)
+        end = F.when(s["last_breaks"] == F.size(breaks), F.length(value)).otherwise(F.element_at(breaks, F.least(s["last_breaks"] + 1, F.greatest(F.size(breaks), F.lit(1)))))
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"))
 
-    def closed(s: Column) -> Column:
-        """Stretches so far with the best one, which joins the one before if they meet."""
-        return _let(whole(s["first"], s["last"] + 1), lambda x: F.when(
-            (F.size(s["out"]) > 0) & (F.coalesce(F.try_element_at(s["out"], F.lit(-1))["end"], F.lit(-1)) >= x["start"]),
-            F.concat(F.slice(s["out"], F.lit(1), F.size(s["out"]) - 1), F.array(F.struct(F.try_element_at(s["out"], F.lit(-1))["start"].alias("start"), x["end"].alias("end")))),
-        ).otherwise(F.concat(s["out"], F.array(x))))
+    def joined_to(out: Column, x: Column) -> Column:
+        """Stretches so far with one more, which joins the one before if they meet."""
+        last = F.try_element_at(out, F.lit(-1))
+        meets = (F.size(out) > 0) & (F.coalesce(last["end"], F.lit(-1)) >= x["start"])
+        both = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
+        return F.when(meets, both).otherwise(F.concat(out, F.array(x)))
 
-    def found(x: Column) -> Column:
+    def found(x: Column, c: Column, breaks: Column) -> Column:
         n = F.size(x)
+        # Codes beyond letters and digits are breaks; element_at counts from 1.
+        broken = lambda i: (F.element_at(c, F.greatest(i, F.lit(1))) >= letters).cast("int")
+
+        def step(both: Column, i: Column) -> Column:
+            # What a step found is added by the next one: a list that went through the steps below would be copied in each.
+            s = both["at"]
 
-        def step(s: Column, i: Column) -> Column:
             def best(t: Column) -> Column:
                 up = t["sum"] - t["low"] > t["best"]
+                keep = lambda new, name: F.when(up, new).otherwise(t[name]).alias(name)
                 moved = F.struct(
-                    t["sum"].alias("sum"), t["back"].alias("back"), t["low"].alias("low"), t["at"].alias("at"), t["least"].alias("least"),
-                    F.when(up, t["sum"] - t["low"]).otherwise(t["best"]).alias("best"), F.when(up, t["at"]).otherwise(t["first"]).alias("first"),
-                    F.when(up, i).otherwise(t["last"]).alias("last"), F.when(up, t["sum"]).otherwise(t["top"]).alias("top"), t["out"].alias("out"),
+                    *[t[k].alias(k) for k in ("sum", "back", "low", "at", "least", "at_breaks", "back_breaks", "breaks")],
+                    keep(t["sum"] - t["low"], "best"), keep(t["at"], "first"), keep(i, "last"), keep(t["sum"], "top"), keep(t["at_breaks"], "first_breaks"), keep(t["breaks"], "last_breaks"), F.lit(False).alias("closing"), t["stretch"].alias("stretch"),
                 )
                 return _let(moved, close)
 
             def close(t: Column) -> Column:
                 over = enough(t["best"], t["last"] - t["first"]) & (t["top"] - t["sum"] >= LEAST_TOTAL)
-                return F.when(over, state(t["sum"], t["back"], t["last"], closed(t))).otherwise(t)
+                return F.when(over, state(t["sum"], t["back"], t["last"], t["back_breaks"], t["breaks"], F.lit(True), whole(t, breaks))).otherwise(t)
 
             at = i - short
             total, back = s["sum"] + F.element_at(x, i), s["back"] + F.when(at > 0, F.element_at(x, F.greatest(at, F.lit(1)))).otherwise(0.0)
             lower = (at >= s["least"]) & (back < s["low"])
+            # Breaks before place ``at``, and before the end of pair i.
+            back_breaks, before = s["back_breaks"] + F.when(at > 0, broken(at)).otherwise(0), s["breaks"] + broken(i + 1)
             t = F.struct(
                 total.alias("sum"), back.alias("back"), F.when(lower, back).otherwise(s["low"]).alias("low"), F.when(lower, at).otherwise(s["at"]).alias("at"), s["least"].alias("least"),
-                s["best"].alias("best"), s["first"].alias("first"), s["last"].alias("last"), s["top"].alias("top"), s["out"].alias("out"),
+                F.when(lower, back_breaks).otherwise(s["at_breaks"]).alias("at_breaks"), back_breaks.alias("back_breaks"), before.alias("breaks"),
+                *[s[k].alias(k) for k in ("best", "first", "last", "top", "first_breaks", "last_breaks", "stretch")],
             )
-            return _let(t, best)
+            return F.struct(_let(t, best).alias("at"), added(both).alias("out"))
+
+        def added(both: Column) -> Column:
+            return F.when(both["at"]["closing"], joined_to(both["out"], both["at"]["stretch"])).otherwise(both["out"])
 
-        def finish(s: Column) -> Column:
-            every = F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end")))
-            return F.when(enough(s["sum"], n), every).otherwise(F.when(enough(s["best"], s["last"] - s["first"]), closed(s)).otherwise(s["out"]))
+        def finish(both: Column) -> Column:
+            s, every = both["at"], F.array(F.struct(F.lit(0).alias("start"), F.length(value).alias("end")))
+            last = _let(added(both), lambda out: F.when(enough(s["best"], s["last"] - s["first"]), joined_to(out, whole(s, breaks))).otherwise(out))
+            return F.when(enough(s["sum"], n), every).otherwise(last)
 
-        return F.aggregate(F.sequence(F.lit(1), n), state(F.lit(0.0), F.lit(0.0), F.lit(0), none), step, finish)
+        nowhere = F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))
+        begin = state(F.lit(0.0), F.lit(0.0), F.lit(0), F.lit(0), broken(F.lit(1)), F.lit(False), nowhere)
+        return F.aggregate(F.sequence(F.lit(1), n), F.struct(begin.alias("at"), none.alias("out")), step, finish)
 
-    def state(total: Column, back: Column, least: Column, out: Column) -> Column:
+    def state(total: Column, back: Column, least: Column, back_breaks: Column, before: Column, closing: Column, stretch: Column) -> Column:
         # Sums of what pairs have over LEAST_EACH: of all pairs, and of those CANDIDATE_LENGTH - 1 back, whose least at or after ``least`` begins the stretch.
         return F.struct(
-            total.alias("sum"), back.alias("back"), F.lit(1e300).alias("low"), F.lit(0).alias("at"), least.alias("least"),
-            F.lit(-1e300).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0.0).alias("top"), out.alias("out"),
+            total.alias("sum"), back.alias("back"), F.lit(1e300).alias("low"), F.lit(0).alias("at"), least.alias("least"), F.lit(0).alias("at_breaks"), back_breaks.alias("back_breaks"), before.alias("breaks"),
+            F.lit(-1e300).alias("best"), F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(0.0).alias("top"), F.lit(0).alias("first_breaks"), F.lit(0).alias("last_breaks"), closing.alias("closing"), stretch.alias("stretch"),
         )
 
-    codes = F.transform(F.regexp_extract_all(value, F.lit("."), F.lit(0)), _code)
-    ratio = lambda c, i: F.element_at(table, (F.element_at(c, i) * len(ALPHABET) + F.element_at(c, i + 1) + 1).cast("int")) - LEAST_EACH
-    spans = _let(_let(codes, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: ratio(c, i))), found)
-    return F.transform(spans, lambda s: F.struct((piece["start"] + s["start"]).alias("start"), F.lit(3).alias("kind"), (piece["start"] + s["end"]).alias("end"), F.substring(value, s["start"] + 1, s["end"] - s["start"]).alias("value")))
+    def spans(c: Column) -> Column:
+        ratios = F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.element_at(table, (F.element_at(c, i) * len(ALPHABET) + F.element_at(c, i + 1) + 1).cast("int")) - LEAST_EACH)
+        breaks = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.element_at(c, i + 1) >= letters)
+        got = _let(ratios, lambda x: _let(breaks, lambda b: found(x, c, b)))
+        # A stretch's text from its codes: the run's own would be walked from its begin for each.
+        text = lambda s: F.array_join(F.transform(F.sequence(s["start"] + 1, s["end"]), lambda k: F.substring(F.lit(ALPHABET), F.element_at(c, k) + 1, F.lit(1))), "")
+        return F.transform(got, lambda s: F.struct((piece["start"] + s["start"]).alias("start"), F.lit(3).alias("kind"), (piece["start"] + s["end"]).alias("end"), text(s).alias("value")))
+
+    return _let(F.transform(F.regexp_extract_all(value, F.lit("."), F.lit(0)), _code), spans)
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, text_col: str = "text", into: str = "__found") -> DataFrame:
