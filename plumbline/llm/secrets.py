@@ -46,7 +46,10 @@ PARTS = (
     "ein eine und der die das ist nicht mit von den dem auf ung ungen keit keiten heit lich lichen isch schaft sch ver be ge "
     "zer ent auch sich zu bei nach aus vor chen tz pf ach au eu ie ei "
     "le la les de des du un une et est que qui dans pour sur avec pas eau eaux elle elles eux ment aire tion oi ai ier re en par "
-    "el los las una por con para como cion mente ado ada idad ar ir os as lla que se su de co bo"
+    "el los las una por con para como cion mente ado ada idad ar ir os as lla que se su de co bo "
+    "abstract singleton proxy factory bean implementation controller repository component context provider adapter builder template "
+    "prze nia nie owa ego ych sze rzy czy dzie wie wy sta ost ova eni pro pod nych sci ow ki "
+    "zione gli delle ij heid lijk sch een van het aan llan gwyn pwll gog goch wyll dro ty sil gor mor fer ynys"
 ).split()
 
 
@@ -73,10 +76,13 @@ def samples(spark: SparkSession, n: int = SAMPLES) -> DataFrame:
             F.concat_ws("=", words[0], F.concat(words[1], words[2])),
             F.concat(number, F.reverse(number)),
             F.repeat(F.substring(F.lit(ALPHABET), F.pmod("id", F.lit(len(ALPHABET))).cast("int") + 1, F.lit(1)), F.lit(24)),
+            # Identifiers of records, whose digits are hexadecimal but in known groups.
+            F.concat_ws("-", *[F.substring(F.md5(F.concat(F.lit("uuid"), F.col("id").cast("string"))), a, k) for a, k in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]),
+            F.concat(*[F.initcap(w) for w in words]),
             # Sequences of bases.
             F.translate(F.sha2(F.concat(F.lit("bases"), F.col("id").cast("string")), 256), "0123456789abcdef", "ACGTACGTACGTACGT"),
         ),
-        (F.pmod("id", F.lit(14)) + 1).cast("int"),
+        (F.pmod("id", F.lit(16)) + 1).cast("int"),
     )
     digest = F.sha2(F.col("id").cast("string"), 256)
     random = F.element_at(
