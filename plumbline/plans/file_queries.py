@@ -7,18 +7,12 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import models
+from plumbline.operators import explain, models
 from plumbline.plans import artifact, experiment, narrate
 from plumbline.plans.queries import labelled, query, table
 from plumbline.sources import csv_scan, scored_csv, scratch
 
 
-def _lines(spark, lines: list[str], label: str) -> str:  # noqa: ANN001
-    path = scratch.path(spark, label)
-    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(path)
-    return path
-
-
 def _uploaded(spark, sf_dir: str, extra: str) -> DataFrame:  # noqa: ANN001
     """Customers as a user might upload them: quotes, commas, empty cells and, with ``extra``, line breaks."""
     d = table(spark, sf_dir, "customer").selectExpr(
@@ -49,36 +43,41 @@ def csv_row_ids(spark, sf_dir):
     return _uploaded(spark, sf_dir, "").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(c).alias("ids"), F.min(c).alias("first"), F.max(c).alias("last"))
 
 
-_REFUSED = {
-    "semicolons": (["a;b", "1;2"], "wrong-delimiter", {"delimiter": ";"}),
-    "tabs": (["a\tb", "1\t2"], "wrong-delimiter", {"delimiter": "\t"}),
-    "header alone": (["a,b"], "empty", {}),
-    "nothing": ([""], "empty", {}),
-    "same name twice": (["a,a", "1,2"], "duplicate-header", {"names": ["a"]}),
-    "too few fields": (["a,b", "1,2", "3"], "ragged", {"row": 3, "expected": 2, "found": 1}),
-    "too many fields": (["a,b", "1,2,3"], "ragged", {"row": 2, "expected": 2, "found": 3}),
-    "too many rows": (["a,b", "1,2", "3,4", "5,6"], "too-many-rows", {"rows": 3, "max_rows": 2}),
-    "too many bytes": (["a,b", "1," + "2" * 200], "too-large", {"bytes": 207, "max_bytes": 100}),
-    "a byte order mark": (["﻿a,b", "1,2"], "read", {"columns": ["a", "b"]}),
-    "a quoted semicolon": (['"a;b",c', "1,2"], "read", {"columns": ["a;b", "c"]}),
-    "blank lines": (["a,b", "", "1,2", "", "3,4"], "read", {"columns": ["a", "b"]}),
-}
-
-
 def _values(rows: list[tuple], names: str) -> str:
     quote = lambda x: "NULL" if x is None else "'" + str(x).replace("'", "''") + "'"
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(quote, r)) + ')' for r in rows)}) AS v({names})"
 
 
-@query("src02_csv_refusals", _values([(name, code, json.dumps(facts)) for name, (_, code, facts) in _REFUSED.items()], "given, outcome, facts"))
+# Customers written as files that are to be refused, or read all the same: name -> (lines, limits, outcome and facts in SQL).
+_ROW = "concat(CAST(c_custkey AS STRING), {sep}, c_mktsegment)"
+_REFUSED = {
+    "semicolons": ("a;b", _ROW.format(sep="';'"), {}, "'wrong-delimiter', ';'"),
+    "tabs": ("a\tb", _ROW.format(sep="'\t'"), {}, "'wrong-delimiter', '\t'"),
+    "same name twice": ("a,a", _ROW.format(sep="','"), {}, "'duplicate-header', 'a'"),
+    "too few fields": ("a,b", "IF(c_custkey = 20, '20', " + _ROW.format(sep="','") + ")", {}, "'ragged', (SELECT CAST(count(*) + 2 AS VARCHAR) || ' 2 1' FROM customer WHERE c_custkey < 20)"),
+    "too many fields": ("a,b", "IF(c_custkey = 33, '1,2,3', " + _ROW.format(sep="','") + ")", {}, "'ragged', (SELECT CAST(count(*) + 2 AS VARCHAR) || ' 2 3' FROM customer WHERE c_custkey < 33)"),
+    "too many rows": ("a,b", _ROW.format(sep="','"), {"max_rows": 50}, "'too-many-rows', (SELECT CAST(count(*) AS VARCHAR) || ' 50' FROM customer)"),
+    "too many bytes": ("a,b", _ROW.format(sep="','"), {"max_bytes": 100}, "'too-large', (SELECT CAST(sum(length(CAST(c_custkey AS VARCHAR)) + length(c_mktsegment) + 2) + 4 AS VARCHAR) || ' 100' FROM customer)"),
+    "a byte order mark": ("\ufeffa,b", _ROW.format(sep="','"), {}, "'read', (SELECT 'a,b ' || CAST(count(*) AS VARCHAR) FROM customer)"),
+    "a quoted semicolon": ('"a;b",c', _ROW.format(sep="','"), {}, "'read', (SELECT 'a;b,c ' || CAST(count(*) AS VARCHAR) FROM customer)"),
+    "blank lines": ("a,b", "IF(c_custkey % 7 = 0, '', " + _ROW.format(sep="','") + ")", {}, "'read', (SELECT 'a,b ' || CAST(count(*) AS VARCHAR) FROM customer WHERE c_custkey % 7 <> 0)"),
+    "header alone": ("a,b", "IF(c_custkey > 0, ' ', '')", {}, "'empty', ''"),
+}
+
+
+@query("src02_csv_refusals", "\nUNION ALL ".join(f"SELECT '{name}' AS given, outcome, facts FROM (SELECT {sql}) AS v(outcome, facts)" for name, (*_, sql) in _REFUSED.items()))
 def csv_refusals(spark, sf_dir):
-    rows = []
-    for name, (lines, _, _) in _REFUSED.items():
+    rows, customers = [], table(spark, sf_dir, "customer")
+    for name, (header, line, limits, _) in _REFUSED.items():
+        path = scratch.path(spark, "refused")
+        head = customers.limit(1).select(F.lit(-1).cast("long").alias("k"), F.lit(header).alias("value"))
+        # One file, so that its order is that of the keys.
+        head.union(customers.select("c_custkey", F.expr(line))).coalesce(1).sortWithinPartitions("k").select("value").write.text(path)
         try:
-            d = csv_scan.read(spark, _lines(spark, lines, "refused"), csv_scan.Limits(100, 2))
-            rows.append((name, "read", json.dumps({"columns": [c for c in d.columns if c != csv_scan.ROW_ID]})))
+            d = csv_scan.read(spark, path, csv_scan.Limits(**limits))
+            rows.append((name, "read", f"{','.join(c for c in d.columns if c != csv_scan.ROW_ID)} {d.count()}"))
         except csv_scan.CsvError as e:
-            rows.append((name, e.code, json.dumps(e.facts)))
+            rows.append((name, e.code, " ".join(",".join(x) if isinstance(x, list) else str(x) for x in e.facts.values())))
     return spark.createDataFrame(rows, "given string, outcome string, facts string")
 
 
@@ -134,36 +133,33 @@ _PAYLOAD = {
     "explainability": {"method": "permutation", "scoring": "auc", "features": [{"name": "años", "kind": "numeric", "importance": 0.12, "direction": "positive"}, {"name": "canal", "kind": "categorical", "importance": 0.05, "direction": None}]},
     "leakage": [],
 }
-_SAID = {"verdict_level": "beats", "narrative": "The model beats the baseline, mostly by ANOS and a little by its canal.", "claims": [{"feature": "años", "direction": "positive", "importance": 0.124}, {"feature": "canal", "direction": "none", "importance": 0.05}]}
-_CLAIMS = _SAID["claims"]
-_VERIFIED = [
-    ("true", {}, None),
-    ("another verdict", {"verdict_level": "ties"}, "wrong-verdict"),
-    ("a feature that is none", {"claims": [_CLAIMS[0] | {"feature": "region"}]}, "unknown-feature"),
-    ("the wrong way", {"claims": [_CLAIMS[0] | {"direction": "negative"}]}, "wrong-direction"),
-    ("the wrong size", {"claims": [_CLAIMS[0] | {"importance": 0.2}]}, "wrong-importance"),
-    ("a claim not made", {"narrative": "The model beats the baseline, mostly by its canal and little else."}, "claim-not-in-narrative"),
-    ("a feature without a claim", {"claims": _CLAIMS[:1]}, "unclaimed-feature-mention"),
-]
-
-
-@query("nar03_verified_claims", _values([(name, why) for name, _, why in _VERIFIED], "given, refused"))
-def verified_claims(spark, sf_dir):
-    return spark.createDataFrame([(name, narrate.verify(_PAYLOAD, _SAID | change)) for name, change, _ in _VERIFIED], "given string, refused string")
+_FOUND = ["l_quantity", "l_extendedprice", "l_discount", "l_orderkey"]
+_O_CORRELATED = "\nUNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS n, corr({c}, CAST(l_returnflag = 'N' AS DOUBLE)) AS r FROM lineitem" for c in _FOUND)
 
 
-_REQUESTS = [
-    ("as it should be", {}, True),
-    ("rows of the table", {"rows": [["1"]]}, False),
-    ("no metrics", {"metrics": {}}, False),
-    ("a share over 1", {"metrics": _PAYLOAD["metrics"] | {"auc": 1.5}}, False),
-    ("nine leaks", {"leakage": ["x"] * 9}, False),
-    ("an alert with a cell", {"eda": [{"kind": "id-like", "column": "a", "cell": "1"}]}, False),
-    ("an alert", {"eda": [{"kind": "class-imbalance", "minority_rate": 0.1}]}, True),
-    ("a long name", {"target": "t" * 121}, False),
-]
-
-
-@query("nar04_requests", "SELECT given, kept = 'True' AS kept FROM (" + _values([(n, k) for n, _, k in _REQUESTS], "given, kept") + ")")
+@query(
+    "nar03_verified_claims",
+    f"""WITH f AS (SELECT feature, CASE WHEN abs(r) >= greatest(0.05, 2 / sqrt(n)) THEN CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END ELSE 'none' END AS direction FROM ({_O_CORRELATED}))
+        SELECT feature, claimed, change, CASE WHEN change = 'verdict' THEN 'wrong-verdict' WHEN change = 'silent' THEN 'unclaimed-feature-mention' WHEN claimed <> direction THEN 'wrong-direction' WHEN change = 'size' THEN 'wrong-importance' END AS refused
+        FROM f, (VALUES ('positive'), ('negative'), ('none')) c(claimed), (VALUES ('as told'), ('verdict'), ('size'), ('silent')) d(change)""",
+)
+def verified_claims(spark, sf_dir):
+    """Claims of each direction about features of lineitem, whose directions the table tells."""
+    d = table(spark, sf_dir, "lineitem").withColumn("y", (F.col("l_returnflag") == "N").cast("double"))
+    ways, rows = {r["column"]: r["direction"] for r in explain.directions(d, _FOUND).collect()}, []  # a row for each feature
+    for c in _FOUND:
+        feature = {"name": c, "kind": "numeric", "importance": 0.12, "direction": ways[c]}
+        payload = _PAYLOAD | {"explainability": {"method": "permutation", "scoring": "auc", "features": [feature]}}
+        for claimed in ("positive", "negative", "none"):
+            said = {"verdict_level": "beats", "narrative": f"The model beats the baseline, mostly by its {c} and by little else.", "claims": [{"feature": c, "direction": claimed, "importance": 0.12}]}
+            changes = {"as told": {}, "verdict": {"verdict_level": "ties"}, "size": {"claims": [said["claims"][0] | {"importance": 0.3}]}, "silent": {"claims": []}}
+            rows += [(c, claimed, name, narrate.verify(payload, said | change)) for name, change in changes.items()]
+    return spark.createDataFrame(rows, "feature string, claimed string, change string, refused string")
+
+
+@query("nar04_requests", "SELECT p_brand, p_size, length(repeat(p_brand, p_size)) BETWEEN 1 AND 120 AND n <= 20 AS kept FROM (SELECT p_brand, p_size, count(*) AS n FROM part GROUP BY 1, 2)")
 def requests(spark, sf_dir):
-    return spark.createDataFrame([(n, narrate.check_request(_PAYLOAD | change)) for n, change, _ in _REQUESTS], "given string, kept boolean")
+    """Requests whose target has a name as long as a part's size makes it, and an alert for each part of that brand and size."""
+    found = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").count().collect()  # a row for each brand and size
+    alert = {"kind": "class-imbalance", "minority_rate": 0.1}
+    return spark.createDataFrame([(r["p_brand"], r["p_size"], narrate.check_request(_PAYLOAD | {"target": r["p_brand"] * r["p_size"], "eda": [alert] * r["count"]})) for r in found], "p_brand string, p_size int, kept boolean")

@@ -555,10 +555,14 @@ def unseen_categories_anti_join(spark, sf_dir):
     return score.unseen_rows(d, "o_orderpriority", seen).select("o_orderkey", "o_orderpriority")
 
 
-@query("set01_schema_check", "SELECT 'o_clerk' AS missing, 'o_orderkey,o_custkey,o_orderdate' AS extra, true AS target_present, false AS ok")
+@query("set01_schema_check", "SELECT 'o_clerk' AS missing, 'o_orderkey,o_custkey,o_orderdate' AS extra, true AS target_present, false AS ok, CAST(0 AS BIGINT) AS scored UNION ALL SELECT '', 'o_orderkey,o_custkey,o_orderdate', true, true, count(*) FROM orders")
 def schema_check(spark, sf_dir):
-    c = score.check_schema(table(spark, sf_dir, "orders").columns, ["o_totalprice", "o_orderpriority", "o_clerk"], "o_orderstatus")
-    return spark.createDataFrame([(",".join(c.missing), ",".join(c.extra), c.target_present, c.ok)], "missing string, extra string, target_present boolean, ok boolean")
+    """New orders against a model that needs a column they lack, and one that does not; what is refused is not scored."""
+    d, rows = table(spark, sf_dir, "orders"), []
+    for more in (["o_clerk"], []):
+        c = score.check_schema(d.columns, ["o_totalprice", "o_orderpriority", *more], "o_orderstatus")
+        rows.append((",".join(c.missing), ",".join(c.extra), c.target_present, c.ok, d.count() if c.ok else 0))
+    return spark.createDataFrame(rows, "missing string, extra string, target_present boolean, ok boolean, scored bigint")
 
 
 # Scored output, of a rule in place of a model.
@@ -579,36 +583,47 @@ def prediction_distribution(spark, sf_dir):
 
 # Random numbers and tables made by rule.
 
-def o_uniform(seed: int, n: int) -> str:
-    """A table expression (id, u) of the first n numbers of a seed's sequence."""
-    state = f"(SELECT i, ({seed} + (i + 1) * 1831565813) & 4294967295 AS s FROM range({n}) t(i))"
-    return f"""(SELECT i AS id, xor(m, m >> 14) / 4294967296.0::DOUBLE AS u FROM (
-        SELECT i, xor(m, (m + ({o_times("xor(m, m >> 7)", "m | 61")})) & 4294967295) AS m FROM (
-            SELECT i, {o_times("xor(s, s >> 15)", "s | 1")} AS m FROM {state})))"""
+def o_uniform_of(ks: str, seed: int) -> str:
+    """A table expression (k, u) of the numbers k (from 0) of a seed's sequence, for a table expression of k."""
+    state = f"(SELECT k, ({seed} + (k + 1) * 1831565813) & 4294967295 AS s FROM {ks})"
+    return f"""(SELECT k, xor(m, m >> 14) / 4294967296.0::DOUBLE AS u FROM (SELECT k, xor(m, (m + ({o_times("xor(m, m >> 7)", "m | 61")})) & 4294967295) AS m FROM (
+        SELECT k, {o_times("xor(s, s >> 15)", "s | 1")} AS m FROM {state})))"""
 
 
-@query("win03_counter_random", f"SELECT * FROM {o_uniform(42, 5000)}")
+@query("win03_counter_random", f"SELECT k AS doc_id, u FROM {o_uniform_of('(SELECT doc_id AS k FROM labels)', 42)}")
 def counter_random(spark, sf_dir):
-    return uniform(spark.range(5000), F.col("id"), split.SEED, "u")
+    return uniform(table(spark, sf_dir, "labels").select("doc_id"), F.col("doc_id"), split.SEED, "u")
 
 
-@query("src12_synthetic_loans")
-def synthetic_loans(spark, sf_dir):
-    return synthetic.loans(spark, 2000)
+# Synthetic columns for each customer, by its key.
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("__row_id"))
+
+
+def _o_draws(columns: int, seed: int) -> str:
+    drawn = o_uniform_of(f"(SELECT c_custkey * {columns} + j AS k FROM customer, range({columns}) t(j))", seed)
+    return f"(SELECT k // {columns} AS i, {', '.join(f'max(CASE WHEN k % {columns} = {j} THEN u END) AS u{j}' for j in range(columns))} FROM {drawn} GROUP BY 1)"
 
 
-def _o_draws(columns: int, seed: int, n: int) -> str:
-    return f"(SELECT id // {columns} AS i, {', '.join(f'max(CASE WHEN id % {columns} = {j} THEN u END) AS u{j}' for j in range(columns))} FROM {o_uniform(seed, n * columns)} GROUP BY 1)"
+@query(
+    "src12_synthetic_loans",
+    f"""SELECT i AS row_id, income, amount, rating, work, defaulted, CASE WHEN defaulted = 1 THEN CAST(floor(amount * (0.1 + 0.4 * u5)) AS INT) ELSE 0 END AS recovered FROM (
+        SELECT *, CAST(u4 < 1 / (1 + exp(-(amount / 8000.0::DOUBLE - rating / 300.0::DOUBLE + 0.6))) AS INT) AS defaulted FROM (
+            SELECT i, u4, u5, CAST(floor(u0 * 5001 + 1200) AS INT) AS income, CAST(floor(u1 * 20001 + 2000) AS INT) AS amount, CAST(floor(u2 * 551 + 300) AS INT) AS rating, ['formal', 'informal', 'own'][CAST(floor(u3 * 3) AS INT) + 1] AS work FROM {_o_draws(6, 303)}))""",
+)
+def synthetic_loans(spark, sf_dir):
+    return synthetic.loans(spark, _customers(spark, sf_dir)).withColumnRenamed("__row_id", "row_id")
 
 
 @query(
     "src12_synthetic_marketing",
     f"""SELECT i AS row_id, age, income, visits, opened, region, device, CAST(u6 < CASE WHEN (device = 'mobile' AND visits >= 22) OR (device = 'desktop' AND opened >= 11) THEN 0.85 ELSE 0.15 END AS INT) AS converted FROM (
         SELECT i, u6, CAST(floor(18 + u0 * 50 + 0.5) AS INT) AS age, CAST(floor(1500 + u1 * 6000 + 0.5) AS INT) AS income, CAST(floor(u2 * 40 + 0.5) AS INT) AS visits, CAST(floor(u3 * 20 + 0.5) AS INT) AS opened,
-            ['north', 'south', 'east', 'west'][CAST(floor(u4 * 4) AS INT) + 1] AS region, ['mobile', 'desktop'][CAST(floor(u5 * 2) AS INT) + 1] AS device FROM {_o_draws(7, 101, 2000)})""",
+            ['north', 'south', 'east', 'west'][CAST(floor(u4 * 4) AS INT) + 1] AS region, ['mobile', 'desktop'][CAST(floor(u5 * 2) AS INT) + 1] AS device FROM {_o_draws(7, 101)})""",
 )
 def synthetic_marketing(spark, sf_dir):
-    return synthetic.marketing(spark, 2000).withColumnRenamed("__row_id", "row_id")
+    return synthetic.marketing(spark, _customers(spark, sf_dir)).withColumnRenamed("__row_id", "row_id")
 
 
 @query("agg21_importance_of_rules", "SELECT feature, avg(loss) AS importance, stddev_pop(loss) AS std FROM (" + union([

@@ -11,9 +11,9 @@ from plumbline.functions.random import uniform
 REPEATED = 20
 
 
-def _draws(spark: SparkSession, n: int, seed: int, columns: int) -> DataFrame:
-    """n rows with __row_id and u0, u1, ...: independent numbers in [0, 1)."""
-    d = spark.range(n).withColumnRenamed("id", "__row_id")
+def _draws(spark: SparkSession, n: int | DataFrame, seed: int, columns: int) -> DataFrame:
+    """n rows, or one for each __row_id of a table, with u0, u1, ...: independent numbers in [0, 1), a function of the id alone."""
+    d = n.select(F.col("__row_id").cast("long").alias("__row_id")) if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "__row_id")
     for j in range(columns):
         d = uniform(d, F.col("__row_id") * columns + j, seed, f"u{j}")
     return d
@@ -32,7 +32,7 @@ def _chance(logit: Column, u: str) -> Column:
     return (F.col(u) < 1 / (1 + F.exp(-logit))).cast("int")
 
 
-def marketing(spark: SparkSession, n: int = 200, seed: int = 101) -> DataFrame:
+def marketing(spark: SparkSession, n: int | DataFrame = 200, seed: int = 101) -> DataFrame:
     """Who buys: on a phone those who visit often, on a desktop those who open mails. No sum of the columns tells them, a tree does."""
     d = _draws(spark, n, seed, 7)
     span = lambda u, low, width: F.round(low + F.col(u) * width).cast("int")
@@ -41,7 +41,7 @@ def marketing(spark: SparkSession, n: int = 200, seed: int = 101) -> DataFrame:
     return d.withColumn("converted", (F.col("u6") < F.when(keen, 0.85).otherwise(0.15)).cast("int")).drop("u6")
 
 
-def attrition(spark: SparkSession, n: int = 200, seed: int = 202) -> DataFrame:
+def attrition(spark: SparkSession, n: int | DataFrame = 200, seed: int = 202) -> DataFrame:
     """Who leaves: the less satisfied, and those who work more. The signal is a weak one, with noise in it."""
     d = _draws(spark, n, seed, 8)
     d = d.select("__row_id", F.round(22 + F.col("u0") * 40).cast("int").alias("age"), F.round(F.col("u1") * 15, 1).alias("years"), F.round(120 + F.col("u2") * 100).cast("int").alias("hours"), F.round("u3", 2).alias("satisfaction"), _pick("u4", ["sales", "engineering", "support", "people"]).alias("department"), _pick("u5", ["yes", "no"]).alias("overtime"), "u6", "u7")
@@ -49,7 +49,7 @@ def attrition(spark: SparkSession, n: int = 200, seed: int = 202) -> DataFrame:
     return d.withColumn("left", _chance(logit, "u7")).drop("u6", "u7")
 
 
-def loans(spark: SparkSession, n: int = 200, seed: int = 303) -> DataFrame:
+def loans(spark: SparkSession, n: int | DataFrame = 200, seed: int = 303) -> DataFrame:
     """``recovered`` is above 0 just where the loan defaulted: a planted leak."""
     d = _draws(spark, n, seed, 6)
     d = d.select("__row_id", _whole("u0", 1200, 6200).alias("income"), _whole("u1", 2000, 22000).alias("amount"), _whole("u2", 300, 850).alias("rating"), _pick("u3", ["formal", "informal", "own"]).alias("work"), "u4", "u5")
