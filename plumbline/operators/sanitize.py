@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import cells
 from plumbline.operators.profile import distinct_cells
+from plumbline.sources import scratch
 
 #: Share of numbers from which a column counts as numeric with junk in it.
 MOSTLY_NUMERIC = 0.9
@@ -71,8 +72,12 @@ def null_junk(df: DataFrame, name: str) -> Column:
 def sanitize(df: DataFrame, row_id: str) -> tuple[DataFrame, Report]:
     """Removes repeated rows, constant columns and exact identifiers, and empties junk among numbers."""
     names = [c for c in df.columns if c != row_id]
-    once = deduplicate(df, row_id)
-    counts = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    # Each row is shuffled once; how often it was there comes with it, so that rows need no pass of their own to be counted.
+    times = "__times"
+    counted = df.groupBy(*names).agg(F.min(row_id).alias(row_id), F.count(F.lit(1)).alias(times)).select(*df.columns, times)
+    stored = scratch.stash(counted, "sanitized")
+    once = stored.drop(times)
+    counts = stored.agg(F.coalesce(F.sum(times), F.lit(0)).alias("n")).first()["n"]
     facts = sorted(decisions(column_facts(once, names)).collect(), key=lambda r: r["pos"])  # a row per column
     after = facts[0]["present"] + facts[0]["nulls"] if facts else once.count()
     excluded = [(r["column"], r["exclusion"]) for r in facts if r["exclusion"]]
