@@ -663,6 +663,49 @@ def model_scores(spark, sf_dir):
     return fitted.score(d)
 
 
+# Permuted columns, feature selection, and what is shown of a scored table.
+
+
+def o_permuted(column: str) -> str:
+    order = "PARTITION BY repeat ORDER BY md5(concat_ws('|', '42', CAST(repeat AS VARCHAR), CAST(doc_id AS VARCHAR))), CAST(doc_id AS VARCHAR)"
+    moved = f"coalesce(lead({column}) OVER ({order}), first_value({column}) OVER ({order}))"
+    return f"""SELECT doc_id, '{column}' AS feature, repeat, {moved if column == "quality" else "quality"} AS quality, {moved if column == "toxic" else "toxic"} AS toxic
+        FROM labels, (SELECT CAST(i AS INT) AS repeat FROM range(3) t(i))"""
+
+
+@query("win05_permuted_columns", union([o_permuted("quality"), o_permuted("toxic")]))
+def permuted_columns(spark, sf_dir):
+    return explain.permuted(table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"], [], 3).select("doc_id", "feature", "repeat", "quality", "toxic")
+
+
+@query(
+    "prj07_selected_features",
+    f"""SELECT "column" AS name, CASE WHEN present > 0 AND numbers = present THEN 'numeric' ELSE 'categorical' END AS kind
+        FROM ({o_facts(_O_MESSY, _MESSY_COLUMNS)}) JOIN ({union([f"SELECT '{c}' AS c, count(CASE WHEN NOT {o_null(c)} AND {o_date(c)} THEN 1 END) AS dates FROM {_O_MESSY}" for c in _MESSY_COLUMNS])}) ON c = "column"
+        WHERE "column" NOT IN ('target', 'country') AND NOT (dates >= 0.8 * present AND numbers <> present)""",
+)
+def selected_features(spark, sf_dir):
+    numeric, categorical = profile.features(messy(spark, sf_dir).drop("row_id"), "target", drop=("country",))
+    return spark.createDataFrame([(c, "numeric") for c in numeric] + [(c, "categorical") for c in categorical], "name string, kind string")
+
+
+@query("lim02_scored_preview", "SELECT o_orderkey, CASE WHEN o_totalprice > 150000 THEN 'dear' ELSE 'cheap' END AS prediction FROM orders ORDER BY o_orderkey LIMIT 10")
+def scored_preview(spark, sf_dir):
+    scored = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_totalprice") > 150000, "dear").otherwise("cheap").alias("prediction"))
+    return score.preview(scored, "o_orderkey")
+
+
+# A column that gives the target away, beside one that does not.
+_O_GIVEN = "(SELECT *, l_quantity + CASE WHEN l_linestatus = 'O' THEN 100 ELSE 0 END AS given FROM lineitem)"
+
+
+@query("agg25_suspicious_columns", "SELECT * FROM (" + union([f"SELECT '{c}' AS \"column\", greatest(a, 1 - a) AS score FROM (SELECT {o_auc(_O_GIVEN, c, _HIT)} AS a)" for c in ("l_quantity", "given")]) + ") WHERE score >= 0.98")
+def suspicious_columns(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").withColumn("given", F.col("l_quantity") + F.when(F.col("l_linestatus") == "O", 100).otherwise(0))
+    found = leakage.findings(d, F.col("l_linestatus") == "O", ["l_quantity", "given"])
+    return spark.createDataFrame([(c, x) for c, x, _ in found], "column string, score double")
+
+
 # A league: folds, choices from predictions of rules in place of models, and the whole of it.
 
 @query("ml12_stratified_folds", "SELECT doc_id, quality, CAST((row_number() OVER (PARTITION BY quality ORDER BY md5('42|' || CAST(doc_id AS VARCHAR)), doc_id) - 1) % 5 AS INT) AS fold FROM labels")
