@@ -606,14 +606,21 @@ def _o_draws(columns: int, seed: int) -> str:
     return f"(SELECT k // {columns} AS i, {', '.join(f'max(CASE WHEN k % {columns} = {j} THEN u END) AS u{j}' for j in range(columns))} FROM {drawn} GROUP BY 1)"
 
 
-@query(
-    "src12_synthetic_loans",
-    f"""SELECT i AS row_id, income, amount, rating, work, defaulted, CASE WHEN defaulted = 1 THEN CAST(floor(amount * (0.1 + 0.4 * u5)) AS INT) ELSE 0 END AS recovered FROM (
-        SELECT *, CAST(u4 < 1 / (1 + exp(-(amount / 8000.0::DOUBLE - rating / 300.0::DOUBLE + 0.6))) AS INT) AS defaulted FROM (
-            SELECT i, u4, u5, CAST(floor(u0 * 5001 + 1200) AS INT) AS income, CAST(floor(u1 * 20001 + 2000) AS INT) AS amount, CAST(floor(u2 * 551 + 300) AS INT) AS rating, ['formal', 'informal', 'own'][CAST(floor(u3 * 3) AS INT) + 1] AS work FROM {_o_draws(6, 303)}))""",
-)
+# The sequential way, one row after another: a row takes a seventh number where it defaulted.
+_O_LOANS = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT k, u FROM {o_uniform_of("(SELECT c_custkey * 7 + j AS k FROM (SELECT row_number() OVER () - 1 AS c_custkey FROM customer), range(7) t(j))", 303)}),
+    w AS MATERIALIZED (SELECT list(u ORDER BY k) AS a FROM u),
+    d AS MATERIALIZED (SELECT k, floor(1200 + a[k + 1] * 5000 + 0.5) AS income, floor(2000 + a[k + 2] * 20000 + 0.5) AS amount, floor(300 + a[k + 3] * 550 + 0.5) AS rating, ['formal', 'informal', 'own'][CAST(floor(a[k + 4] * 3) AS INT) + 1] AS work, a[k + 5] AS noise, a[k + 6] AS chance, a[k + 7] AS share FROM u, w),
+    e AS MATERIALIZED (SELECT *, CAST(chance < 1 / (1 + exp(-(2.5 - 0.006 * rating + 0.00004 * amount + CASE WHEN work = 'informal' THEN 0.5 ELSE 0 END + (noise - 0.5)))) AS INT) AS defaulted FROM d),
+    r AS (SELECT 0 AS i, CAST(0 AS BIGINT) AS begun UNION ALL SELECT i + 1, begun + 6 + defaulted FROM r JOIN e ON e.k = r.begun WHERE i < (SELECT count(*) FROM customer))
+    SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(income AS INT) AS income, CAST(amount AS INT) AS amount, CAST(rating AS INT) AS rating, work, defaulted, CASE WHEN defaulted = 1 THEN CAST(floor(amount * (0.1 + share * 0.4) + 0.5) AS INT) ELSE 0 END AS recovered
+    FROM r JOIN e ON e.k = r.begun JOIN customer ON c_custkey = r.i + 1"""
+
+
+@query("src12_synthetic_loans", _O_LOANS)
 def synthetic_loans(spark, sf_dir):
-    return synthetic.loans(spark, _customers(spark, sf_dir)).withColumnRenamed("__row_id", "row_id")
+    keys = _customers(spark, sf_dir)
+    made = synthetic.loans(spark, keys.count()).withColumn("__row_id", F.col("__row_id") + 1)
+    return keys.join(made, "__row_id").withColumnRenamed("__row_id", "c_custkey")
 
 
 @query(

@@ -322,6 +322,27 @@ def test_published_tables(spark):
     assert eda.class_rates(m, "converted") == (0.425, 0.425, False) and metrics.primary_metric(0.425) == "f1" and metrics.primary_metric(0.32) == "auc"
 
 
+def test_published_tables_whose_rows_take_varying_numbers(spark):
+    loans, dirty = synthetic.loans(spark), synthetic.messy_customers(spark)
+    distinct = {"income": 197, "amount": 199, "rating": 175, "work": 3, "recovered": 91, "defaulted": 2}
+    assert {r["name"]: r["cardinality"] for r in profile.profile(loans.drop("__row_id")).collect()} == distinct
+    assert profile.two_classes(loans, "defaulted") == [("0", 110), ("1", 90)]
+    want = {"income": 0.5107, "amount": 0.6226, "rating": 0.7045, "work": 0.5650, "recovered": 1.0}
+    assert {r["column"]: round(r["score"], 4) for r in leakage.scores(loans, F.col("defaulted") == 1, [*want]).collect()} == want
+    train, test = split.compatible([str(r["defaulted"]) for r in loans.orderBy("__row_id").collect()])
+    assert (len(train), len(test)) == (149, 51) and test[:8] == [2, 4, 9, 11, 13, 16, 19, 26]
+    rows = dirty.orderBy("__row_id").collect()
+    assert len(rows) == 200 and [r["__row_id"] for r in rows] == list(range(200))
+    counts = {c: sum(r["channel"] == c for r in rows) for c in ("fax", "phone", "shop", "web")}
+    assert counts == {"fax": 3, "phone": 63, "shop": 66, "web": 68} and sum(r["signed"] == "no" for r in rows) == 173
+    kept, report = sanitize.sanitize(dirty, "__row_id")
+    assert report.duplicates == 10 and report.exclusions == [("customer", "id-column"), ("country", "constant-column")] and report.coercions == [("age", 5)]
+    want = {"age": 0.5029, "income": 0.6936, "channel": 0.8632}
+    assert {r["column"]: round(r["score"], 4) for r in leakage.scores(kept, F.col("signed") == "yes", [*want]).collect()} == want
+    train, test = split.compatible([r["signed"] for r in kept.orderBy("__row_id").collect()])
+    assert (len(train), len(test)) == (142, 48) and test[:8] == [3, 6, 14, 16, 17, 20, 22, 23]
+
+
 def test_vocabularies_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(preprocess, "MAX_CATEGORIES", 5)
     d = spark.createDataFrame([(f"v{i}", "ab"[i % 2]) for i in range(6)], "many string, few string")
