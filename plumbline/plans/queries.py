@@ -613,14 +613,13 @@ _O_LOANS = f"""WITH RECURSIVE u AS MATERIALIZED (SELECT k, u FROM {o_uniform_of(
     e AS MATERIALIZED (SELECT *, CAST(chance < 1 / (1 + exp(-(2.5 - 0.006 * rating + 0.00004 * amount + CASE WHEN work = 'informal' THEN 0.5 ELSE 0 END + (noise - 0.5)))) AS INT) AS defaulted FROM d),
     r AS (SELECT 0 AS i, CAST(0 AS BIGINT) AS begun UNION ALL SELECT i + 1, begun + 6 + defaulted FROM r JOIN e ON e.k = r.begun WHERE i < (SELECT count(*) FROM customer))
     SELECT CAST(c_custkey AS BIGINT) AS c_custkey, CAST(income AS INT) AS income, CAST(amount AS INT) AS amount, CAST(rating AS INT) AS rating, work, defaulted, CASE WHEN defaulted = 1 THEN CAST(floor(amount * (0.1 + share * 0.4) + 0.5) AS INT) ELSE 0 END AS recovered
-    FROM r JOIN e ON e.k = r.begun JOIN customer ON c_custkey = r.i + 1"""
+    FROM r JOIN e ON e.k = r.begun JOIN customer ON c_custkey = r.i"""
 
 
 @query("src12_synthetic_loans", _O_LOANS)
 def synthetic_loans(spark, sf_dir):
     keys = _customers(spark, sf_dir)
-    made = synthetic.loans(spark, keys.count()).withColumn("__row_id", F.col("__row_id") + 1)
-    return keys.join(made, "__row_id").withColumnRenamed("__row_id", "c_custkey")
+    return keys.join(synthetic.loans(spark, keys.count()), "__row_id").withColumnRenamed("__row_id", "c_custkey")
 
 
 @query(
