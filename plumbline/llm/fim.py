@@ -94,7 +94,8 @@ def transform(
     others. prefix_chars and middle_chars count code points, and are null where
     plain. A row's cuts depend on its own id and text alone: repeated rows get
     the same ones, rows are neither dropped nor moved, an empty table gives
-    none. Of other columns only one named ``into`` is replaced. A text is held
+    none. Of other columns only one named ``into`` is replaced. Bytes that are no
+    valid UTF-8 go to the output as they are, a code point each. A text is held
     whole, at about ten times its bytes while it is cut.
     """
     _check(marks, unit)
@@ -114,7 +115,7 @@ def transform(
 
 
 def restored(output: Column, form: Column, marks: tuple[str, str, str] = MARKS) -> Column:
-    """The text that an output of ``transform`` was made from; null of a null output."""
+    """The text that an output of ``transform`` was made from, exact for valid UTF-8; null of a null output."""
     p, s, m = marks
     spm = form == "spm"
     choose = lambda x, y: F.when(spm, x).otherwise(y)

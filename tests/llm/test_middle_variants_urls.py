@@ -178,6 +178,15 @@ def test_listed_rules(spark):
         urls.judge(pages, listed=[("drop", "a", "/")])
 
 
+def test_urls_and_texts_of_invalid_bytes(spark):
+    d = spark.sql("SELECT id AS doc_id, cast(X'616263FF626364C3' AS string) AS text, cast(X'687474703A2F2F61FF2E6E65742F78' AS string) AS url, true AS block FROM range(30)")
+    assert {(r["judged"]["host"], r["judged"]["rule"]) for r in urls.judge(d).collect()} == {("a\ufffd.net", "net/")}
+    assert urls.mine(d).default == urls.BLOCK
+    made = fim.transform(d, plain=0).select("fim.n", F.length(F.col("fim.output").cast("binary")).alias("bytes")).collect()
+    assert {(r["n"], r["bytes"]) for r in made} == {(8, 17)}
+    assert {r["word"]: r["n"] for r in variants.words(d, length=2).collect()} == {"abc": 30, "bcd": 30}
+
+
 def labelled_urls():
     draw, rows = np.random.default_rng(11), []
     for i in range(600):
