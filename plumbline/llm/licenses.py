@@ -129,22 +129,22 @@ KNOWN = [
 
 #: Licence, length and SHA-256 of the normalised entire text, with its appendix and up to its end of terms. ``digests_of`` gives them.
 DIGESTS: list[tuple[str, int, str]] = [
-    ("Apache-2.0", 8746, "812077d8c127a9bbd42473cd95b6cfaab17a824888d268b39c1f5023a7e6a5bb"),
-    ("Apache-2.0", 9762, "b41b69f0dea0598ca720f95f7c676dc79782779377951993e5bdd566fec422f3"),
-    ("Artistic-1.0-Perl", 5653, "f273930184a9b8de03336e9ae5d74bef291165524044f55455ee5117f494811a"),
+    ("Apache-2.0", 8866, "f45538b138cf9aea39fa205de037a0bede8305e68281650e7ab809a8b3ebb2f0"),
+    ("Apache-2.0", 9882, "e87dea5078ce2faaea46d3475af18d30a5c0ac0f09425b60b3e0c6569f72f8d2"),
+    ("Artistic-1.0-Perl", 5833, "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
     ("CC0-1.0", 6692, "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
-    ("GFDL-1.2-only", 19514, "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f"),
-    ("GFDL-1.3-only", 21882, "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4"),
+    ("GFDL-1.2-only", 19583, "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60"),
+    ("GFDL-1.3-only", 22018, "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826"),
     ("GPL-1.0-only", 9415, "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"),
-    ("GPL-1.0-only", 11702, "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c"),
-    ("GPL-2.0-only", 14419, "e4d14510e41435c3eb12c255b72546a3cb9943f06f209c72bc30a19095b08999"),
-    ("GPL-2.0-only", 17053, "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1"),
-    ("GPL-3.0-only", 30766, "f7bb29d9a31c3a1a68ccff0d8d9053350dc0b10b52b62d46d0f2e36a41e32975"),
-    ("GPL-3.0-only", 33204, "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349"),
-    ("LGPL-2.0-only", 22146, "a07313094d4e63b099417491ebc80c933bf85c36d5afddbf13be9a11457c8513"),
-    ("LGPL-2.0-only", 23936, "96685b4d8003c3671feddcde58622afa814a3ac15dcc419f38b388aff5e16d1d"),
-    ("LGPL-2.1-only", 23234, "bfe8e5dc6cef43d0c4777d9c1891f596159cda682ef40545ad2105f66b9746f1"),
-    ("LGPL-2.1-only", 25023, "22bd2802b7b313faf9750f494c8f07c9eaa0e00ba5b9f7a300e8fa36cfd1319e"),
+    ("GPL-1.0-only", 11765, "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224"),
+    ("GPL-2.0-only", 14483, "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"),
+    ("GPL-2.0-only", 17117, "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821"),
+    ("GPL-3.0-only", 30968, "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"),
+    ("GPL-3.0-only", 33406, "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a"),
+    ("LGPL-2.0-only", 22277, "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"),
+    ("LGPL-2.0-only", 24130, "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908"),
+    ("LGPL-2.1-only", 23365, "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"),
+    ("LGPL-2.1-only", 25217, "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891"),
     ("LGPL-3.0-only", 7104, "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
     ("MPL-1.1", 22447, "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6"),
     ("MPL-2.0", 14341, "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a"),
@@ -156,28 +156,40 @@ def digests_of(spark: SparkSession, texts: list[tuple[str, str]]) -> list[tuple[
     ends = [(i, t[: t.index(_END) + len(_END)]) for i, t in texts if _END in t]
     return sorted((r["license_id"], r["length"], r["digest"]) for r in known_digests(spark, [*texts, *ends]).collect())
 
-#: Lines that name a holder or reserve rights, as they are after case and punctuation.
-_COPYRIGHT = "^(copyright|all rights reserved)( .*)?$"
+#: Lines that name a holder by a sign or a year, or reserve rights, as they are after case and punctuation. A line of a licence's own
+#: prose may begin with the word as well, depending on where it was broken, so the word alone tells nothing but at the head of a text.
+_COPYRIGHT = "^(copyright (c|year|yyyy|[0-9]+)( .*)?|all rights reserved)$"
+#: The first lines of a text, in which "copyright" and any name make a copyright line: at its head or right after a title.
+_HEAD = 2
 #: A sign in brackets before a year, at the beginning of a line.
 _SIGN = r"(?m)^[ \t*#/]*\(c\)[ \t]*([0-9])"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def canonical_lines(text: Column) -> Column:
-    """The normalised lines of text: no empty ones, no copyright lines."""
+    """The normalised lines of text: no empty ones, no copyright lines. Joined, they are the same wherever its prose was broken."""
     t = F.replace(F.translate(F.translate(text, _UPPER, _LOWER), "\r", "\n"), F.lit("©"), F.lit("(c)"))
     t = F.when(F.contains(t, F.lit("(c)")), F.regexp_replace(t, _SIGN, "copyright $1")).otherwise(t)
     t = F.regexp_replace(t, r"[^\p{L}\p{N}\n]+", " ")
     for old, new in SPELLINGS:
         t = F.replace(t, F.lit(old), F.lit(new))
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(x))
-    return F.filter(lines, lambda x: (x != "") & ~x.rlike(_COPYRIGHT))
+    filled = F.filter(lines, lambda x: x != "")
+    return F.filter(filled, lambda x, i: ~(x.rlike(_COPYRIGHT) | ((i < _HEAD) & F.startswith(x, F.lit("copyright ")))))
+
+
+def joined(lines: Column) -> Column:
+    """One text of normalised lines; spellings of two words may have been broken between lines."""
+    t = F.array_join(lines, " ")
+    for old, new in SPELLINGS:
+        t = F.replace(t, F.lit(old), F.lit(new)) if " " in old else t
+    return t
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license_id, length), one row per digest, of the known texts, normalised as any other, and by default of DIGESTS."""
     rows = F.array(*[F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in known or KNOWN])
-    whole = spark.range(1).select(F.explode(rows).alias("k")).select("k.license_id", F.array_join(canonical_lines(F.col("k.text")), " ").alias("t"))
+    whole = spark.range(1).select(F.explode(rows).alias("k")).select("k.license_id", joined(canonical_lines(F.col("k.text"))).alias("t"))
     each = whole.select(F.sha2("t", 256).alias("digest"), "license_id", F.length("t").alias("length"))
     if known is None:
         more = F.array(*[F.struct(F.lit(d).alias("digest"), F.lit(i).alias("license_id"), F.lit(n).alias("length")) for i, n, d in DIGESTS])
@@ -194,7 +206,9 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
     and are no licence. Every row is judged by itself, whatever its id: repeated
     rows are repeated, ids may be null. An empty table gives no rows; other
     columns are ignored. Long texts, and texts of very many lines, cost as
-    their length.
+    their length. Where prose was broken into lines makes no difference, save
+    that copyright lines have to be lines of their own. Only a whole text is
+    a license_id: a licence within a header of code is none.
     """
     found = known_digests(docs.sparkSession, known)
     listed = found.collect()  # a row for each known text, all of which are parameters
@@ -203,7 +217,7 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, id_col: st
     rows = docs.select(F.col(id_col).alias("id"), canonical_lines(text_or_empty(text_col)).alias("lines"))
     hits = F.transform(F.filter("lines", lambda x: F.length(x).isin(lengths)), lambda x: F.element_at(names, F.sha2(x, 256)))
     notices = F.array_join(F.array_sort(F.array_distinct(F.filter(hits, lambda x: x.isNotNull()))), ",")
-    whole = rows.select("id", F.sha2(F.array_join("lines", " "), 256).alias("digest"), notices.alias("notices"))
+    whole = rows.select("id", F.sha2(joined(F.col("lines")), 256).alias("digest"), notices.alias("notices"))
     out = whole.join(F.broadcast(found), "digest", "left")
     return out.select(F.col("id").alias(id_col), F.col("digest").alias("text_digest"), "license_id", "notices")
 
@@ -214,26 +228,42 @@ def oracle_sql() -> str:
     low = lambda t: f"replace(translate(translate({t}, '{_UPPER}', '{_LOWER}'), chr(13), chr(10)), '©', '(c)')"
     line = lambda t: f"regexp_replace(regexp_replace({low(t)}, {quote(_SIGN)}, 'copyright \\1', 'g'), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g')"
 
-    def lines(text: str) -> str:
-        t = line(text)
-        for old, new in SPELLINGS:
+    def spelled(t: str, spellings: list[tuple[str, str]]) -> str:
+        for old, new in spellings:
             t = f"replace({t}, {quote(old)}, {quote(new)})"
-        return f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, {quote(_COPYRIGHT)}))"
+        return t
+
+    # Copyright lines are told by their words here, one row a line, and texts are put together again.
+    def kept(table: str, key: str, text: str) -> str:
+        return f"""
+            SELECT {key}, x, i FROM (
+                SELECT {key}, trim(raw) AS x, row_number() OVER (PARTITION BY {key} ORDER BY at) AS i
+                FROM (SELECT {key}, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS at FROM (SELECT {key}, {spelled(line(text), SPELLINGS)} AS t FROM {table}))
+                WHERE trim(raw) <> ''
+            ) WHERE x <> 'all rights reserved' AND NOT (
+                split_part(x, ' ', 1) = 'copyright' AND split_part(x, ' ', 2) <> ''
+                AND (i <= {_HEAD} OR split_part(x, ' ', 2) IN ('c', 'year', 'yyyy') OR split_part(x, ' ', 2) SIMILAR TO '[0-9]+')
+            )"""
 
+    whole = spelled("coalesce(string_agg(x, ' ' ORDER BY i), '')", [(old, new) for old, new in SPELLINGS if " " in old])
     known = ", ".join(f"({quote(i)}, {quote(t)})" for i, t in KNOWN)
     digests = ", ".join(f"({quote(d)}, {quote(i)})" for i, _, d in DIGESTS)
     return f"""
-        WITH k AS (
-            SELECT sha256(array_to_string({lines("text")}, ' ')) AS digest, min(license_id) AS license_id
-            FROM (VALUES {known}) AS v(license_id, text) GROUP BY 1
+        WITH v AS (
+            SELECT row_number() OVER () AS m, license_id, text FROM (VALUES {known}) AS v(license_id, text)
+        ), vl AS ({kept("v", "m", "text")}
+        ), k AS (
+            SELECT sha256(joined) AS digest, min(license_id) AS license_id
+            FROM (SELECT m, {whole} AS joined FROM vl GROUP BY m) JOIN v USING (m) GROUP BY 1
             UNION ALL SELECT * FROM (VALUES {digests}) AS v(digest, license_id)
         ), d AS (
-            SELECT row_number() OVER () AS n, doc_id, {lines("coalesce(text, '')")} AS lines FROM documents
+            SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents
+        ), dl AS ({kept("d", "n", "text")}
         ), w AS (
-            SELECT n, doc_id, sha256(array_to_string(lines, ' ')) AS text_digest FROM d
+            SELECT d.n, d.doc_id, sha256({whole}) AS text_digest FROM d LEFT JOIN dl USING (n) GROUP BY 1, 2
         ), h AS (
             SELECT n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices
-            FROM (SELECT n, sha256(unnest(lines)) AS digest FROM d) JOIN k USING (digest) GROUP BY 1
+            FROM (SELECT n, sha256(x) AS digest FROM dl) JOIN k USING (digest) GROUP BY 1
         )
         SELECT w.doc_id, w.text_digest, k.license_id, coalesce(h.notices, '') AS notices
         FROM w LEFT JOIN k ON k.digest = w.text_digest LEFT JOIN h ON h.n = w.n

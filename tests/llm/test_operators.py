@@ -4,6 +4,7 @@ import hashlib
 import math
 import os
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -420,6 +421,35 @@ def test_license_digests(spark):
     assert got == Counter([(1, "MIT", "MIT"), (1, "CC0-1.0", "CC0-1.0"), (2, "MIT", ""), (3, None, "")])
 
 
+def broken(text, width):
+    """Prose broken at a width; copyright lines stay lines of their own."""
+    return "\n\n".join(x if "Copyright" in x else textwrap.fill(x, width) for x in re.split(r"\n\s*\n", text))
+
+
+def test_licences_are_found_wherever_their_lines_are_broken(spark):
+    whole = [(i, t) for i, t in licenses.KNOWN if len(t) > 200]
+    heads = ["Copyright (c) 2020 Some One\n\n", "Copyright Some One and others\nAll rights reserved.\n\n", "© 2019-2021 X\n\n", ""]
+    rows = [(f"{i} {w} {h}", i, h + broken(t.replace("\n", "\n\n"), w)) for i, t in whole for w in [*range(50, 121), 10**6] for h in heads]
+    docs = spark.createDataFrame([(n, t) for n, _, t in rows], "doc_id string, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs).collect()}
+    assert {n: got[n] for n, i, _ in rows if got[n] != i} == {}
+    # A title before the copyright line, and prose about copyright that no licence has.
+    isc = dict(whole)["ISC"]
+    rows = [(1, "ISC License\nCopyright Some One\n" + isc.partition("\n")[2]), (2, isc + "\ncopyright holders may object"), (3, "copyright"), (4, "Copyright X\nCopyright Y"), (5, "/* " + isc + " */\nint x;")]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "ISC", 2: None, 3: None, 4: None, 5: None}
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
+def test_entire_licences_at_other_widths(spark):
+    read = lambda name: open(f"/usr/share/common-licenses/{name}").read()
+    ids = {"Apache-2.0": "Apache-2.0", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+    rows = [(f"{n} {w}", i, broken(read(n), w)) for n, i in ids.items() for w in (50, 57, 64, 72, 80, 99, 120, 10**6)]
+    docs = spark.createDataFrame([(n, t) for n, _, t in rows], "doc_id string, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs).collect()}
+    assert {n: got[n] for n, i, _ in rows if got[n] != i} == {}
+
+
 @pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence texts here")
 def test_entire_licence_texts(spark):
     read = lambda name: open(f"/usr/share/common-licenses/{name}").read()
