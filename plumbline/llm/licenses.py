@@ -237,8 +237,8 @@ def oracle_sql() -> str:
     def kept(table: str, key: str, text: str) -> str:
         return f"""
             SELECT {key}, x, i FROM (
-                SELECT {key}, trim(raw) AS x, row_number() OVER (PARTITION BY {key} ORDER BY at) AS i
-                FROM (SELECT {key}, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS at FROM (SELECT {key}, {spelled(line(text), SPELLINGS)} AS t FROM {table}))
+                SELECT {key}, trim(raw) AS x, row_number() OVER (PARTITION BY {key} ORDER BY place) AS i
+                FROM (SELECT {key}, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS place FROM (SELECT {key}, {spelled(line(text), SPELLINGS)} AS t FROM {table}))
                 WHERE trim(raw) <> ''
             ) WHERE x <> 'all rights reserved' AND NOT (
                 split_part(x, ' ', 1) = 'copyright' AND split_part(x, ' ', 2) <> ''
