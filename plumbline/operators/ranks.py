@@ -32,7 +32,9 @@ def edges_of(df: DataFrame, values: list[Column], most: int = BUCKETS) -> list[l
 
 
 def bucket(value: Column, edges: Column) -> Column:
-    return F.size(F.filter(edges, lambda e: e < value))
+    """How many of the edges, which ascend, are less than value: by halving steps, one for each power of two below BUCKETS."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range((BUCKETS - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(F.get(edges, low + step - 1) < value, low + step).otherwise(low))
 
 
 def bucketed(counts: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import cells
 from plumbline.functions.random import uniform
-from plumbline.operators import eda, explain, leakage, metrics, models, preprocess, profile, sanitize, score, split
+from plumbline.operators import eda, explain, leakage, metrics, models, preprocess, profile, ranks, sanitize, score, split
 from plumbline.plans import artifact, experiment, modelcard, narrate
 from plumbline.sources import csv_scan, examples, scored_csv, synthetic
 from plumbline.streaming import scoring
@@ -440,3 +440,12 @@ def test_csv_rules_of_quotes_blanks_and_several_files(spark, tmp_path):
         csv_scan.read(spark, write(tmp_path, '"a\n",b\n', "none.csv"))
     unclosed = csv_scan.read(spark, write(tmp_path, 'a,b\n1,"open\nstill,open', "open.csv"))
     assert [tuple(r) for r in unclosed.collect()] == [("1", "open\nstill,open", 0)]
+
+
+def test_bucket_counts_the_lesser_edges(spark):
+    sets = [[], [1.5], [1.0, 1.0, 2.0], [float(x) for x in range(ranks.BUCKETS - 1)], [-5.0, 0.0, 3.0, float("inf")]]
+    values = [-1e300, -5.0, 0.0, 0.5, 1.0, 1.5, 2.0, 127.0, 127.5, 254.0, 1e300, float("nan")]
+    rows = [(e, v) for e in sets for v in values]
+    got = spark.createDataFrame(rows, "e array<double>, v double").select("e", "v", ranks.bucket(F.col("v"), F.col("e")).alias("b")).collect()
+    # A value that is no number is above all others.
+    assert [r["b"] for r in got] == [len(e) if v != v else sum(x < v for x in e) for e, v in rows]
