@@ -17,8 +17,9 @@ WAND, a document is scored only if its bounds reach the goal:
 
 Document counts, average length and document frequencies are those of all
 shards, so results merge exactly. A first pass over one shard gives each query
-a goal. Then tasks take groups of shards and batches of queries, with one goal
-for each query over all shards of the group, and give k rows at most for each.
+a goal. Then tasks take groups of shards and a few batches of queries, with one
+goal for each query over all shards of the group, and give k rows at most for
+each. A shard is read once for all batches of a task.
 Documents with equal texts are one within a shard, and queries with equal terms
 are one: a copy costs an id.
 """
@@ -29,9 +30,10 @@ import math
 import re
 import uuid
 from array import array
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from hashlib import blake2b
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -47,8 +49,8 @@ K1, B = 1.2, 0.75
 TOP = 10
 #: Documents in a block, as a power of 2; different texts (16 bits number them), their characters, and rows of a shard at most.
 BLOCK_BITS, SHARD_DOCS, SHARD_CHARS, SHARD_ROWS = 6, 16_384, 32 << 20, 1_000_000
-#: Queries in a batch, about; groups of shards at least, and shards of a group beyond which there are more groups.
-QUERIES, GROUPS, GROUP_SHARDS = 512, 8, 1024
+#: Queries in a batch, about; groups of shards at least, and shards of a group beyond which there are more groups; batches of a task at most.
+QUERIES, GROUPS, GROUP_SHARDS, TASK_BATCHES = 512, 8, 1024, 4
 #: Parts that the ids of queries with equal terms are dealt to.
 SALTS = 16
 #: Share of a goal that sums may miss, for rounding.
@@ -73,7 +75,7 @@ class _Gathered:
     """Documents of a shard that is being made."""
 
     def __init__(self) -> None:
-        self.number: dict[str, int] = {}
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
         self.known: dict[bytes, int] = {}
         self.ids: list[list[int]] = []
         self.first: list[str] = []
@@ -93,8 +95,7 @@ class _Gathered:
         self.first.append(c.most_common(1)[0][0] if c else "")
         self.lengths.append(c.total())
         self.sizes.append(len(c))
-        number = self.number
-        self.terms.extend([number.setdefault(t, len(number)) for t in c])
+        self.terms.extend(map(self.number.__getitem__, c))
         self.counts.extend(c.values())
         self.chars += len(text)
 
@@ -199,27 +200,37 @@ class _Shard:
         self.bits = bits
         self.terms = x["terms"]
         self.df = x["df"].to_numpy().astype(np.int64)
-        self.docs, count, length = x["docs"].to_numpy(), x["counts"].to_numpy().astype(float), x["lengths"].to_numpy()
+        self.docs, times, length = x["docs"].to_numpy(), x["counts"].to_numpy().astype(float), x["lengths"].to_numpy()
         self.ids, copies = x["ids"].to_numpy(), x["copies"].to_numpy()
         self.n = len(length)
         self.id_ends = np.cumsum(copies)
         self.id_starts = self.id_ends - copies
         self.start = np.cumsum(self.df) - self.df
-        self.term = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
-        self.impact = count * (K1 + 1) / (count + (K1 * (1 - B + B * length / mean))[self.docs])
+        term = np.repeat(np.arange(len(self.df), dtype=np.int32), self.df)
+        self.impact = times * (K1 + 1) / (times + (K1 * (1 - B + B * length / mean))[self.docs])
         # The greatest impact of each term in each block that has it, and in all.
         block = self.docs >> bits
-        first = np.flatnonzero(np.concatenate([[True], (np.diff(self.term) != 0) | (np.diff(block.astype(np.int32)) != 0)])[: len(block)])
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(term) != 0) | (block[1:] != block[:-1])])[: len(block)])
         self.block, self.blocks = block[first], (self.n >> bits) + 1
         self.block_most = np.maximum.reduceat(self.impact, first) if len(first) else np.zeros(0)
         self.block_start = np.searchsorted(first, self.start)
         self.block_size = np.diff(np.append(self.block_start, len(first)))
         self.most = np.maximum.reduceat(self.block_most, self.block_start) if len(first) else np.zeros(0)
-        # Postings by document, in order of the terms' spelling.
-        self.own = np.argsort(self.docs, kind="stable").astype(np.int32)
-        self.own_size = np.bincount(self.docs, minlength=self.n)
-        self.own_start = np.cumsum(self.own_size) - self.own_size
-        self.weight = np.zeros(len(self.df))
+        # Postings by document, in order of the terms' spelling; a document's lie together.
+        own = np.argsort(self.docs, kind="stable")
+        self.all_term, self.all_impact = term[own], self.impact[own]
+        self.all_ends = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
+
+    def ask(self, at: np.ndarray) -> None:
+        """Takes these terms, of a batch of queries, as those that searches have: of documents' own terms only they are read."""
+        has = np.zeros(len(self.df), bool)
+        has[at] = True
+        self.number = np.cumsum(has, dtype=np.int32) - 1
+        kept = has[self.all_term]
+        self.own_term, self.own_impact = self.number[self.all_term[kept]], self.all_impact[kept]
+        ends = np.concatenate([[0], np.cumsum(kept)])[self.all_ends]
+        self.own_start, self.own_size = ends[:-1], np.diff(ends)
+        self.weight = np.zeros(len(at))
 
     def _sums(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
         p, size = _flat(self.start[at], self.df[at]), self.df[at]
@@ -230,7 +241,7 @@ class _Shard:
         return np.bincount(self.block[p], self.block_most[p] * np.repeat(w, size), self.blocks)
 
     def search(self, at: np.ndarray, w: np.ndarray, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores, from ``least`` on, of documents among which are this shard's k best of those; at are numbers of terms."""
+        """Ids and scores, from ``least`` on, of documents among which are this shard's k best of those; at are numbers of terms asked."""
         none = np.zeros(0, np.int64), np.zeros(0)
         order = np.argsort(-self.df[at], kind="stable")
         at, w = at[order], w[order]
@@ -259,12 +270,13 @@ class _Shard:
         docs = docs[score[docs] + left() >= goal]
         if not len(docs):
             return none
-        self.weight[at] = w
+        number = self.number[at]
+        self.weight[number] = w
         size = self.own_size[docs]
-        p = self.own[_flat(self.own_start[docs], size)]
-        exact = np.add.reduceat(self.impact[p] * self.weight[self.term[p]], np.cumsum(size) - size)
-        self.weight[at] = 0
-        keep = np.flatnonzero(exact >= least)
+        p = _flat(self.own_start[docs], size)
+        exact = np.add.reduceat(self.own_impact[p] * self.weight[self.own_term[p]], np.cumsum(size) - size)
+        self.weight[number] = 0
+        keep = np.flatnonzero(exact >= least * (1 - MARGIN))
         if len(keep) > k:
             keep = keep[exact[keep] >= np.partition(exact[keep], len(keep) - k)[len(keep) - k]]
         docs, exact = docs[keep], exact[keep]
@@ -294,30 +306,33 @@ def _asked(path: str) -> tuple[list[bytes], np.ndarray, pa.Array, np.ndarray, np
 
 
 def _searched(queries: str, mean: float, k: int, bits: int):  # noqa: ANN202
-    """Searches each row's shards (paths) for the queries of its batch."""
+    """Searches each row's shards (paths) for the queries of its batches."""
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for batch, paths in zip(b.column("batch").to_pylist(), b.column("paths").to_pylist(), strict=True):
-                digests, goals, terms, weight, number, ends = _asked(f"{queries}/batch={batch}")
-                best = [(np.zeros(0, np.int64), np.zeros(0))] * len(digests)
-                least = goals.copy()
+            for numbers, paths in zip(b.column("batches").to_pylist(), b.column("paths").to_pylist(), strict=True):
+                asked = [_asked(f"{queries}/batch={n}") for n in numbers]
+                best = [[(np.zeros(0, np.int64), np.zeros(0))] * len(digests) for digests, *_ in asked]
+                least = [goals.copy() for _, goals, *_ in asked]
                 for path in paths:
                     shard = None  # one at a time
                     shard = _Shard(path, mean, bits)
-                    place = pc.fill_null(pc.index_in(terms, value_set=shard.terms), -1).to_numpy().astype(np.int64)
-                    for q in range(len(digests)):
-                        own = number[ends[q] : ends[q + 1]]
-                        own = own[place[own] >= 0]
-                        ids, scores = shard.search(place[own], weight[own], least[q], k)
-                        if len(ids):
-                            best[q] = _best(np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], scores]), k)
-                            if len(best[q][0]) == k:
-                                least[q] = max(least[q], best[q][1][-1])
-                n = [len(x[0]) for x in best]
-                if sum(n):
-                    names = pa.array(digests, pa.binary()).take(pa.array(np.repeat(np.arange(len(n)), n)))
-                    yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([x[0] for x in best])), pa.array(np.concatenate([x[1] for x in best]))], names=["digest", "doc_id", "score"])
+                    for (digests, _, terms, weight, number, ends), found, goal in zip(asked, best, least, strict=True):
+                        place = pc.fill_null(pc.index_in(terms, value_set=shard.terms), -1).to_numpy().astype(np.int64)
+                        shard.ask(place[place >= 0])
+                        for q in range(len(digests)):
+                            own = number[ends[q] : ends[q + 1]]
+                            own = own[place[own] >= 0]
+                            ids, scores = shard.search(place[own], weight[own], goal[q], k)
+                            if len(ids):
+                                found[q] = _best(np.concatenate([found[q][0], ids]), np.concatenate([found[q][1], scores]), k)
+                                if len(found[q][0]) == k:
+                                    goal[q] = max(goal[q], found[q][1][-1])
+                for (digests, *_), found in zip(asked, best, strict=True):
+                    n = [len(x[0]) for x in found]
+                    if sum(n):
+                        names = pa.array(digests, pa.binary()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+                        yield pa.RecordBatch.from_arrays([names, pa.array(np.concatenate([x[0] for x in found])), pa.array(np.concatenate([x[1] for x in found]))], names=["digest", "doc_id", "score"])
 
     return search
 
@@ -360,12 +375,12 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "do
         return index.sparkSession.createDataFrame([], "query_id bigint, rank int, doc_id bigint, score double")
     batches = math.ceil(asked_once / QUERIES)
     schema = "digest binary, doc_id bigint, score double"
-    each = F.explode(F.sequence(F.lit(0), F.lit(batches - 1))).alias("batch")
+    each = F.explode(F.array(*[F.array(*map(F.lit, range(i, min(i + TASK_BATCHES, batches)))) for i in range(0, batches, TASK_BATCHES)])).alias("batches")
 
     # A shard for each batch gives a goal for each of its queries: the k-th best there.
     largest = index.orderBy(F.col("docs").desc(), "path").limit(batches).select("path")
     largest = [r["path"] for r in largest.collect()]  # at most one for each batch
-    some = index.sparkSession.createDataFrame([(i, [largest[i % len(largest)]]) for i in range(batches)], "batch int, paths array<string>")
+    some = index.sparkSession.createDataFrame([([i], [largest[i % len(largest)]]) for i in range(batches)], "batches array<int>, paths array<string>")
     path = _batches(once.withColumn("goal", F.lit(0.0)), batches, "asked")
     first = _dealt(some, batches).mapInArrow(_searched(path, mean, k, BLOCK_BITS), schema).groupBy("digest").agg(F.min("score").alias("goal"), F.count(F.lit(1)).alias("n"))
     goal = F.when(F.col("n") >= k, F.col("goal")).otherwise(0.0)
@@ -374,7 +389,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP, id_col: str = "do
     groups = min(shards, max(GROUPS, math.ceil(shards / GROUP_SHARDS)))
     dealt = index.select("path", F.pmod(F.row_number().over(Window.orderBy("path")), F.lit(groups)).alias("group"))
     tasks = dealt.groupBy("group").agg(F.collect_list("path").alias("paths")).select("paths", each)
-    found = stash(_dealt(tasks, groups * batches).mapInArrow(_searched(path, mean, k, BLOCK_BITS), schema), "found")
+    found = stash(_dealt(tasks, groups * math.ceil(batches / TASK_BATCHES)).mapInArrow(_searched(path, mean, k, BLOCK_BITS), schema), "found")
     best = Window.partitionBy("digest").orderBy(F.col("score").desc(), "doc_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     # Many queries may have the terms of one: their ids are dealt to SALTS parts, and its k rows go to each.

@@ -9,6 +9,7 @@ import textwrap
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -653,3 +654,34 @@ def test_bm25_against_brute_force(spark, monkeypatch, small):
     empty = docs.limit(0)
     assert bm25.search(bm25.build(empty), docs.limit(2)).count() == 0
     assert bm25.search(bm25.build(docs), empty).count() == 0
+
+
+def test_bm25_reads_a_shard_once_for_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(bm25, "SHARD_DOCS", 40)
+    texts = [prose(i, 5 + i % 30) + f" own{i}" for i in range(90)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    paths = [r["path"] for r in bm25.build(docs).collect()]
+    asked = [(f"{i}".encode(), sorted(set(bm25.terms_of(texts[i]))), 0.0) for i in range(12)]
+    rows = spark.createDataFrame(asked, "digest binary, terms array<string>, goal double").withColumn("weights", F.transform("terms", lambda t: F.when(F.startswith(t, F.lit("own")), 10.0).otherwise(1.0)))
+    path = bm25._batches(rows, 3, "asked")
+    loads, read = [], []
+
+    class Counted(bm25._Shard):
+        def __init__(self, *a):
+            super().__init__(*a)
+            loads.append(a[0])
+
+        def ask(self, at):
+            super().ask(at)
+            # Own terms that are read are the batch's alone, and all of them.
+            read.append((len(self.own_term), int(self.df[at].sum()), int(self.own_size.sum())))
+
+    monkeypatch.setattr(bm25, "_Shard", Counted)
+    given = pa.RecordBatch.from_pydict({"batches": [[0, 1, 2]], "paths": [paths]})
+    found = pa.Table.from_batches(list(bm25._searched(path, 12.0, 3, 2)(iter([given]))))
+    assert len(paths) == 3 and sorted(loads) == sorted(paths)
+    assert len(read) == 9 and all(a == b == c for a, b, c in read)
+    best = {}
+    for r in found.to_pylist():
+        best.setdefault(r["digest"], []).append((-r["score"], r["doc_id"]))
+    assert {d: min(x)[1] for d, x in best.items()} == {d: int(d) for d, _, _ in asked} and all(len(x) == 3 for x in best.values())
