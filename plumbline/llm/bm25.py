@@ -216,20 +216,21 @@ class _Shard:
         self.block_start = np.searchsorted(first, self.start)
         self.block_size = np.diff(np.append(self.block_start, len(first)))
         self.most = np.maximum.reduceat(self.block_most, self.block_start) if len(first) else np.zeros(0)
-        # Postings by document, in order of the terms' spelling; a document's lie together.
-        own = np.argsort(self.docs, kind="stable")
-        self.all_term, self.all_impact = term[own], self.impact[own]
-        self.all_ends = np.concatenate([[0], np.cumsum(np.bincount(self.docs, minlength=self.n))])
+        self.number = np.zeros(len(self.df), np.int32)
 
     def ask(self, at: np.ndarray) -> None:
-        """Takes these terms, of a batch of queries, as those that searches have: of documents' own terms only they are read."""
-        has = np.zeros(len(self.df), bool)
-        has[at] = True
-        self.number = np.cumsum(has, dtype=np.int32) - 1
-        kept = has[self.all_term]
-        self.own_term, self.own_impact = self.number[self.all_term[kept]], self.all_impact[kept]
-        ends = np.concatenate([[0], np.cumsum(kept)])[self.all_ends]
-        self.own_start, self.own_size = ends[:-1], np.diff(ends)
+        """Takes these terms, of a batch of queries, as those that searches have: of documents' own terms only they are laid by document."""
+        at = np.sort(at)
+        self.number[at] = np.arange(len(at), dtype=np.int32)
+        self.own_term = self.own_impact = None
+        p = _flat(self.start[at], self.df[at])
+        docs = self.docs[p]
+        order = np.argsort(docs, kind="stable")
+        # In order of the terms' spelling; a document's lie together.
+        self.own_impact = self.impact[p[order]]
+        self.own_term = np.repeat(np.arange(len(at), dtype=np.int32), self.df[at])[order]
+        self.own_size = np.bincount(docs, minlength=self.n)
+        self.own_start = np.cumsum(self.own_size) - self.own_size
         self.weight = np.zeros(len(at))
 
     def _sums(self, at: np.ndarray, w: np.ndarray) -> np.ndarray:
