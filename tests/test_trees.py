@@ -157,3 +157,47 @@ def test_models_of_odd_tables(spark):
     assert lay.cuts == [[]]
     for model in (trees.boost(same, lay, "id", rounds=3), trees.forest(same, lay, "id", trees=2)):
         assert {r["prediction"] for r in model.transform(same).collect()} == {1.0}
+
+
+def test_forest_stays_out_of_the_driver(spark, tmp_path, monkeypatch):
+    """What the driver has of a forest does not grow with its trees, and each task reads them for its rows, chunk by chunk."""
+    draw = np.random.default_rng(5)
+    x, _ = rows_of(1500)
+    d = frame(spark, x, draw.integers(0, 2, 1500))
+    lay = trees.layout(d, 7, GROUPS)
+    few, more = trees.forest(d, lay, "id", trees=2), trees.forest(d, lay, "id", trees=9)
+    assert sum(len(t[0]) for t in more.known["trees"]) > 4000
+    kept = [len("".join(str(v) for v in m.extractParamMap().values())) for m in (few, more)]
+    assert kept[0] == kept[1] < 40 * sum(map(len, lay.cuts)) + 1000
+    known = more.known["trees"]
+
+    def plain(row):
+        total = 0.0
+        for slot, threshold, left, right, value in known:
+            k = 0
+            while slot[k] >= 0:
+                k = left[k] if row[slot[k]] <= threshold[k] else right[k]
+            total += value[k]
+        return total / len(known)
+
+    monkeypatch.setattr(trees, "SCORED_ROWS", 100)
+    score = lambda m: {r["id"]: r["p"][1] for r in m.transform(d).select("id", vector_to_array("probability").alias("p")).collect()}
+    got = score(more)
+    assert len(got) == 1500 and all(abs(got[i] - plain(x[i])) < 1e-12 for i in range(1500))
+    PipelineModel([more]).write().save(f"file://{tmp_path}/m m")
+    back = PipelineModel.load(f"file://{tmp_path}/m m").stages[0]
+    assert back.getOrDefault("folder") != more.getOrDefault("folder") and back.known == more.known and score(back) == got
+
+
+def test_slots_counted_together_split_as_one_by_one():
+    """The same draws and the same tree, however many slots are counted at once."""
+    x, y = rows_of(600, 6)
+    lay = trees.Layout([0, 1, 2], [sorted(set(np.quantile(x[:, k], np.linspace(0.02, 0.98, 49)))) for k in range(3)], GROUPS)
+    codes = np.stack([*[np.searchsorted(c, x[:, k], "left") for k, c in enumerate(lay.cuts)], np.where(x[:, 3:].any(1), x[:, 3:].argmax(1) + 1, 0)])
+    w = np.random.default_rng(4).integers(0, 4, 600).astype(float)
+    one_cut = [False, True]
+    grown = lambda: [trees.grow(codes, y.astype(float), w, lay, np.random.default_rng(1), 2, extra) for extra in one_cut]
+    together = grown()
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(trees, "SPLIT_CELLS", 1)
+        assert grown() == together
