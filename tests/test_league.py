@@ -55,3 +55,18 @@ def test_folds_are_stratified(spark):
     assert split.folds(d.limit(0), F.col("label"), "id").count() == 0
     with pytest.raises(ValueError, match="folds"):
         split.folds(d, F.col("label"), "id", 1)
+
+
+def test_counts_of_a_model_are_written_once_it_is_fitted(spark, standing, monkeypatch):
+    """What is scored in one pass are written counts, so that no plan has the models of all folds."""
+    d, s = standing
+    seen, whole = [], league._all
+
+    def kept(pool, tasks):
+        seen.append(whole(pool, tasks))
+        return seen[-1]
+
+    monkeypatch.setattr(league, "_all", kept)
+    again = league.run(d, "y", "id", k=3, roster=["majority", "rule"], settings=FAST)
+    assert [set(x.columns) for x in seen] == [{"model", "fold", "pred", "num", "n", "hits"}, {"model", "pred", "num", "n", "hits"}]
+    assert all("-counts/" in f for x in seen for f in x.inputFiles()) and all(again.folds["rule", f] == s.folds["rule", f] for f in range(3))
